@@ -171,7 +171,8 @@ def health_status(metrics: DataFrame) -> DataFrame:
 
 def durations(spans: DataFrame, start: str = "started", end: str = "ended") -> DataFrame:
     """Seconds between two times, and the same as clock text."""
-    seconds = F.col(end).cast("timestamp").cast("double") - F.col(start).cast("timestamp").cast("double")
+    micros = F.unix_micros(F.col(end).cast("timestamp")) - F.unix_micros(F.col(start).cast("timestamp"))
+    seconds = micros / 1_000_000
     return spans.withColumn("duration", seconds).withColumn("duration_text", timing.clock_text(F.col("duration")))
 
 

@@ -12,13 +12,22 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import timing
+from ..schemas import POST, RESULT
 from ..settings import RETENTION_DAYS
+from ..sources.conform import conform
 
 PARTITIONS = ("day", "platform", "batch_id")
+PARTITION_FIELDS = (T.StructField("day", T.StringType()), T.StructField("batch_id", T.IntegerType()))
 TIME_COLUMN = {"raw_posts": "collected_at", "sentiment_results": "processed_at"}
+LAYOUT = {"raw_posts": POST, "sentiment_results": RESULT}
 LOOKUP_COLUMN = {"raw_posts": "id", "sentiment_results": "post_id"}
 
 
+def stored_layout(table: str) -> T.StructType:
+    """The table's columns with those of its partitions; a day stays text."""
+    return T.StructType([*LAYOUT[table].fields, *PARTITION_FIELDS])
+
+
 @dataclass(frozen=True)
 class Store:
     """A folder with the raw-post and result tables in it."""
@@ -29,10 +38,11 @@ class Store:
         return f"{self.base}/{table}"
 
     def read(self, spark: SparkSession, table: str) -> DataFrame:
-        return spark.read.parquet(self.path(table))
+        return spark.read.schema(stored_layout(table)).parquet(self.path(table))
 
-    def read_batch(self, spark: SparkSession, table: str, batch_id: int, schema: T.StructType) -> DataFrame:
+    def read_batch(self, spark: SparkSession, table: str, batch_id: int) -> DataFrame:
         """Only the files of one batch, without listing the rest of the table; empty if it has none."""
+        schema = stored_layout(table)
         found = spark.read.option("basePath", self.path(table)).schema(schema)
         try:
             return found.parquet(f"{self.path(table)}/day=*/platform=*/batch_id={batch_id}")
@@ -43,13 +53,13 @@ class Store:
 
 
 def write_batch(df: DataFrame, store: Store, table: str, batch_id: int) -> None:
-    """Write one batch; writing the same batch again replaces it, and no row writes nothing.
+    """Write one batch in the table's layout; writing the same batch again replaces it.
 
     Rows are sorted by time inside files so that their minimum and maximum narrow a scan,
     and the key column has a bloom filter for point lookups.
     """
     time = TIME_COLUMN[table]
-    placed = df.withColumn("day", timing.day_text(F.col(time))).withColumn("batch_id", F.lit(batch_id))
+    placed = conform(df, LAYOUT[table]).withColumn("day", timing.day_text(F.col(time))).withColumn("batch_id", F.lit(batch_id))
     (
         placed.hint("rebalance", *[F.col(c) for c in PARTITIONS])
         .sortWithinPartitions(*PARTITIONS, "created_at")
@@ -106,7 +116,7 @@ def enforce_retention(spark: SparkSession, store: Store, table: str, as_of: str,
         aside = staging or f"{store.base}/_{table}_kept"
         edge = store.read(spark, table).filter(F.col("day") == cutoff)
         retention_keep(edge, TIME_COLUMN[table], as_of, days).write.mode("overwrite").parquet(aside)
-        kept = spark.read.schema(edge.schema).parquet(aside)
+        kept = spark.read.schema(stored_layout(table)).parquet(aside)
         files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{store.path(table)}/day={cutoff}"), True)
         kept.write.mode("append").partitionBy(*PARTITIONS).parquet(store.path(table))
 

@@ -21,6 +21,16 @@ def keyword_table(spark: SparkSession, keywords: Sequence[str]) -> DataFrame:
     return spark.createDataFrame([(word,) for word in keywords], "keyword string")
 
 
+def _extended(shorter: Column, length: int) -> Column:
+    """Phrases of ``length`` words from those one word shorter."""
+    count = F.greatest(F.size("spoken") - length + 1, F.lit(0))
+    return F.zip_with(
+        F.slice(shorter, F.lit(1), count),
+        F.slice("spoken", F.lit(length), count),
+        lambda head, word: F.concat_ws(" ", head, word),
+    )
+
+
 def match_keyword_table(posts: DataFrame, keywords: DataFrame, key: str = "id", text: str = "text",
                         max_words: int = 4) -> DataFrame:
     """``(key, keyword)`` for every tracked phrase of up to ``max_words`` words in a post.
@@ -28,21 +38,10 @@ def match_keyword_table(posts: DataFrame, keywords: DataFrame, key: str = "id",
     Phrases are matched by equality on their words, so the number of keywords does not
     multiply the posts. Repeats within a post are removed before the rows are moved.
     """
-    spoken = F.split(F.trim(phrase_text(F.col(text))), " ")
-    spans = [
-        F.transform(
-            F.sequence(F.lit(1), F.size("spoken") - n + 1),
-            lambda start, n=n: F.array_join(F.slice("spoken", start, n), " "),
-        )
-        for n in range(1, max_words + 1)
-    ]
-    windows = [
-        F.when(F.size("spoken") >= n, span).otherwise(F.array().cast("array<string>"))
-        for n, span in enumerate(spans, start=1)
-    ]
-    phrases = (
-        posts.select(key, spoken.alias("spoken"))
-        .select(key, F.explode(F.array_distinct(F.concat(*windows))).alias("phrase"))
-    )
+    spoken = posts.select(key, F.split(F.trim(phrase_text(F.col(text))), " ").alias("spoken"))
+    spans = [F.col("spoken")]
+    for length in range(2, max_words + 1):
+        spans.append(_extended(spans[-1], length))
+    phrases = spoken.select(key, F.explode(F.array_distinct(F.concat(*spans))).alias("phrase"))
     tracked = keywords.select("keyword", F.trim(phrase_text(F.col("keyword"))).alias("phrase")).distinct()
     return phrases.join(lookup_side(tracked), "phrase").select(key, "keyword")

@@ -9,9 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..operators.cleaning import clean_posts, dedup_posts, text_fallback
 from ..operators.scoring import Scorer, score_posts
 from ..operators.summary import batch_stats
-from ..schemas import POST, RESULT
 from ..sinks.tables import Store, insert_raw_posts, insert_results
-from ..sources.conform import conform, split_quarantine, unreadable
+from ..sources.conform import split_quarantine, unreadable
 from ..sources.keywords import match_keyword_table
 from .flows import BatchWriter
 
@@ -33,13 +32,13 @@ class Cycle:
         spark = batch.sparkSession
         good, bad = split_quarantine(batch, self._bad(batch))
         bad.write.mode("overwrite").parquet(f"{self.store.path('quarantine')}/batch={batch_id}")
-        insert_raw_posts(conform(good), self.store, batch_id)
+        insert_raw_posts(good, self.store, batch_id)
 
-        raw = self.store.read_batch(spark, "raw_posts", batch_id, POST)
+        raw = self.store.read_batch(spark, "raw_posts", batch_id)
         kept = dedup_posts(clean_posts(text_fallback(raw)))
         insert_results(score_posts(kept, self.scorer, self.as_of), self.store, batch_id, self.as_of)
 
-        results = self.store.read_batch(spark, "sentiment_results", batch_id, RESULT)
+        results = self.store.read_batch(spark, "sentiment_results", batch_id)
         batch_stats(results).write.mode("overwrite").json(f"{self.store.path('cycle_stats')}/batch={batch_id}")
 
     @staticmethod
