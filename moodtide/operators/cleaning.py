@@ -45,9 +45,10 @@ def distinct_rows(posts: DataFrame) -> DataFrame:
 
 
 def dedup_posts(posts: DataFrame, tie_breaks: Sequence[str] = ("text",)) -> DataFrame:
-    """One row per ``(platform, id)``: the one collected last."""
+    """One row per ``(platform, id)``: the one collected last. Rows without an id are told apart by content."""
     order = [F.col("collected_at").desc(), *[F.col(c).asc() for c in tie_breaks]]
-    return top_k_per_group(posts, ["platform", "id"], order, 1)
+    own = F.when(F.col("id").isNull(), F.xxhash64(*posts.columns))
+    return top_k_per_group(posts.withColumn("_own", own), ["platform", "id", "_own"], order, 1).drop("_own")
 
 
 def pseudonymize(posts: DataFrame, columns: Sequence[str] = ("author_id", "author"), salt: str = "") -> DataFrame:
@@ -71,10 +72,11 @@ def spam_flags(posts: DataFrame, key: str = "id", max_marks: float = 0.5, max_re
     )
     repeated = (
         posts.groupBy(F.md5("text").alias("text_hash"))
-        .agg(F.count("*").alias("copies"))
-        .filter(F.col("copies") > max_repeats)
+        .count()
+        .filter(F.col("count") > max_repeats)
     )
-    joined = salted_lookup(measured, repeated, ["text_hash"], "left", [key])
+    lookup = repeated.withColumnRenamed("count", "copies")
+    joined = salted_lookup(measured, lookup, ["text_hash"], "left", [key], sizes=repeated)
     return joined.select(
         key,
         "mark_ratio",

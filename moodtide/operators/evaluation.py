@@ -132,12 +132,12 @@ def agreement_rate(compared: DataFrame, digits: int = 6) -> DataFrame:
 def retrain_flags(predicted: DataFrame, time: str, min_accuracy: float = RETRAIN_ACCURACY,
                   digits: int = 6) -> DataFrame:
     """Accuracy per day and whether it has fallen below what calls for retraining."""
-    daily = predicted.groupBy(timing.day_text(F.col(time)).alias("day")).agg(
+    daily = predicted.groupBy(F.to_date(time).alias("day")).agg(
         F.count("*").alias("n"), F.count_if(F.col("y") == F.col("yhat")).alias("hits")
     )
     accuracy = F.col("hits") / F.col("n")
     return daily.select(
-        "day", "n", F.bround(accuracy, digits).alias("accuracy"), (accuracy < min_accuracy).alias("retrain")
+        timing.day_text(F.col("day")).alias("day"), "n", F.bround(accuracy, digits).alias("accuracy"), (accuracy < min_accuracy).alias("retrain")
     )
 
 

@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import text as tx
 from ..functions.labels import label_code
 from ..settings import MAX_SEQUENCE_LENGTH, VOCABULARY_SIZE
-from .sizing import lookup_side
+from .sizing import each, lookup_side
 
 
 def exploded_tokens(posts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """``(key, position, token)`` of every word of the cleaned text."""
-    return posts.select(key, F.posexplode(tx.words(F.col(text))).alias("position", "token"))
+    said = posts.select(key, F.posexplode_outer(tx.words(F.col(text))).alias("position", "token"))
+    return said.filter(F.col("token").isNotNull())
 
 
 def remove_stopwords(said: DataFrame, stopwords: DataFrame) -> DataFrame:
@@ -45,10 +46,11 @@ def model_words(text: Column) -> Column:
 def ngrams(posts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """``(key, term)`` for every single word and pair of words."""
     said = posts.select(key, model_words(F.col(text)).alias("said"))
-    return said.select(key, F.explode(terms(F.col("said"))).alias("term"))
+    return each(said, terms(F.col("said")), key, name="term")
 
 
 def term_counts(posts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """Occurrences of each term in each text."""
     return ngrams(posts, key, text).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 

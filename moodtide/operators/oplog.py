@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -51,10 +52,12 @@ def running_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], buck
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    names = {k: f"_of_{k}" for k in [*keys, "_bucket"]}
+    same = reduce(lambda left, right: left & right, [F.col(k).eqNullSafe(F.col(own)) for k, own in names.items()])
     return (
-        marked.join(starts, [*keys, "_bucket"])
+        marked.join(starts.withColumnsRenamed(names), same)
         .withColumn(name, F.col("_start") + F.row_number().over(inside))
-        .drop("_bucket", "_start")
+        .drop("_bucket", "_start", *names.values())
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import text as tx
 from ..functions.labels import polarity_confidence, polarity_label
 from ..schemas import SENTIMENT
-from .sizing import lookup_side, salted_lookup
+from .sizing import each, lookup_side, salted_lookup, small_table
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -29,25 +29,19 @@ NEGATORS = ("not", "no", "never", "cannot")
 
 
 def starter_lexicon(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        STARTER_LEXICON, "token string, polarity_points int, subjectivity_points int"
-    )
+    return small_table(spark, STARTER_LEXICON, ["token", "polarity_points", "subjectivity_points"])
 
 
-def _scored_words(text: Column, negators: Sequence[str]) -> Column:
-    """Words with the factor their polarity is taken by: -0.5 right after a negator, else 1."""
-    said = tx.words(text)
+def _scored_words(posts: DataFrame, keys: Sequence[str], negators: Sequence[str]) -> DataFrame:
+    """One row per word with the factor its polarity is taken by: -0.5 right after a negator, else 1."""
     if not negators:
-        return F.transform(said, lambda word: F.struct(word.alias("token"), F.lit(1.0).alias("factor")))
-    before = F.concat(F.array(F.lit("")), said)
-    paired = F.zip_with(
-        said,
-        F.slice(before, F.lit(1), F.size(said)),
-        lambda word, last: F.struct(
-            word.alias("token"), F.when(last.isin(*negators), -0.5).otherwise(1.0).alias("factor")
-        ),
-    )
-    return paired
+        return each(posts, tx.words(F.col("text")), *keys, name="token").withColumn("factor", F.lit(1.0))
+    said = posts.select(*keys, tx.words(F.col("text")).alias("said"))
+    before = F.slice(F.concat(F.array(F.lit("")), F.col("said")), F.lit(1), F.size("said"))
+    pairs = F.zip_with("said", before, lambda word, last: F.struct(word.alias("token"), last.alias("last")))
+    paired = each(said, pairs, *keys, name="pair")
+    factor = F.when(F.col("pair.last").isin(*negators), -0.5).otherwise(1.0)
+    return paired.select(*keys, "pair.token", factor.alias("factor"))
 
 
 def lexicon_polarity(posts: DataFrame, lexicon: DataFrame, keys: Sequence[str] = ("platform", "id"),
@@ -58,10 +52,7 @@ def lexicon_polarity(posts: DataFrame, lexicon: DataFrame, keys: Sequence[str] =
     up its own posts, so one short row per post is all that is shuffled. Posts without any
     known word have no row.
     """
-    said = posts.select(*keys, F.explode(_scored_words(F.col("text"), negators)).alias("said")).select(
-        *keys, "said.token", "said.factor"
-    )
-    known = said.join(lookup_side(lexicon), "token")
+    known = _scored_words(posts, keys, negators).join(lookup_side(lexicon), "token")
     return known.groupBy(*keys).agg(
         F.sum(F.col("factor") * F.col("polarity_points")).alias("polarity_points"),
         F.sum("subjectivity_points").cast("double").alias("subjectivity_points"),

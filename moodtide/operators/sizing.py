@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..settings import LOOKUP_BYTE_BOUND, LOOKUP_ROW_BOUND
 
 
+def small_table(spark: SparkSession, rows: Sequence[tuple], columns: Sequence[str]) -> DataFrame:
+    """Literal rows as a local relation, whose exact size the optimizer knows."""
+    data = {name: [row[i] for row in rows] for i, name in enumerate(columns)}
+    return spark.createDataFrame(pa.table(data))
+
+
 def lookup_side(lookup: DataFrame, rows: int = LOOKUP_ROW_BOUND, size: int = LOOKUP_BYTE_BOUND) -> DataFrame:
     """The lookup marked for broadcast if it is measured to be small, else as it is.
 
@@ -30,6 +37,7 @@ def salted_lookup(
     keys: Sequence[str],
     how: str = "left",
     spread_on: Sequence[str] | None = None,
+    sizes: DataFrame | None = None,
     hot_rows: int = 1_000_000,
     salts: int = 64,
 ) -> DataFrame:
@@ -38,9 +46,10 @@ def salted_lookup(
     A key with more than ``hot_rows`` rows is split by ``spread_on`` (all other columns if
     not given) over ``salts`` tasks and only its lookup row is repeated for them. There can be no more than
     ``rows / hot_rows`` such keys (a million in 10^12 rows), which bounds the broadcast.
+    ``sizes`` gives keys and their ``count`` where the caller has them already.
     """
-    counted = df.groupBy(*keys).count().filter(F.col("count") > hot_rows)
-    hot = F.broadcast(counted.select(*keys, F.lit(True).alias("_hot")))
+    counted = df.groupBy(*keys).count() if sizes is None else sizes
+    hot = F.broadcast(counted.filter(F.col("count") > hot_rows).select(*keys, F.lit(True).alias("_hot")))
     part = spread([c for c in df.columns if c not in keys] if spread_on is None else spread_on, salts)
     salt = F.when(F.col("_hot"), part).otherwise(F.lit(0)).cast("int")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
@@ -49,6 +58,16 @@ def salted_lookup(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def each(df: DataFrame, values: Column, *kept: str | Column, name: str) -> DataFrame:
+    """One row per array entry beside the kept columns.
+
+    A plain explode makes the optimizer add a filter on the array's size, which computes the
+    array a second time. Exploding with a null row for an empty array and dropping that row
+    computes it once.
+    """
+    return df.select(*kept, F.explode_outer(values).alias(name)).filter(F.col(name).isNotNull())
+
+
 def spread(columns: Sequence[str], parts: int) -> Column:
     """A number below ``parts`` that a repeated task gives again, differing even between equal copies.
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import timing
 from ..functions.labels import js_round, percentage
 from ..settings import DAILY_POST_TARGET, HIGH_CONFIDENCE, LABELS, PLATFORMS, SUMMARY_HOURS
+from .sizing import small_table
 
 LABEL = "sentiment.label"
 
@@ -31,11 +32,10 @@ def label_share(counts: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
 
 
 def _zero_labels(df: DataFrame, scopes: Sequence[str] | None = None) -> DataFrame:
-    spark = df.sparkSession
     if scopes is None:
-        return spark.createDataFrame([(label, 0) for label in LABELS], "label string, count bigint")
+        return small_table(df.sparkSession, [(label, 0) for label in LABELS], ["label", "count"])
     rows = [(scope, label, 0) for scope in scopes for label in LABELS]
-    return spark.createDataFrame(rows, "scope string, label string, count bigint")
+    return small_table(df.sparkSession, rows, ["scope", "label", "count"])
 
 
 def sentiment_summary(results: DataFrame, as_of: str, platform: str | None = None,
@@ -132,22 +132,22 @@ def filtered_summary(results: DataFrame, start: str, end: str, platform: str | N
 
 def daily_volume(posts: DataFrame, target: int = DAILY_POST_TARGET, time: str = "collected_at") -> DataFrame:
     """Posts per day and whether the daily target was met."""
-    counted = posts.groupBy(timing.day_text(F.col(time)).alias("day")).agg(F.count("*").alias("posts"))
-    return counted.withColumn("target_met", F.col("posts") >= target)
+    counted = posts.groupBy(F.to_date(time).alias("day")).agg(F.count("*").alias("posts"))
+    return counted.select(
+        timing.day_text(F.col("day")).alias("day"), "posts", (F.col("posts") >= target).alias("target_met")
+    )
 
 
 def topic_platform_daily(results: DataFrame, time: str = "processed_at") -> DataFrame:
     """Rows per tracked keyword, platform, day and label."""
-    return (
+    counted = (
         results.select(
-            F.explode("keywords").alias("keyword"),
-            "platform",
-            timing.day_text(F.col(time)).alias("day"),
-            F.col(LABEL).alias("label"),
+            F.explode("keywords").alias("keyword"), "platform", F.to_date(time).alias("day"), F.col(LABEL).alias("label")
         )
         .groupBy("keyword", "platform", "day", "label")
         .agg(F.count("*").alias("count"))
     )
+    return counted.withColumn("day", timing.day_text(F.col("day")))
 
 
 def cycle_counts(collected: DataFrame, kept: Column, scored: Column, cycle: Column) -> DataFrame:

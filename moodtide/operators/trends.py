@@ -13,15 +13,12 @@ def trends(results: DataFrame, as_of: str, platform: str | None = None, days: in
            time: str = "processed_at") -> DataFrame:
     """Rows per date, hour and label in the window, in time order."""
     recent = timing.within(_selected(results, platform), time, as_of, days=days)
-    return (
-        recent.groupBy(
-            timing.day_text(F.col(time)).alias("date"),
-            F.hour(time).alias("hour"),
-            F.col(LABEL).alias("label"),
-        )
-        .agg(F.count("*").alias("count"))
-        .orderBy("date", "hour", "label")
+    hourly = recent.groupBy(F.date_trunc("hour", F.col(time)).alias("at"), F.col(LABEL).alias("label")).agg(
+        F.count("*").alias("count")
     )
+    return hourly.select(
+        timing.day_text(F.col("at")).alias("date"), F.hour("at").alias("hour"), "label", "count"
+    ).orderBy("date", "hour", "label")
 
 
 def trend_pivot(trend: DataFrame) -> DataFrame:

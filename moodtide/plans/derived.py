@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.hashing import stable_hash
 from ..functions.labels import code_label
+from ..functions.text import STOPWORDS, words
+from ..operators.sizing import each
 from ..schemas import PROBABILITIES
 
 AS_OF = "2024-01-31 00:00:00"
@@ -256,9 +258,7 @@ def training_log(spark: SparkSession, sf: str) -> DataFrame:
 
 def corpus_lexicon(spark: SparkSession, sf: str) -> DataFrame:
     """Points for about a fifth of the corpus' words, taken from a hash of the word."""
-    from ..functions.text import words
-
-    said = table(spark, sf, "documents").select(F.explode(words(F.col("text"))).alias("token")).distinct()
+    said = each(table(spark, sf, "documents"), words(F.col("text")), name="token").distinct()
     h = stable_hash(F.col("token"))
     return said.filter(h % 5 == 0).select(
         "token",
@@ -288,8 +288,6 @@ def sql_words(text: str) -> str:
 
 
 def sql_tokens(text: str) -> str:
-    from ..functions.text import STOPWORDS
-
     stop = ", ".join("'" + word.replace("'", "''") + "'" for word in STOPWORDS)
     pairs = r"\b(?:(can)(not)|(gim|lem)(me)|(gon|wan)(na)|(got)(ta))\b"
     spaced = rf"regexp_replace({sql_clean(text)}, '{pairs}', '\1\3\5\7 \2\4\6\8', 'g')"

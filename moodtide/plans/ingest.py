@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx, timing
 from ..operators import cleaning, enrich, scoring
+from ..operators.sizing import each
 from ..schemas import (
     SUBMISSION_COMMENT_JSON, SUBMISSION_JSON, TWEET_JSON, VIDEO_COMMENTS_JSON, VIDEO_SEARCH_JSON, VIDEO_STATS_JSON,
 )
@@ -253,9 +254,7 @@ _MATCH_SQL = f"""SELECT id, keyword FROM posts, (SELECT unnest(['{"','".join(d.K
 
 @query("keyword_match", _MATCH_SQL, ("posts",))
 def keyword_match(spark: SparkSession, sf: str) -> DataFrame:
-    return d.posts(spark, sf).select(
-        "id", F.explode(kw.matched_keywords(F.col("text"), d.KEYWORDS)).alias("keyword")
-    )
+    return each(d.posts(spark, sf), kw.matched_keywords(F.col("text"), d.KEYWORDS), "id", name="keyword")
 
 
 @query("keyword_table_match", _MATCH_SQL, ("posts",))

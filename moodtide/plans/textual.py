@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import labels as lb, text as tx
 from ..operators import features, scoring
+from ..operators.sizing import small_table
 from . import derived as d
 from .derived import sql_clean, sql_tokens
 from .registry import query
@@ -68,7 +69,7 @@ def preprocess(spark: SparkSession, sf: str) -> DataFrame:
     ("said",),
 )
 def remove_stopwords(spark: SparkSession, sf: str) -> DataFrame:
-    stop = spark.createDataFrame([(word,) for word in tx.STOPWORDS], "token string")
+    stop = small_table(spark, [(word,) for word in tx.STOPWORDS], ["token"])
     said = features.exploded_tokens(d.table(spark, sf, "documents"), "doc_id")
     return features.remove_stopwords(said, stop).groupBy("token").agg(F.count("*").alias("n"))
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import phrase_text
-from ..operators.sizing import lookup_side
+from ..operators.sizing import each, lookup_side, small_table
 
 
 def matched_keywords(text: Column, keywords: Sequence[str]) -> Column:
@@ -18,7 +18,7 @@ def matched_keywords(text: Column, keywords: Sequence[str]) -> Column:
 
 
 def keyword_table(spark: SparkSession, keywords: Sequence[str]) -> DataFrame:
-    return spark.createDataFrame([(word,) for word in keywords], "keyword string")
+    return small_table(spark, [(word,) for word in keywords], ["keyword"])
 
 
 def _extended(shorter: Column, length: int) -> Column:
@@ -42,6 +42,6 @@ def match_keyword_table(posts: DataFrame, keywords: DataFrame, key: str = "id",
     spans = [F.col("spoken")]
     for length in range(2, max_words + 1):
         spans.append(_extended(spans[-1], length))
-    phrases = spoken.select(key, F.explode(F.array_distinct(F.concat(*spans))).alias("phrase"))
+    phrases = each(spoken, F.array_distinct(F.concat(*spans)), key, name="phrase")
     tracked = keywords.select("keyword", F.trim(phrase_text(F.col("keyword"))).alias("phrase")).distinct()
     return phrases.join(lookup_side(tracked), "phrase").select(key, "keyword")

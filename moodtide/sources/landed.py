@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions import timing
 from ..operators.ranking import top_k_per_group
+from ..operators.sizing import each
 from ..settings import DEFAULT_KEYWORDS
 from .keywords import matched_keywords
 
@@ -70,8 +71,11 @@ def normalize_reddit_posts(
     ``limit`` is shared evenly between the keywords of a sub-forum; newest posts win.
     """
     searched = F.concat_ws(" ", F.col("title"), F.col("selftext"))
-    found = raw.filter(F.col("subreddit").isin(*subreddits)).withColumn(
-        "matched_keyword", F.explode(matched_keywords(searched, keywords))
+    found = each(
+        raw.filter(F.col("subreddit").isin(*subreddits)),
+        matched_keywords(searched, keywords),
+        *raw.columns,
+        name="matched_keyword",
     )
     if limit is not None:
         found = top_k_per_group(
