@@ -6,8 +6,8 @@ from pyspark.sql import Column, functions as F
 
 # The patterns of the three cleaning recipes.
 PLAIN_LINK = r"http\S+|www\S+|https\S+"
-PLAIN_TAG = r"@\w+|#\w+"
-NOT_LETTER = r"[^a-zA-Z\s]"
+TAG_OR_NOT_LETTER = r"[^abcdefghijklmnopqrstuvwxyz \t\n\x0B\f\r@#]+|[@#]\w*"
+TAG_OR_NOT_LETTER_UNICODE = r"(?U)[^a-z\s@#]+|[@#]\w*"
 SOCIAL_LINK_OR_MENTION = r"http\S+|www\S+|@\w+"
 TWEET_LINK = r"http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
 TWEET_WWW = r"www\.(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
@@ -44,13 +44,23 @@ def _strip(text: Column, unicode: bool) -> Column:
     return F.regexp_replace(text, _regex(r"^\s+|\s+$", unicode), "")
 
 
+def _bare(text: Column, unicode: bool) -> Column:
+    """Lower-case letters and white space only.
+
+    The link pattern runs only on texts that can hold one. Tags go in the same pass as the
+    other characters: a sign takes the word after it along, so nothing is matched twice. The
+    letters are spelt out because a class of single characters is one bit test, where ranges
+    make a chain of tests whose type checks hold up the other threads of an executor.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    may_link = F.contains(low, F.lit("http")) | F.contains(low, F.lit("www"))
+    unlinked = F.when(may_link, F.regexp_replace(low, _regex(PLAIN_LINK, unicode), "")).otherwise(low)
+    return F.regexp_replace(unlinked, TAG_OR_NOT_LETTER_UNICODE if unicode else TAG_OR_NOT_LETTER, "")
+
+
 def clean_text(text: Column, unicode: bool = False) -> Column:
     """Lower-case letters and single spaces only; links, mentions and tags removed."""
-    out = F.lower(F.coalesce(text, F.lit("")))
-    out = F.regexp_replace(out, _regex(PLAIN_LINK, unicode), "")
-    out = F.regexp_replace(out, _regex(PLAIN_TAG, unicode), "")
-    out = F.regexp_replace(out, _regex(NOT_LETTER, unicode), "")
-    return F.trim(F.regexp_replace(out, _regex(r"\s+", unicode), " "))
+    return F.trim(F.regexp_replace(_bare(text, unicode), _regex(r"\s+", unicode), " "))
 
 
 def clean_text_social(text: Column, unicode: bool = False) -> Column:
@@ -71,19 +81,18 @@ def preprocess_tweet(text: Column, unicode: bool = False) -> Column:
     return F.trim(F.regexp_replace(out, _regex(r"\s+", unicode), " "))
 
 
-def _words(spaced: Column) -> Column:
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
-
-
 def words(text: Column, unicode: bool = False) -> Column:
     """The words of the cleaned text, stop words included."""
-    return _words(clean_text(text, unicode))
+    return F.array_remove(F.split(_bare(text, unicode), _regex(r"\s+", unicode)), "")
 
 
-def tokens(text: Column, unicode: bool = False, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
-    """Words of the cleaned text with joined pairs split and stop words dropped."""
-    spaced = F.regexp_replace(clean_text(text, unicode), JOINED_PAIRS, "$1$3$5$7 $2$4$6$8")
-    return F.filter(_words(spaced), lambda word: ~word.isin(*stopwords))
+def tokens(text: Column, unicode: bool = False, stopwords: tuple[str, ...] = STOPWORDS, min_length: int = 1) -> Column:
+    """Words of the cleaned text with joined pairs split, short words and stop words dropped."""
+    parted = F.regexp_replace(_bare(text, unicode), JOINED_PAIRS, "$1$3$5$7 $2$4$6$8")
+    return F.filter(
+        F.split(parted, _regex(r"\s+", unicode)),
+        lambda word: (F.length(word) >= min_length) & ~word.isin(*stopwords),
+    )
 
 
 def preprocess(text: Column, unicode: bool = False) -> Column:

@@ -40,7 +40,7 @@ def terms(unigrams: Column) -> Column:
 
 def model_words(text: Column) -> Column:
     """Preprocessed tokens of at least two letters, as the vectoriser takes them."""
-    return F.filter(tx.tokens(text), lambda word: F.length(word) > 1)
+    return tx.tokens(text, min_length=2)
 
 
 def ngrams(posts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:

@@ -58,6 +58,16 @@ def salted_lookup(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def widened(df: DataFrame) -> DataFrame:
+    """The frame spread over all cores if its scan has fewer parts than that, else as it is.
+
+    For costly work on the rows of a few small files. A large table has far more parts than
+    there are cores and is never moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def each(df: DataFrame, values: Column, *kept: str | Column, name: str) -> DataFrame:
     """One row per array entry beside the kept columns.
 

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.hashing import stable_hash
 from ..functions.labels import code_label
 from ..functions.text import STOPWORDS, words
-from ..operators.sizing import each
+from ..operators.sizing import each, widened
+from ..session import fresh_path
 from ..schemas import PROBABILITIES
 
 AS_OF = "2024-01-31 00:00:00"
@@ -24,6 +25,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents, spread over the cores where their file is too small to be split."""
+    return widened(table(spark, sf, "documents"))
+
+
 def _after_day_one(minutes: Column) -> Column:
     return F.lit(DAY_ONE).cast("timestamp_ntz") + F.make_dt_interval(mins=minutes.cast("int"))
 
@@ -73,6 +79,11 @@ def posts(spark: SparkSession, sf: str) -> DataFrame:
     return posts_from(table(spark, sf, "documents"))
 
 
+def long_posts(spark: SparkSession, sf: str) -> DataFrame:
+    """The same posts for queries that work on their text."""
+    return posts_from(texts(spark, sf))
+
+
 def mixed_posts(spark: SparkSession, sf: str) -> DataFrame:
     """Posts as the sources give them: link posts without text, videos with a description only."""
     base = posts(spark, sf)
@@ -201,7 +212,7 @@ def gold(spark: SparkSession, sf: str) -> DataFrame:
 def labelled_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Texts with label names, class codes and splits; both sides have one row per document."""
     marked = gold(spark, sf).withColumn("label", code_label(F.col("y")))
-    return table(spark, sf, "documents").select("doc_id", "text").join(marked, "doc_id")
+    return texts(spark, sf).select("doc_id", "text").join(marked, "doc_id")
 
 
 def timings(spark: SparkSession, sf: str) -> DataFrame:
@@ -257,14 +268,19 @@ def training_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def corpus_lexicon(spark: SparkSession, sf: str) -> DataFrame:
-    """Points for about a fifth of the corpus' words, taken from a hash of the word."""
-    said = each(table(spark, sf, "documents"), words(F.col("text")), name="token").distinct()
+    """Points for about a fifth of the corpus' words, taken from a hash of the word.
+
+    Written as a table, as a lexicon would be, so that its readers know its size.
+    """
+    said = each(texts(spark, sf), words(F.col("text")), name="token").distinct()
     h = stable_hash(F.col("token"))
-    return said.filter(h % 5 == 0).select(
+    path = fresh_path(spark, "lexicon")
+    said.filter(h % 5 == 0).select(
         "token",
         (h % 201 - 100).cast("int").alias("polarity_points"),
         (h % 101).cast("int").alias("subjectivity_points"),
-    )
+    ).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 _PLATFORM = "CASE {0} % 3 WHEN 0 THEN 'twitter' WHEN 1 THEN 'reddit' ELSE 'youtube' END"

@@ -38,7 +38,7 @@ def _iso_z(stamp):
     ("posts",),
 )
 def normalize_tweets(spark: SparkSession, sf: str) -> DataFrame:
-    rows = d.posts(spark, sf).select(
+    rows = d.long_posts(spark, sf).select(
         F.col("doc_id").alias("id"),
         "text",
         _iso_z(F.col("created_at")).alias("created_at"),
@@ -132,7 +132,7 @@ def normalize_videos(spark: SparkSession, sf: str) -> DataFrame:
             _iso_z(F.col("created_at")).alias("publishedAt"),
         ).alias("snippet"),
     )
-    rows = d.posts(spark, sf).select(F.array(item).alias("items"))
+    rows = d.long_posts(spark, sf).select(F.array(item).alias("items"))
     out = landed.normalize_videos(_landed(rows, VIDEO_SEARCH_JSON), _STAMP, d.KEYWORDS)
     return out.select("id", "title", "description", timing.to_iso(F.col("created_at")).alias("created_at"), "channel")
 
@@ -254,12 +254,12 @@ _MATCH_SQL = f"""SELECT id, keyword FROM posts, (SELECT unnest(['{"','".join(d.K
 
 @query("keyword_match", _MATCH_SQL, ("posts",))
 def keyword_match(spark: SparkSession, sf: str) -> DataFrame:
-    return each(d.posts(spark, sf), kw.matched_keywords(F.col("text"), d.KEYWORDS), "id", name="keyword")
+    return each(d.long_posts(spark, sf), kw.matched_keywords(F.col("text"), d.KEYWORDS), "id", name="keyword")
 
 
 @query("keyword_table_match", _MATCH_SQL, ("posts",))
 def keyword_table_match(spark: SparkSession, sf: str) -> DataFrame:
-    return kw.match_keyword_table(d.posts(spark, sf), kw.keyword_table(spark, d.KEYWORDS), max_words=2)
+    return kw.match_keyword_table(d.long_posts(spark, sf), kw.keyword_table(spark, d.KEYWORDS), max_words=2)
 
 
 @query("clean_posts", "SELECT doc_id, text FROM documents WHERE length(text) > 10")
@@ -330,7 +330,7 @@ def skipped_results(spark: SparkSession, sf: str) -> DataFrame:
              FROM documents)""",
 )
 def spam_flags(spark: SparkSession, sf: str) -> DataFrame:
-    flagged = cleaning.spam_flags(d.table(spark, sf, "documents"), key="doc_id")
+    flagged = cleaning.spam_flags(d.texts(spark, sf), key="doc_id")
     return flagged.withColumn("mark_ratio", F.round("mark_ratio", 6))
 
 

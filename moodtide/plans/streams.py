@@ -99,9 +99,7 @@ def stream_keywords(spark: SparkSession, sf: str) -> DataFrame:
 
 def _cycle(spark: SparkSession, sf: str, stream: DataFrame) -> Store:
     store = Store(fresh_path(spark, "store"))
-    lexicon = fresh_path(spark, "lexicon")
-    d.corpus_lexicon(spark, sf).write.parquet(lexicon)
-    scorer = scoring.lexicon_scorer(spark.read.parquet(lexicon), unique=True)
+    scorer = scoring.lexicon_scorer(d.corpus_lexicon(spark, sf), unique=True)
     _written(spark, stream, cycle.Cycle(store, scorer, d.AS_OF))
     return store
 

@@ -17,7 +17,7 @@ _SCORED = "said JOIN lexicon USING (token)"
 
 @query("clean_text", f"SELECT id, {sql_clean('text')} AS clean FROM posts", ("posts",))
 def clean_text(spark: SparkSession, sf: str) -> DataFrame:
-    return d.posts(spark, sf).select("id", tx.clean_text(F.col("text")).alias("clean"))
+    return d.long_posts(spark, sf).select("id", tx.clean_text(F.col("text")).alias("clean"))
 
 
 @query(
@@ -27,7 +27,7 @@ def clean_text(spark: SparkSession, sf: str) -> DataFrame:
     ("posts",),
 )
 def clean_text_social(spark: SparkSession, sf: str) -> DataFrame:
-    return d.posts(spark, sf).select("id", tx.clean_text_social(F.col("text")).alias("clean"))
+    return d.long_posts(spark, sf).select("id", tx.clean_text_social(F.col("text")).alias("clean"))
 
 
 @query(
@@ -38,7 +38,7 @@ def clean_text_social(spark: SparkSession, sf: str) -> DataFrame:
     ("posts",),
 )
 def preprocess_tweet(spark: SparkSession, sf: str) -> DataFrame:
-    return d.posts(spark, sf).select("id", tx.preprocess_tweet(F.col("text")).alias("clean"))
+    return d.long_posts(spark, sf).select("id", tx.preprocess_tweet(F.col("text")).alias("clean"))
 
 
 @query(
@@ -48,7 +48,7 @@ def preprocess_tweet(spark: SparkSession, sf: str) -> DataFrame:
     ("posts",),
 )
 def tokenize(spark: SparkSession, sf: str) -> DataFrame:
-    cut = d.posts(spark, sf).select("id", tx.tokens(F.col("text")).alias("cut"))
+    cut = d.long_posts(spark, sf).select("id", tx.tokens(F.col("text")).alias("cut"))
     joined = F.when(F.size("cut") > 0, F.array_join("cut", "|"))
     return cut.select("id", F.size("cut").cast("bigint").alias("n_tokens"), joined.alias("tokens"))
 
@@ -59,7 +59,7 @@ def tokenize(spark: SparkSession, sf: str) -> DataFrame:
     ("posts",),
 )
 def preprocess(spark: SparkSession, sf: str) -> DataFrame:
-    return d.posts(spark, sf).select("id", tx.preprocess(F.col("text")).alias("clean"))
+    return d.long_posts(spark, sf).select("id", tx.preprocess(F.col("text")).alias("clean"))
 
 
 @query(
@@ -70,7 +70,7 @@ def preprocess(spark: SparkSession, sf: str) -> DataFrame:
 )
 def remove_stopwords(spark: SparkSession, sf: str) -> DataFrame:
     stop = small_table(spark, [(word,) for word in tx.STOPWORDS], ["token"])
-    said = features.exploded_tokens(d.table(spark, sf, "documents"), "doc_id")
+    said = features.exploded_tokens(d.texts(spark, sf), "doc_id")
     return features.remove_stopwords(said, stop).groupBy("token").agg(F.count("*").alias("n"))
 
 
@@ -82,7 +82,7 @@ def remove_stopwords(spark: SparkSession, sf: str) -> DataFrame:
     ("said",),
 )
 def lemmatize(spark: SparkSession, sf: str) -> DataFrame:
-    said = features.exploded_tokens(d.table(spark, sf, "documents"), "doc_id").select("token")
+    said = features.exploded_tokens(d.texts(spark, sf), "doc_id").select("token")
     plural = said.distinct().filter((F.length("token") > 3) & F.col("token").endswith("s"))
     lemmas = plural.select("token", F.expr("substring(token, 1, length(token) - 1)").alias("lemma"))
     return features.lemmatize(said, lemmas).groupBy("lemma").agg(F.count("*").alias("n"))
@@ -148,7 +148,7 @@ def probability_struct(spark: SparkSession, sf: str) -> DataFrame:
     ("said", "lexicon"),
 )
 def lexicon_polarity(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.lexicon_polarity(d.table(spark, sf, "documents"), d.corpus_lexicon(spark, sf), ["doc_id"])
+    return scoring.lexicon_polarity(d.texts(spark, sf), d.corpus_lexicon(spark, sf), ["doc_id"])
 
 
 _SENTIMENT_SQL = f"""SELECT doc_id, polarity, subjectivity, abs(polarity) AS confidence,
@@ -161,7 +161,7 @@ _SENTIMENT_SQL = f"""SELECT doc_id, polarity, subjectivity, abs(polarity) AS con
 
 @query("lexicon_sentiment", _SENTIMENT_SQL, ("said", "lexicon"))
 def lexicon_sentiment(spark: SparkSession, sf: str) -> DataFrame:
-    documents = d.table(spark, sf, "documents").select("doc_id", "text")
+    documents = d.texts(spark, sf).select("doc_id", "text")
     scored = scoring.lexicon_sentiment(documents, d.corpus_lexicon(spark, sf), ["doc_id"], unique=True)
     return scored.select(
         "doc_id", "sentiment.label", "sentiment.polarity", "sentiment.subjectivity", "sentiment.confidence"
@@ -176,7 +176,7 @@ def lexicon_sentiment(spark: SparkSession, sf: str) -> DataFrame:
 )
 def score_posts(spark: SparkSession, sf: str) -> DataFrame:
     scorer = scoring.lexicon_scorer(d.corpus_lexicon(spark, sf))
-    return scoring.score_posts(d.posts(spark, sf), scorer, d.AS_OF).select(
+    return scoring.score_posts(d.long_posts(spark, sf), scorer, d.AS_OF).select(
         "post_id", "platform", "text", "sentiment.label", "sentiment.polarity", "metadata.*"
     )
 
@@ -195,7 +195,7 @@ def score_with_callable(spark: SparkSession, sf: str) -> DataFrame:
         names = {0: "negative", 1: "neutral", 2: "positive"}
         return pd.DataFrame({"label": (n % 3).map(names), "confidence": n % 100 / 100}, index=texts.index)
 
-    scored = scoring.callable_scorer(by_length, ["id"])(d.posts(spark, sf))
+    scored = scoring.callable_scorer(by_length, ["id"])(d.long_posts(spark, sf))
     return scored.select("id", "sentiment.label", "sentiment.confidence")
 
 
@@ -225,13 +225,13 @@ def error_capture(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("ngrams", "SELECT term, count(*) AS n FROM terms GROUP BY term", ("terms",))
 def ngrams(spark: SparkSession, sf: str) -> DataFrame:
-    said = features.ngrams(d.table(spark, sf, "documents"), "doc_id")
+    said = features.ngrams(d.texts(spark, sf), "doc_id")
     return said.groupBy("term").agg(F.count("*").alias("n"))
 
 
 @query("vocabulary", "SELECT term, corpus_tf, df FROM vocab", ("terms", "counts", "vocab"))
 def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
-    return features.vocabulary(features.term_counts(d.table(spark, sf, "documents"), "doc_id"))
+    return features.vocabulary(features.term_counts(d.texts(spark, sf), "doc_id"))
 
 
 @query(
@@ -242,7 +242,7 @@ def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     ("terms", "counts", "vocab"),
 )
 def tfidf(spark: SparkSession, sf: str) -> DataFrame:
-    return features.tfidf(d.table(spark, sf, "documents"), "doc_id")
+    return features.tfidf(d.texts(spark, sf), "doc_id")
 
 
 @query(
@@ -264,7 +264,7 @@ def training_frame(spark: SparkSession, sf: str) -> DataFrame:
 )
 def pad_sequences(spark: SparkSession, sf: str) -> DataFrame:
     ids = F.transform(F.split("text", " "), lambda word: F.length(word))
-    rows = d.table(spark, sf, "documents").select("doc_id", "source", ids.alias("input_ids"))
+    rows = d.texts(spark, sf).select("doc_id", "source", ids.alias("input_ids"))
     padded = features.pad_sequences(rows, batch=["source"])
     as_text = [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("input_ids", "attention_mask")]
     return padded.select("doc_id", *as_text)
