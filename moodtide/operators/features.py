@@ -14,8 +14,8 @@ from .sizing import each, lookup_side
 
 def exploded_tokens(posts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """``(key, position, token)`` of every word of the cleaned text."""
-    said = posts.select(key, F.posexplode_outer(tx.words(F.col(text))).alias("position", "token"))
-    return said.filter(F.col("token").isNotNull())
+    said = posts.select(key, tx.words(F.col(text)).alias("said"))
+    return said.select(key, F.posexplode_outer("said").alias("position", "token")).filter(F.col("token").isNotNull())
 
 
 def remove_stopwords(said: DataFrame, stopwords: DataFrame) -> DataFrame:

@@ -71,11 +71,14 @@ def widened(df: DataFrame) -> DataFrame:
 def each(df: DataFrame, values: Column, *kept: str | Column, name: str) -> DataFrame:
     """One row per array entry beside the kept columns.
 
-    A plain explode makes the optimizer add a filter on the array's size, which computes the
-    array a second time. Exploding with a null row for an empty array and dropping that row
-    computes it once.
+    The array is made in a projection of its own, where parts it repeats are computed once.
+    A plain explode would make the optimizer add a filter on the array's size and compute the
+    array again for it; exploding with a null row for an empty array, and dropping that row,
+    does not.
     """
-    return df.select(*kept, F.explode_outer(values).alias(name)).filter(F.col(name).isNotNull())
+    made = df.select(*kept, values.alias("_each"))
+    rest = [c for c in made.columns if c != "_each"]
+    return made.select(*rest, F.explode_outer("_each").alias(name)).filter(F.col(name).isNotNull())
 
 
 def spread(columns: Sequence[str], parts: int) -> Column:

@@ -11,10 +11,13 @@ from ..operators.sizing import each, lookup_side, small_table
 
 
 def matched_keywords(text: Column, keywords: Sequence[str]) -> Column:
-    """The keywords found in the text as whole words or phrases, in list order."""
-    listed = F.array(*[F.lit(word) for word in keywords])
-    found = phrase_text(text)
-    return F.filter(listed, lambda word: F.contains(found, phrase_text(word)))
+    """The keywords found in the text as whole words or phrases, in list order.
+
+    Unlike a filter function over the list, this form prepares the text once for all keywords.
+    """
+    spoken = phrase_text(text)
+    hits = [F.when(F.contains(spoken, phrase_text(F.lit(word))), F.lit(word)).otherwise("") for word in keywords]
+    return F.array_remove(F.array(*hits), "")
 
 
 def keyword_table(spark: SparkSession, keywords: Sequence[str]) -> DataFrame:
