@@ -18,7 +18,10 @@ from .derived import sql_iso, sql_phrase
 from .registry import query
 
 _FOUND = " OR ".join(f"contains({{0}}, ' {word} ')" for word in d.KEYWORDS)
-_STAMP = F.lit(d.AS_OF)
+
+
+def _stamp():
+    return F.lit(d.AS_OF)
 
 
 def _landed(rows: DataFrame, schema) -> DataFrame:
@@ -49,7 +52,7 @@ def normalize_tweets(spark: SparkSession, sf: str) -> DataFrame:
             F.col("retweets").alias("retweet_count"),
         ).alias("public_metrics"),
     )
-    out = landed.normalize_tweets(_landed(rows, TWEET_JSON), _STAMP, d.KEYWORDS)
+    out = landed.normalize_tweets(_landed(rows, TWEET_JSON), _stamp(), d.KEYWORDS)
     return out.select(
         "id", "text", timing.to_iso(F.col("created_at")).alias("created_at"), "author_id", "likes", "retweets"
     )
@@ -81,7 +84,7 @@ def normalize_reddit_posts(spark: SparkSession, sf: str) -> DataFrame:
         "score",
         (F.col("likes") + F.col("retweets")).alias("num_comments"),
     )
-    out = landed.normalize_reddit_posts(_landed(rows, SUBMISSION_JSON), _STAMP, d.SUBREDDITS, d.KEYWORDS, limit=30)
+    out = landed.normalize_reddit_posts(_landed(rows, SUBMISSION_JSON), _stamp(), d.SUBREDDITS, d.KEYWORDS, limit=30)
     return out.select(
         "id", "title", "text", timing.to_iso(F.col("created_at")).alias("created_at"), "author", "subreddit",
         "upvotes", "downvotes", "score", "num_comments", "matched_keyword",
@@ -109,7 +112,7 @@ def comments_per_parent(spark: SparkSession, sf: str) -> DataFrame:
         "parent_id",
         "position",
     )
-    out = landed.normalize_reddit_comments(_landed(rows, SUBMISSION_COMMENT_JSON), _STAMP, limit=3)
+    out = landed.normalize_reddit_comments(_landed(rows, SUBMISSION_COMMENT_JSON), _stamp(), limit=3)
     return out.select(
         "id", "parent_id", "text", "author", timing.to_iso(F.col("created_at")).alias("created_at"), "score"
     )
@@ -133,7 +136,7 @@ def normalize_videos(spark: SparkSession, sf: str) -> DataFrame:
         ).alias("snippet"),
     )
     rows = d.long_posts(spark, sf).select(F.array(item).alias("items"))
-    out = landed.normalize_videos(_landed(rows, VIDEO_SEARCH_JSON), _STAMP, d.KEYWORDS)
+    out = landed.normalize_videos(_landed(rows, VIDEO_SEARCH_JSON), _stamp(), d.KEYWORDS)
     return out.select("id", "title", "description", timing.to_iso(F.col("created_at")).alias("created_at"), "channel")
 
 
@@ -160,7 +163,7 @@ def normalize_video_comments(spark: SparkSession, sf: str) -> DataFrame:
         ).alias("snippet")
     )
     rows = d.comments(spark, sf).select(F.col("parent_id").alias("video_id"), F.array(thread).alias("items"))
-    out = landed.normalize_video_comments(_landed(rows, VIDEO_COMMENTS_JSON), _STAMP)
+    out = landed.normalize_video_comments(_landed(rows, VIDEO_COMMENTS_JSON), _stamp())
     return out.select(
         "video_id", "id", "text", "author", "likes", timing.to_iso(F.col("created_at")).alias("created_at")
     )

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+_local_folders: dict[str, str] = {}
+
+
 def build_session(app_name: str = "moodtide", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators assume; ``conf`` wins over them."""
     settings = {
@@ -29,7 +32,7 @@ def build_session(app_name: str = "moodtide", master: str | None = None, **conf:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
     A local session without the setting gets a temporary folder; a cluster session
     without it is refused, since its executors share no local disk.
@@ -39,9 +42,10 @@ def shared_folder(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="moodtide-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="moodtide-")
+    return _local_folders[application]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

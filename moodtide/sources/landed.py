@@ -19,16 +19,18 @@ from .keywords import matched_keywords
 
 
 def read_landed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON-lines files with a given schema; unreadable lines keep their text aside."""
-    return spark.read.schema(_with_corrupt(schema)).option("mode", "PERMISSIVE").json(path)
+    """JSON-lines files with a given schema; an unreadable line is kept as ``_corrupt_record``."""
+    return _parsed(spark.read.text(path), schema)
 
 
 def stream_landed(spark: SparkSession, path: str, schema: T.StructType, **options: str) -> DataFrame:
-    return spark.readStream.schema(_with_corrupt(schema)).options(mode="PERMISSIVE", **options).json(path)
+    return _parsed(spark.readStream.options(**options).text(path), schema)
 
 
-def _with_corrupt(schema: T.StructType) -> T.StructType:
-    return T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+def _parsed(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """Lines parsed by expression: the JSON reader refuses to count the unreadable lines alone."""
+    whole = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    return lines.select(F.from_json("value", whole).alias("record")).select("record.*")
 
 
 def _tracked(keywords: Sequence[str]) -> Column:
