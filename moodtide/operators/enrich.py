@@ -12,10 +12,11 @@ def post_comment_counts(posts: DataFrame, comments: DataFrame, post_key: str = "
                         parent: str = "parent_id") -> DataFrame:
     """Comments of every post, zero where there are none.
 
-    Comments are counted before they are joined, so a much-discussed post is one row.
+    Comments are counted before they are joined, so a much-discussed post is one row; a post
+    that is held very many times is spread over several tasks.
     """
     counted = comments.groupBy(F.col(parent).alias(post_key)).agg(F.count("*").alias("comments"))
-    return posts.join(counted, post_key, "left").withColumn("comments", F.coalesce("comments", F.lit(0)))
+    return salted_lookup(posts, counted, [post_key]).withColumn("comments", F.coalesce("comments", F.lit(0)))
 
 
 def video_engagement(videos: DataFrame, stats: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import text as tx
 from ..functions.labels import label_code
 from ..settings import MAX_SEQUENCE_LENGTH, VOCABULARY_SIZE
-from .sizing import each, lookup_side
+from .sizing import each, lookup_join
 
 
 def exploded_tokens(posts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -20,12 +20,12 @@ def exploded_tokens(posts: DataFrame, key: str = "id", text: str = "text") -> Da
 
 def remove_stopwords(said: DataFrame, stopwords: DataFrame) -> DataFrame:
     """Token rows whose token is not in the stop-word table."""
-    return said.join(lookup_side(stopwords), "token", "left_anti")
+    return lookup_join(said, stopwords, ["token"], "left_anti")
 
 
 def lemmatize(said: DataFrame, lemmas: DataFrame) -> DataFrame:
     """Token rows with the token's lemma, or the token itself where the table has none."""
-    return said.join(lookup_side(lemmas), "token", "left").withColumn("lemma", F.coalesce("lemma", "token"))
+    return lookup_join(said, lemmas, ["token"], "left").withColumn("lemma", F.coalesce("lemma", "token"))
 
 
 def terms(unigrams: Column) -> Column:

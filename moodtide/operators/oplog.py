@@ -24,6 +24,14 @@ HEALTH_LIMITS = (
     ("disk_usage", "disk", 85.0, 95.0),
 )
 
+# Health status and the message that goes with it.
+HEALTH_MESSAGES = {
+    "healthy": "System is running normally",
+    "warning": "System has performance warnings",
+    "critical": "System has critical issues",
+    "error": "Unable to get system metrics",
+}
+
 
 def last_n_timings(timings: DataFrame, n: int = TIMING_WINDOW, tie_break: Sequence[str] = ()) -> DataFrame:
     """The latest ``n`` records over all operations."""
@@ -153,6 +161,7 @@ def health_status(metrics: DataFrame) -> DataFrame:
         F.when((F.col(c) > warning) & (F.col(c) <= critical), alert("Elevated", name, c))
         for c, name, warning, critical in HEALTH_LIMITS
     ]
+    messages = F.create_map(*[F.lit(part) for pair in HEALTH_MESSAGES.items() for part in pair])
     sampled = F.coalesce(*[F.col(c) for c, *_ in HEALTH_LIMITS]).isNotNull()
     has_issue, has_warning = F.size("issues") > 0, F.size("warnings") > 0
     return (
@@ -162,13 +171,7 @@ def health_status(metrics: DataFrame) -> DataFrame:
             "status",
             F.when(~sampled, "error").when(has_issue, "critical").when(has_warning, "warning").otherwise("healthy"),
         )
-        .withColumn(
-            "message",
-            F.when(~sampled, "Unable to get system metrics")
-            .when(has_issue, "System has critical issues")
-            .when(has_warning, "System has performance warnings")
-            .otherwise("System is running normally"),
-        )
+        .withColumn("message", messages[F.col("status")])
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import text as tx
 from ..functions.labels import polarity_confidence, polarity_label
 from ..schemas import SENTIMENT
-from .sizing import each, lookup_side, salted_lookup, small_table
+from .sizing import each, lookup_join, salted_lookup, small_table
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -52,7 +52,7 @@ def lexicon_polarity(posts: DataFrame, lexicon: DataFrame, keys: Sequence[str] =
     up its own posts, so one short row per post is all that is shuffled. Posts without any
     known word have no row.
     """
-    known = _scored_words(posts, keys, negators).join(lookup_side(lexicon), "token")
+    known = lookup_join(_scored_words(posts, keys, negators), lexicon, ["token"])
     return known.groupBy(*keys).agg(
         F.sum(F.col("factor") * F.col("polarity_points")).alias("polarity_points"),
         F.sum("subjectivity_points").cast("double").alias("subjectivity_points"),
@@ -120,11 +120,11 @@ def callable_scorer(score: Callable[[pd.Series], pd.DataFrame], keep: Sequence[s
 
 
 def with_fallback(primary: Scorer, fallback: Scorer, keys: Sequence[str] = ("platform", "id")) -> Scorer:
-    """The primary score where it gives a label, else the fallback's."""
+    """The primary score where it gives a label, else the fallback's, of which copies of a post share one."""
 
     def scorer(posts: DataFrame) -> DataFrame:
-        second = fallback(posts).select(*keys, F.col("sentiment").alias("_second"))
-        both = primary(posts).join(second, list(keys), "left")
+        second = fallback(posts).select(*keys, F.col("sentiment").alias("_second")).dropDuplicates(list(keys))
+        both = salted_lookup(primary(posts), second, keys)
         chosen = F.when(F.col("sentiment.label").isNotNull(), F.col("sentiment")).otherwise(F.col("_second"))
         return both.withColumn("sentiment", chosen).drop("_second")
 

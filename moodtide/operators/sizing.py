@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..settings import LOOKUP_BYTE_BOUND, LOOKUP_ROW_BOUND
+from .. import settings
 
 
 def small_table(spark: SparkSession, rows: Sequence[tuple], columns: Sequence[str]) -> DataFrame:
@@ -16,19 +16,24 @@ def small_table(spark: SparkSession, rows: Sequence[tuple], columns: Sequence[st
     return spark.createDataFrame(pa.table(data))
 
 
-def lookup_side(lookup: DataFrame, rows: int = LOOKUP_ROW_BOUND, size: int = LOOKUP_BYTE_BOUND) -> DataFrame:
-    """The lookup marked for broadcast if it is measured to be small, else as it is.
+def is_small(lookup: DataFrame) -> bool:
+    """Whether a lookup is measured to be within the bounds for sending it to every executor.
 
-    The measurement reads at most ``rows + 1`` rows. A larger lookup is joined by shuffle.
+    The measurement reads at most one row more than the row bound.
     """
     measured = (
-        lookup.limit(rows + 1)
+        lookup.limit(settings.LOOKUP_ROW_BOUND + 1)
         .agg(F.count("*").alias("n"), F.sum(F.length(F.to_json(F.struct("*")))).alias("chars"))
         .first()
     )
-    if measured.n <= rows and (measured.chars or 0) * 4 <= size:
-        return F.broadcast(lookup)
-    return lookup
+    return measured.n <= settings.LOOKUP_ROW_BOUND and (measured.chars or 0) * 4 <= settings.LOOKUP_BYTE_BOUND
+
+
+def lookup_join(df: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join to a lookup by broadcast if it is small, else by shuffle with hot keys spread."""
+    if is_small(lookup):
+        return df.join(F.broadcast(lookup), list(keys), how)
+    return salted_lookup(df, lookup, keys, how)
 
 
 def salted_lookup(
@@ -38,10 +43,10 @@ def salted_lookup(
     how: str = "left",
     spread_on: Sequence[str] | None = None,
     sizes: DataFrame | None = None,
-    hot_rows: int = 1_000_000,
+    hot_rows: int | None = None,
     salts: int = 64,
 ) -> DataFrame:
-    """Join to a lookup with one row per key, spreading keys that hold very many rows.
+    """Join to a lookup with few rows per key, spreading keys that hold very many rows.
 
     A key with more than ``hot_rows`` rows is split by ``spread_on`` (all other columns if
     not given) over ``salts`` tasks and only its lookup row is repeated for them. There can be no more than
@@ -49,7 +54,8 @@ def salted_lookup(
     ``sizes`` gives keys and their ``count`` where the caller has them already.
     """
     counted = df.groupBy(*keys).count() if sizes is None else sizes
-    hot = F.broadcast(counted.filter(F.col("count") > hot_rows).select(*keys, F.lit(True).alias("_hot")))
+    above = settings.HOT_KEY_ROWS if hot_rows is None else hot_rows
+    hot = F.broadcast(counted.filter(F.col("count") > above).select(*keys, F.lit(True).alias("_hot")))
     part = spread([c for c in df.columns if c not in keys] if spread_on is None else spread_on, salts)
     salt = F.when(F.col("_hot"), part).otherwise(F.lit(0)).cast("int")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))

@@ -31,6 +31,20 @@ def build_session(app_name: str = "moodtide", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def sized_settings(input_bytes: int, partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
+    """Settings for an input of a given size, to be passed on to ``build_session``.
+
+    Shuffles start with enough parts for each to fit an executor's memory; adaptive
+    execution joins the small ones again.
+    """
+    parts = max(200, -(-input_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(min(parts, 100_000)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+    }
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 

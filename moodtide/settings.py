@@ -27,3 +27,6 @@ MAX_SEQUENCE_LENGTH = 128
 # Bounds below which a lookup table may be sent to every executor.
 LOOKUP_ROW_BOUND = 200_000
 LOOKUP_BYTE_BOUND = 64 * 1024 * 1024
+
+# A join key with more rows than this is spread over several tasks.
+HOT_KEY_ROWS = 1_000_000

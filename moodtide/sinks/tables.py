@@ -55,22 +55,37 @@ class Store:
 def write_batch(df: DataFrame, store: Store, table: str, batch_id: int) -> None:
     """Write one batch in the table's layout; writing the same batch again replaces it.
 
+    What an earlier attempt wrote is removed by its batch number, since a stamp taken anew
+    may put rows under another day.
+
     Rows are sorted by time inside files so that their minimum and maximum narrow a scan,
     and the key column has a bloom filter for point lookups.
     """
-    time = TIME_COLUMN[table]
+    time, spark = TIME_COLUMN[table], df.sparkSession
+    for folder in _folders(spark, f"{store.path(table)}/day=*/platform=*/batch_id={batch_id}"):
+        _remove(spark, folder)
     placed = conform(df, LAYOUT[table]).withColumn("day", timing.day_text(F.col(time))).withColumn("batch_id", F.lit(batch_id))
     (
         placed.hint("rebalance", *[F.col(c) for c in PARTITIONS])
         .sortWithinPartitions(*PARTITIONS, "created_at")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .write.mode("append")
         .option(f"parquet.bloom.filter.enabled#{LOOKUP_COLUMN[table]}", "true")
         .partitionBy(*PARTITIONS)
         .parquet(store.path(table))
     )
 
 
+def _folders(spark: SparkSession, pattern: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [entry.getPath().toString() for entry in found or []]
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def insert_raw_posts(posts: DataFrame, store: Store, batch_id: int) -> None:
     write_batch(posts, store, "raw_posts", batch_id)
 
@@ -96,29 +111,35 @@ def retention_deleted_counts(raw: DataFrame, results: DataFrame, as_of: str, day
     return counted(raw, "raw_posts").unionByName(counted(results, "sentiment_results"))
 
 
-def enforce_retention(spark: SparkSession, store: Store, table: str, as_of: str, days: int = RETENTION_DAYS,
-                      staging: str | None = None) -> None:
+def enforce_retention(spark: SparkSession, store: Store, table: str, as_of: str, days: int = RETENTION_DAYS) -> None:
     """Drop whole expired days and rewrite only the day the cutoff falls in.
 
-    The kept part of that day is first written aside, so a run that is cut short can be
-    repeated.
+    The kept part of that day is written aside before the day is replaced. A run that was cut
+    short leaves it there, and the next run puts it in place first.
     """
+    aside = f"{store.base}/_kept_{table}"
+    for folder in _folders(spark, f"{aside}/day=*/_SUCCESS"):
+        _replace_day(spark, store, table, folder.removesuffix("/_SUCCESS"))
     cutoff = spark.range(1).select(
         timing.day_text(F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days))).alias("day")
     ).first()["day"]
-    path = spark._jvm.org.apache.hadoop.fs.Path(store.path(table))
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    listed = [entry.getPath() for entry in files.listStatus(path) if entry.getPath().getName().startswith("day=")]
-    for folder in listed:
-        if folder.getName() < f"day={cutoff}":
-            files.delete(folder, True)
-    if any(folder.getName() == f"day={cutoff}" for folder in listed):
-        aside = staging or f"{store.base}/_{table}_kept"
+    held = {folder.rsplit("day=", 1)[1]: folder for folder in _folders(spark, f"{store.path(table)}/day=*")}
+    for day, folder in held.items():
+        if day < cutoff:
+            _remove(spark, folder)
+    if cutoff in held:
         edge = store.read(spark, table).filter(F.col("day") == cutoff)
-        retention_keep(edge, TIME_COLUMN[table], as_of, days).write.mode("overwrite").parquet(aside)
-        kept = spark.read.schema(stored_layout(table)).parquet(aside)
-        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{store.path(table)}/day={cutoff}"), True)
-        kept.write.mode("append").partitionBy(*PARTITIONS).parquet(store.path(table))
+        kept = retention_keep(edge, TIME_COLUMN[table], as_of, days)
+        kept.write.mode("overwrite").parquet(f"{aside}/day={cutoff}")
+        _replace_day(spark, store, table, f"{aside}/day={cutoff}")
+
+
+def _replace_day(spark: SparkSession, store: Store, table: str, kept: str) -> None:
+    day = kept.rsplit("day=", 1)[1]
+    _remove(spark, f"{store.path(table)}/day={day}")
+    rows = spark.read.schema(stored_layout(table)).parquet(kept)
+    rows.write.mode("append").partitionBy(*PARTITIONS).parquet(store.path(table))
+    _remove(spark, kept)
 
 
 def export_results(df: DataFrame, path: str, kind: str = "parquet") -> None:

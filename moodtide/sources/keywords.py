@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import phrase_text
-from ..operators.sizing import each, lookup_side, small_table
+from ..operators.sizing import each, lookup_join, small_table
 
 
 def matched_keywords(text: Column, keywords: Sequence[str]) -> Column:
@@ -47,4 +47,4 @@ def match_keyword_table(posts: DataFrame, keywords: DataFrame, key: str = "id",
         spans.append(_extended(spans[-1], length))
     phrases = each(spoken, F.array_distinct(F.concat(*spans)), key, name="phrase")
     tracked = keywords.select("keyword", F.trim(phrase_text(F.col("keyword"))).alias("phrase")).distinct()
-    return phrases.join(lookup_side(tracked), "phrase").select(key, "keyword")
+    return lookup_join(phrases, tracked, ["phrase"]).select(key, "keyword")

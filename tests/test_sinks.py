@@ -46,6 +46,34 @@ def test_retention_drops_days_and_rewrites_only_the_edge(spark, tmp_path):
     assert not (tmp_path / "raw_posts" / "day=2024-01-01").exists()
 
 
+def test_retention_cut_short_is_finished_by_the_next_run(spark, tmp_path, monkeypatch):
+    store = sinks.Store(str(tmp_path))
+    sinks.insert_raw_posts(posts(spark, DAYS), store, 0)
+    real = sinks._remove
+
+    def fail_after_removing_the_day(session, folder):
+        real(session, folder)
+        if folder.endswith("raw_posts/day=2024-01-02"):
+            raise RuntimeError("lost")
+
+    monkeypatch.setattr(sinks, "_remove", fail_after_removing_the_day)
+    with pytest.raises(RuntimeError):
+        sinks.enforce_retention(spark, store, "raw_posts", "2024-01-12 08:00:00", days=10)
+    monkeypatch.setattr(sinks, "_remove", real)
+    assert ids(store.read(spark, "raw_posts")) == ["4"]
+    sinks.enforce_retention(spark, store, "raw_posts", "2024-01-12 08:00:00", days=10)
+    assert ids(store.read(spark, "raw_posts")) == ["3", "4"]
+
+
+def test_replay_under_another_stamp_leaves_no_copy(spark, tmp_path):
+    store = sinks.Store(str(tmp_path))
+    results = posts(spark, DAYS).withColumnRenamed("id", "post_id")
+    sinks.insert_results(results, store, 3, "2024-01-31 23:59:59")
+    sinks.insert_results(results, store, 3, "2024-02-01 00:00:01")
+    stored = store.read(spark, "sentiment_results")
+    assert stored.count() == 4 and {r.day for r in stored.select("day").collect()} == {"2024-02-01"}
+
+
 def test_retention_counts_and_rows_without_time(spark):
     raw = posts(spark, [*DAYS, ("5", "x", "t", None)])
     results = raw.withColumnRenamed("collected_at", "processed_at")

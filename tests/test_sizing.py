@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from moodtide.operators import cleaning, enrich
-from moodtide.operators.sizing import each, lookup_side, salted_lookup, widened
+from moodtide import settings
+from moodtide.operators.sizing import each, is_small, lookup_join, salted_lookup, widened
 
 
 def hot_rows(spark):
@@ -34,11 +35,26 @@ def test_hot_key_is_spread_even_if_its_rows_are_copies(spark):
     assert parts.distinct().count() > 1
 
 
-def test_lookup_is_broadcast_only_when_small(spark):
+def test_lookup_is_small_within_both_bounds(spark, monkeypatch):
     small = spark.range(10).withColumn("x", F.lit("y"))
-    assert "broadcast" in lookup_side(small)._jdf.queryExecution().logical().toString()
-    assert "broadcast" not in lookup_side(small, rows=5)._jdf.queryExecution().logical().toString()
-    assert "broadcast" not in lookup_side(small, size=50)._jdf.queryExecution().logical().toString()
+    assert is_small(small)
+    monkeypatch.setattr(settings, "LOOKUP_ROW_BOUND", 5)
+    assert not is_small(small)
+    monkeypatch.setattr(settings, "LOOKUP_ROW_BOUND", 50)
+    monkeypatch.setattr(settings, "LOOKUP_BYTE_BOUND", 50)
+    assert not is_small(small)
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_anti"])
+def test_large_lookup_gives_the_same_rows(spark, monkeypatch, how):
+    rows, other = hot_rows(spark), lookup(spark)
+    columns = ["k", "v"] if how == "left_anti" else ["k", "v", "x"]
+    small = bag(lookup_join(rows, other, ["k"], how), columns)
+    monkeypatch.setattr(settings, "LOOKUP_ROW_BOUND", 5)
+    monkeypatch.setattr(settings, "HOT_KEY_ROWS", 100)
+    large = lookup_join(rows, other, ["k"], how)
+    assert "_salt" in large._jdf.queryExecution().analyzed().toString()
+    assert bag(large, columns) == small
 
 
 def test_each_drops_nothing_but_empty_arrays(spark):
