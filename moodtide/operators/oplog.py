@@ -70,7 +70,7 @@ def running_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], buck
 
 
 def rolling_avg_duration(timings: DataFrame, n: int = TIMING_WINDOW, tie_break: Sequence[str] = (),
-                         block: int = 100_000, digits: int = 6) -> DataFrame:
+                         block: int = 100_000, digits: int = 6, bucket: str = "minute") -> DataFrame:
     """Mean of each record and the ``n - 1`` before it of the same operation.
 
     Records are numbered per operation and cut into blocks of ``block``; the last ``n - 1``
@@ -78,7 +78,7 @@ def rolling_avg_duration(timings: DataFrame, n: int = TIMING_WINDOW, tie_break:
     no task holds a whole operation.
     """
     order = ["timestamp", *tie_break]
-    numbered = running_index(timings, ["operation"], order, F.date_trunc("minute", F.col("timestamp")), "position")
+    numbered = running_index(timings, ["operation"], order, F.date_trunc(bucket, F.col("timestamp")), "position")
     home = F.floor((F.col("position") - 1) / block)
     at_end = (F.col("position") - 1) % block >= block - (n - 1)
     placed = numbered.withColumn("_home", home).withColumn(
@@ -131,10 +131,10 @@ def should_retry(message: Column, count: Column) -> Column:
     )
 
 
-def retry_decision(errors: DataFrame, tie_break: Sequence[str] = ()) -> DataFrame:
+def retry_decision(errors: DataFrame, tie_break: Sequence[str] = (), bucket: str = "minute") -> DataFrame:
     """Each error with the running count of its key and the decision taken on it."""
     counted = running_index(
-        errors, ["error_key"], ["timestamp", *tie_break], F.date_trunc("minute", F.col("timestamp")), "error_count"
+        errors, ["error_key"], ["timestamp", *tie_break], F.date_trunc(bucket, F.col("timestamp")), "error_count"
     )
     return counted.withColumn("should_retry", should_retry(F.col("message"), F.col("error_count")))
 
