@@ -95,13 +95,13 @@ def pad_sequences(sequences: DataFrame, ids: str = "input_ids", pad: int = 0,
                   max_length: int = MAX_SEQUENCE_LENGTH, batch: Sequence[str] = ()) -> DataFrame:
     """Sequences cut to ``max_length``, padded to the longest of their batch, with an attention mask.
 
-    The longest length is one number per batch, folded before it is joined back. Without a
-    batch column it is one number for the whole frame.
+    The longest length is one number per batch, folded before it is joined back, so a batch
+    that holds most rows is never gathered. Without a batch column it is one number for all rows.
     """
     cut = sequences.withColumn(ids, F.slice(ids, 1, max_length))
     if batch:
         longest = cut.groupBy(*batch).agg(F.max(F.size(ids)).alias("_longest"))
-        cut = cut.join(longest, list(batch))
+        cut = lookup_join(cut, longest, batch)
     else:
         cut = cut.withColumn("_longest", cut.select(F.max(F.size(ids))).scalar())
     missing = F.col("_longest") - F.size(ids)

@@ -97,6 +97,11 @@ def samples_per_label(labelled: DataFrame, k: int = 3, label: str = "label", row
     return top_k_per_group(labelled, [label], [F.col(row).asc()], k, rank="sample")
 
 
+def first_rows(df: DataFrame, order: str, n: int = 6) -> DataFrame:
+    """The first ``n`` rows in the order of a unique column."""
+    return df.orderBy(F.col(order).asc()).limit(n)
+
+
 def _by_confidence() -> list[Column]:
     return [F.col("sentiment.confidence").desc(), F.col("processed_at").desc(), F.col("post_id").asc()]
 

@@ -262,7 +262,7 @@ def keyword_match(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("keyword_table_match", _MATCH_SQL, ("posts",))
 def keyword_table_match(spark: SparkSession, sf: str) -> DataFrame:
-    return kw.match_keyword_table(d.long_posts(spark, sf), kw.keyword_table(spark, d.KEYWORDS), max_words=2)
+    return kw.match_keyword_table(d.long_posts(spark, sf), kw.keyword_table(spark, d.KEYWORDS))
 
 
 @query("clean_posts", "SELECT doc_id, text FROM documents WHERE length(text) > 10")

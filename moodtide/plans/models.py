@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import evaluation as ev, training
+from ..operators import evaluation as ev, ranking, training
 from ..session import fresh_path
 from . import derived as d
 from .derived import sql_hash
@@ -117,6 +117,15 @@ def model_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return _two_labellers(spark, sf)
 
 
+@query(
+    "agreement_samples",
+    """SELECT doc_id, label AS label_b, y = yhat AS agree FROM labelled_texts ORDER BY doc_id LIMIT 6""",
+    ("gold", "labelled_texts"),
+)
+def agreement_samples(spark: SparkSession, sf: str) -> DataFrame:
+    return ranking.first_rows(_two_labellers(spark, sf), "doc_id").select("doc_id", "label_b", "agree")
+
+
 @query(
     "agreement_rate",
     """SELECT count(*) AS n, count(*) FILTER (y = yhat) AS agreed, round_even(count(*) FILTER (y = yhat) / count(*), 6) AS rate

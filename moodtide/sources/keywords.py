@@ -34,17 +34,22 @@ def _extended(shorter: Column, length: int) -> Column:
     )
 
 
-def match_keyword_table(posts: DataFrame, keywords: DataFrame, key: str = "id", text: str = "text",
-                        max_words: int = 4) -> DataFrame:
-    """``(key, keyword)`` for every tracked phrase of up to ``max_words`` words in a post.
+def match_keyword_table(posts: DataFrame, keywords: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """``(key, keyword)`` for every tracked phrase in a post.
 
     Phrases are matched by equality on their words, so the number of keywords does not
-    multiply the posts. Repeats within a post are removed before the rows are moved.
+    multiply the posts. Only phrase lengths that the table has are formed, and repeats
+    within a post are removed before the rows are moved.
     """
+    tracked = keywords.select("keyword", F.trim(phrase_text(F.col("keyword"))).alias("phrase")).distinct()
+    words = F.size(F.split("phrase", " "))
+    lengths = set(tracked.filter(F.col("phrase") != "").agg(F.collect_set(words).alias("lengths")).first()["lengths"])
+    if not lengths:
+        return posts.select(key, F.lit(None).cast("string").alias("keyword")).filter(F.lit(False))
     spoken = posts.select(key, F.split(F.trim(phrase_text(F.col(text))), " ").alias("spoken"))
     spans = [F.col("spoken")]
-    for length in range(2, max_words + 1):
+    for length in range(2, max(lengths) + 1):
         spans.append(_extended(spans[-1], length))
-    phrases = each(spoken, F.array_distinct(F.concat(*spans)), key, name="phrase")
-    tracked = keywords.select("keyword", F.trim(phrase_text(F.col("keyword"))).alias("phrase")).distinct()
+    wanted = [span for length, span in enumerate(spans, start=1) if length in lengths]
+    phrases = each(spoken, F.array_distinct(F.concat(*wanted)), key, name="phrase")
     return lookup_join(phrases, tracked, ["phrase"]).select(key, "keyword")

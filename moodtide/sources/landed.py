@@ -125,9 +125,14 @@ def normalize_videos(
     raw: DataFrame,
     collected_at: Column,
     keywords: Sequence[str] = DEFAULT_KEYWORDS,
+    limit: int | None = None,
 ) -> DataFrame:
-    """One row per found video; the publication time becomes ``created_at``."""
-    item = raw.select(F.explode("items").alias("item"))
+    """One row per found video; the publication time becomes ``created_at``.
+
+    ``limit`` keeps the first videos of every landed response, which lists them by relevance.
+    """
+    listed = F.col("items") if limit is None else F.slice("items", 1, limit)
+    item = raw.select(F.explode(listed).alias("item"))
     searched = F.concat_ws(" ", F.col("item.snippet.title"), F.col("item.snippet.description"))
     return item.filter(F.size(matched_keywords(searched, keywords)) > 0).select(
         F.col("item.id.videoId").alias("id"),

@@ -59,6 +59,7 @@ def test_video_without_text_survives_by_fallback(spark, tmp_path):
     raw = landed.read_landed(spark, landed_file(tmp_path, "videos", [{"items": [item, item]}]), schemas.VIDEO_SEARCH_JSON)
     videos = cf.union_sources(landed.normalize_videos(raw, stamp()))
     assert videos.columns == schemas.POST.names and videos.count() == 2
+    assert landed.normalize_videos(raw, stamp(), limit=1).count() == 1
     row = cleaning.text_fallback(videos).first()
     assert row.text == "all about python" and str(row.created_at) == "2024-01-01 10:00:00"
     assert cleaning.clean_posts(cleaning.text_fallback(videos)).count() == 2

@@ -104,3 +104,11 @@ def test_keywords_match_whole_phrases(spark, table):
         rows = posts.select("n", F.explode(kw.matched_keywords(F.col("text"), tracked)).alias("keyword")).collect()
         found = sorted((row.n, row.keyword) for row in rows)
     assert found == [(0, "machine learning"), (2, "AI"), (4, "python")]
+
+
+def test_keyword_table_has_no_longest_phrase(spark):
+    posts = texts(spark, ["one two three four five six seven", "two three", ""])
+    tracked = kw.keyword_table(spark, ["two three four five six seven", "Two-Three", "!!"])
+    got = sorted((r.n, r.keyword) for r in kw.match_keyword_table(posts, tracked, key="n").collect())
+    assert got == [(0, "Two-Three"), (0, "two three four five six seven"), (1, "Two-Three")]
+    assert kw.match_keyword_table(posts, tracked.filter("keyword = '!!'"), key="n").count() == 0
