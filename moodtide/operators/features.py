@@ -49,34 +49,47 @@ def ngrams(posts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     return each(said, terms(F.col("said")), key, name="term")
 
 
-def term_counts(posts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+def term_counts(said: DataFrame, key: str = "id") -> DataFrame:
     """Occurrences of each term in each text."""
-    return ngrams(posts, key, text).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return said.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def vocabulary(counts: DataFrame, size: int = VOCABULARY_SIZE) -> DataFrame:
-    """The most frequent terms of the corpus with the number of texts each occurs in."""
-    return (
-        counts.groupBy("term")
-        .agg(F.sum("tf").alias("corpus_tf"), F.count("*").alias("df"))
-        .orderBy(F.col("corpus_tf").desc(), F.col("term").asc())
-        .limit(size)
-    )
+def frequent_terms(said: DataFrame, size: int = VOCABULARY_SIZE) -> DataFrame:
+    """The terms said most often over all texts."""
+    counted = said.groupBy("term").agg(F.count("*").alias("corpus_tf"))
+    return counted.orderBy(F.col("corpus_tf").desc(), F.col("term").asc()).limit(size)
+
+
+def vocabulary_counts(posts: DataFrame, key: str = "id", text: str = "text", size: int = VOCABULARY_SIZE) -> DataFrame:
+    """Occurrences in each text of the corpus' most frequent terms.
+
+    Terms are first counted without their texts, which folds well inside each task. Only
+    terms of the vocabulary, at most ``size`` of them, are then counted by text and shuffled.
+    """
+    said = ngrams(posts, key, text)
+    kept = frequent_terms(said, size).select("term")
+    return term_counts(said.join(F.broadcast(kept), "term"), key)
+
+
+def vocabulary(counts: DataFrame) -> DataFrame:
+    """Each vocabulary term with its occurrences and the number of texts it occurs in."""
+    return counts.groupBy("term").agg(F.sum("tf").alias("corpus_tf"), F.count("*").alias("df"))
 
 
 def tfidf(posts: DataFrame, key: str = "id", text: str = "text", size: int = VOCABULARY_SIZE,
           digits: int = 6) -> DataFrame:
     """Smoothed, length-normalised TF-IDF weights of the vocabulary terms in every text.
 
-    The vocabulary is cut from the same per-text counts the weights use, so texts are
-    tokenised once and the shuffled counts are read twice. It has at most ``size`` rows,
-    which is what allows the broadcast; a window group is the terms of one text.
+    Document frequencies come from the same shuffled counts as the weights: the test on
+    ``corpus_tf``, which every term passes, keeps both readers of the counts on the same
+    columns, so they are shuffled once. The vocabulary's size allows the broadcast; a window
+    group is the terms of one text.
     """
-    counts = term_counts(posts, key, text)
-    kept = vocabulary(counts, size)
+    counts = vocabulary_counts(posts, key, text, size)
+    kept = vocabulary(counts).filter(F.col("corpus_tf") > 0).select("term", "df")
     texts = posts.select(F.count("*").alias("n")).scalar()
     idf = F.log((texts + 1) / (F.col("df") + 1)) + 1
-    weighted = counts.join(F.broadcast(kept.select("term", "df")), "term").withColumn("weight", F.col("tf") * idf)
+    weighted = counts.join(F.broadcast(kept), "term").withColumn("weight", F.col("tf") * idf)
     norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key)))
     return weighted.select(key, "term", "tf", "df", F.bround(F.col("weight") / norm, digits).alias("tfidf"))
 

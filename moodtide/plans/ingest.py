@@ -33,6 +33,11 @@ def _iso_z(stamp):
     return F.concat(timing.to_iso(stamp), F.lit("Z"))
 
 
+def _iso_utc(stamp):
+    """A parsed moment as UTC text, whatever the session's time zone."""
+    return timing.to_iso(F.convert_timezone(None, F.lit("UTC"), stamp.cast("timestamp_ntz")))
+
+
 @query(
     "normalize_tweets",
     f"""SELECT id, text, {sql_iso('created_at')} AS created_at, CAST(doc_id % 97 AS VARCHAR) AS author_id,
@@ -54,7 +59,7 @@ def normalize_tweets(spark: SparkSession, sf: str) -> DataFrame:
     )
     out = landed.normalize_tweets(_landed(rows, TWEET_JSON), _stamp(), d.KEYWORDS)
     return out.select(
-        "id", "text", timing.to_iso(F.col("created_at")).alias("created_at"), "author_id", "likes", "retweets"
+        "id", "text", _iso_utc(F.col("created_at")).alias("created_at"), "author_id", "likes", "retweets"
     )
 
 
@@ -137,7 +142,7 @@ def normalize_videos(spark: SparkSession, sf: str) -> DataFrame:
     )
     rows = d.long_posts(spark, sf).select(F.array(item).alias("items"))
     out = landed.normalize_videos(_landed(rows, VIDEO_SEARCH_JSON), _stamp(), d.KEYWORDS)
-    return out.select("id", "title", "description", timing.to_iso(F.col("created_at")).alias("created_at"), "channel")
+    return out.select("id", "title", "description", _iso_utc(F.col("created_at")).alias("created_at"), "channel")
 
 
 @query(
@@ -165,7 +170,7 @@ def normalize_video_comments(spark: SparkSession, sf: str) -> DataFrame:
     rows = d.comments(spark, sf).select(F.col("parent_id").alias("video_id"), F.array(thread).alias("items"))
     out = landed.normalize_video_comments(_landed(rows, VIDEO_COMMENTS_JSON), _stamp())
     return out.select(
-        "video_id", "id", "text", "author", "likes", timing.to_iso(F.col("created_at")).alias("created_at")
+        "video_id", "id", "text", "author", "likes", _iso_utc(F.col("created_at")).alias("created_at")
     )
 
 

@@ -231,7 +231,7 @@ def ngrams(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("vocabulary", "SELECT term, corpus_tf, df FROM vocab", ("terms", "counts", "vocab"))
 def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
-    return features.vocabulary(features.term_counts(d.texts(spark, sf), "doc_id"))
+    return features.vocabulary(features.vocabulary_counts(d.texts(spark, sf), "doc_id"))
 
 
 @query(
