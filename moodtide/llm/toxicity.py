@@ -16,8 +16,8 @@ from .pieces import exact_ids
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 20
 #: Most labelled rows used per class (those with the smallest hash of their id), and most features kept.
-PER_CLASS = 10_000
-FEATURES = 20_000
+PER_CLASS = 5_000
+FEATURES = 5_000
 #: Characters turned into n-grams at once.
 SLICE = 1 << 20
 
@@ -102,7 +102,7 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, featu
         odds = np.log(share / (1 - share)) if 0 < share < 1 else (30.0 if share == 1 else -30.0)
         return Classifier(np.zeros(0, np.int64), np.zeros(0), odds)
     chosen = small_table(spark, [(int(i), int(y)) for i, y in zip(picked["doc_id"], picked["y"])], ["_id", "y"])
-    texts = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["_id"]).select(docs["doc_id"], "y", plain_text().alias("_text"))
+    texts = docs.select("doc_id", plain_text().alias("_text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "y", "_text")
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros((2, BUCKETS), np.int32)
@@ -129,18 +129,18 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, featu
     def presence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of_bucket = lookup(buckets)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "f": [distinct_buckets(t, of_bucket) for t in batch["_text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "f": [distinct_buckets(t, of_bucket).astype(np.uint16).tobytes() for t in batch["_text"]]})
 
     # rows that repeat an id are taken once; their number has the sample's bound
-    rows = texts.mapInPandas(presence, "doc_id long, y int, f array<int>").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    rows = texts.mapInPandas(presence, "doc_id long, y int, f binary").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
     y = rows["y"].to_numpy(np.float64)
-    weights, intercept = _regression([np.asarray(f, np.int64) for f in rows["f"]], y, ratios)
+    weights, intercept = _regression([np.frombuffer(f, np.uint16).astype(np.int64) for f in rows["f"]], y, ratios)
     if 0 < share < 1 and 0 < y.mean() < 1:
         intercept += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
     return Classifier(buckets, weights * ratios, float(intercept))
 
 
-def _regression(found: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, steps: int = 150, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+def _regression(found: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, steps: int = 100, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
     """Logistic regression on ratio-scaled presence, by full gradient steps with momentum and per-weight rates (Adam)."""
     at = np.concatenate([*found, np.zeros(0, np.int64)])
     row = np.repeat(np.arange(len(found)), [f.size for f in found])
