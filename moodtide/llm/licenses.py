@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.sizing import small_table
-from .common import plain_text
+from .common import plain_text, written
 
 #: Customary wordings of licence notices and the opening of licence files, by SPDX identifier.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -59,13 +59,19 @@ THRESHOLD = 0.75
 #: File names that hold a directory's licence.
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying)([.-].*)?$"
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
+#: Terms without weight (fixed values).
+STOP_TERMS = "a an and are as at be by for from in is it may not of on or that the this to under with you".split()
+
+
+def _terms(text: str) -> list[str]:
+    return [t for t in re.findall(TERM, text.lower()) if t not in STOP_TERMS]
 
 
 class Weights:
     """TF-IDF weights of the templates; a term that no template has weighs as the rarest."""
 
     def __init__(self, templates: Mapping[str, Sequence[str]] = TEMPLATES):
-        texts = [(name, i, Counter(re.findall(TERM, text.lower()))) for name, all_ in templates.items() for i, text in enumerate(all_)]
+        texts = [(name, i, Counter(_terms(text))) for name, all_ in templates.items() for i, text in enumerate(all_)]
         found = Counter(term for _, _, terms in texts for term in terms)
         self.idf = {term: math.log((1 + len(texts)) / (1 + n)) + 1 for term, n in found.items()}
         self.unseen = math.log(1 + len(texts)) + 1
@@ -101,8 +107,8 @@ def matches(files: DataFrame, threshold: float = THRESHOLD, templates: Mapping[s
     path count as one file with all their lines.
     """
     spark, weights = files.sparkSession, Weights(templates)
-    anchor = rf"(?i)(?<![a-z0-9.])(?:{'|'.join(map(re.escape, weights.anchors(threshold)))})(?![a-z0-9])"
-    loose = rf"(?i){'|'.join(map(re.escape, weights.anchors(threshold)))}"
+    anchors = "|".join(map(re.escape, weights.anchors(threshold)))
+    loose = rf"(?i)(?<![a-z0-9])(?:{anchors})(?![a-z0-9])"
     text = plain_text()
     parts = F.concat(F.split(text, r"\n"), F.split(text, r"\n[ \t\r]*\n"))
     lines = (
@@ -111,7 +117,7 @@ def matches(files: DataFrame, threshold: float = THRESHOLD, templates: Mapping[s
         .select("path", F.xxhash64("part").alias("line"), F.regexp_extract_all(F.lower("part"), F.lit(TERM), F.lit(0)).alias("terms"))
         .dropDuplicates(["path", "line"])
     )
-    counted = lines.select("path", "line", F.explode("terms").alias("term")).groupBy("path", "line", "term").count()
+    counted = lines.select("path", "line", F.explode("terms").alias("term")).filter(~F.col("term").isin(STOP_TERMS)).groupBy("path", "line", "term").count()
     known = small_table(spark, sorted(weights.idf.items()), ["term", "idf"])
     own = F.coalesce("idf", F.lit(weights.unseen)) * F.col("count")
     weighted = counted.join(F.broadcast(known), "term", "left").select("path", "line", "term", own.alias("weight"))
@@ -150,9 +156,9 @@ def scanned(files: DataFrame, threshold: float = THRESHOLD, templates: Mapping[s
     A file without a licence of its own takes that of the nearest ancestor directory whose licence file matched
     (the best scoring one, then the first by path); ``license`` is null if there is none. The join is by
     directory: files are first folded to their directories, and each directory looks up its ancestors.
-    Files with a null path inherit nothing.
+    Files with a null path inherit nothing. Columns of the added names are replaced.
     """
-    found = written_matches(matches(files, threshold, templates))
+    found = written(matches(files, threshold, templates), "license-matches")
     name = F.regexp_extract("path", r"[^/]*$", 0)
     holders = (
         found.filter(name.rlike(LICENSE_FILE))
@@ -169,16 +175,13 @@ def scanned(files: DataFrame, threshold: float = THRESHOLD, templates: Mapping[s
         .select("folder", F.col("n.above").alias("inherited_from"), F.col("n.inherited_license").alias("inherited_license"))
     )
     own = found.select("path", F.col("license").alias("own_license"), F.col("score").alias("own_score"))
-    joined = files.withColumn("folder", directory(F.col("path"))).join(own, "path", "left").join(nearest, "folder", "left").drop("folder")
+    added = ("own_license", "own_score", "inherited_from", "inherited_license", "license")
+    kept = files.select(*(c for c in files.columns if c not in added)).withColumn("__folder", directory(F.col("path")))
+    nearest = nearest.withColumnRenamed("folder", "__folder")
+    joined = kept.join(own, "path", "left").join(nearest, "__folder", "left").drop("__folder")
     return joined.withColumn("license", F.coalesce("own_license", "inherited_license"))
 
 
-def written_matches(found: DataFrame) -> DataFrame:
-    from .common import written
-
-    return written(found, "license-matches")
-
-
 def as_files(documents: DataFrame) -> DataFrame:
     """The documents as files of a tree by source and id, every tenth named LICENSE: doc_id, path, text."""
     number = F.col("doc_id").cast("string")
