@@ -151,15 +151,12 @@ def copied(docs: DataFrame, **options) -> DataFrame:
 
     Columns are those of the input. Rows are matched to their decision by doc_id, source and size.
     """
-    decisions = mixed(docs, **options).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies"))
-    sizes = docs.withColumn("_size", F.size(words_of(plain_text())).cast("long"))
-    same = (
-        sizes["doc_id"].eqNullSafe(decisions["doc_id"])
-        & sizes["source"].eqNullSafe(decisions["source"])
-        & (sizes["_size"] == decisions["size"])
-    )
+    decisions = mixed(docs, **options).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).filter("copies > 0")
+    decisions = decisions.select(*(F.col(c).alias(f"__{c}") for c in decisions.columns))
+    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
+    counted = docs.withColumn("__words", F.size(words_of(plain_text())).cast("long"))
     return (
-        sizes.join(decisions.filter("_copies > 0"), same)
-        .select(*(sizes[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy"))
-        .drop("_copy")
+        counted.join(decisions, same)
+        .select(*docs.columns, F.explode(F.sequence(F.lit(1), "__copies")).alias("__copy"))
+        .drop("__copy")
     )

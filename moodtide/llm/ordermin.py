@@ -308,20 +308,20 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = sketches.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     nodes = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")
-    kept = nodes.groupBy("label").agg(F.min(order).alias("k")).select(F.col("k.node").alias("_node"), F.col("k.doc_id").alias("_id"))
+    kept = nodes.groupBy("label").agg(F.min(order).alias("k")).select(F.col("k.node").alias("__node"), F.col("k.doc_id").alias("__id"))
     kept = written(kept, "near-kept")
     repeated = (
         sketches.filter(F.col("node").isNotNull()).groupBy("node", "doc_id").count().filter("count > 1")
-        .select(F.col("node").alias("_node"), F.col("doc_id").alias("_id"))
+        .select(F.col("node").alias("__node"), F.col("doc_id").alias("__id"))
     )
     repeated = written(repeated, "near-repeated")
     small = lambda t: F.broadcast(t) if t.limit(SENT_ROWS + 1).count() <= SENT_ROWS else t
-    own = docs.withColumn("_own", node_of(plain_text()))
-    same = lambda t: (F.col("_own") == t["_node"]) & own["doc_id"].eqNullSafe(t["_id"])
-    chosen = own.filter(F.col("_own").isNotNull()).join(small(kept), same(kept), "left_semi")
+    own = docs.withColumn("__own", node_of(plain_text()))
+    same = lambda t: (F.col("__own") == t["__node"]) & own["doc_id"].eqNullSafe(t["__id"])
+    chosen = own.filter(F.col("__own").isNotNull()).join(small(kept), same(kept), "left_semi")
     if not repeated.isEmpty():
         again = small(repeated)
         chosen = chosen.join(again, same(repeated), "left_anti").unionByName(
-            chosen.join(again, same(repeated), "left_semi").dropDuplicates(["_own", "doc_id"])
+            chosen.join(again, same(repeated), "left_semi").dropDuplicates(["__own", "doc_id"])
         )
-    return chosen.unionByName(own.filter(F.col("_own").isNull())).select(*(F.col(c) for c in docs.columns))
+    return chosen.unionByName(own.filter(F.col("__own").isNull())).select(*(F.col(c) for c in docs.columns))

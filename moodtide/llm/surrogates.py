@@ -40,7 +40,7 @@ _PATTERN = re.compile(
     rf"|(?P<ipv6>(?<![\w:])(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}(?![\w:]))"
     rf"|(?P<card>(?<![\w-])(?:\d{{13,19}}|\d{{4}}(?:[ -]\d{{4}}){{3}})(?![\w-]))"
     rf"|(?P<ssn>(?<![\w-])\d{{3}}-\d{{2}}-\d{{4}}(?![\w-]))"
-    rf"|(?P<phone>(?<![\w.])(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{2,4}}\)[ .-]?|\d{{2,4}}[ .-])\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,3}}(?![\w-])|(?<![\w.])\+\d{{8,14}}(?!\w))"
+    rf"|(?P<phone>(?<![\w.])(?!\d{{4}}-\d\d-\d\d(?!\d))(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{2,4}}\)[ .-]?|\d{{2,4}}[ .-])\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,3}}(?![\w-])|(?<![\w.])\+\d{{8,14}}(?!\w))"
     rf"|(?<!\w)(?P<title>{_TITLE})\.?[ ](?P<name>{_NAME}(?:[ ]{_NAME}){{0,2}})"
 )
 #: A text that does not match this holds nothing that the pattern finds (checked by Spark before Python sees it).
@@ -225,9 +225,9 @@ def replaced(docs: DataFrame, secret: str = "surrogates") -> DataFrame:
     per_text = (
         rows.join(chosen_surrogates(rows, secret), ["kind", "value"])
         .groupBy("node")
-        .agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\0", "kind", "value"), "surrogate"))).alias("_map"))
+        .agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\0", "kind", "value"), "surrogate"))).alias("__map"))
     )
-    per_text = written(per_text, "pii-maps")
+    per_text = written(per_text.withColumnRenamed("node", "__key"), "pii-maps")
     small = rows.limit(SENT_ROWS + 1).count() <= SENT_ROWS
     kept = [c for c in docs.columns if c not in ("n_entities", "entity_kinds")]
 
@@ -236,13 +236,13 @@ def replaced(docs: DataFrame, secret: str = "surrogates") -> DataFrame:
         return pd.DataFrame([rewritten(t, dict(m)) if m else (t, 0, "") for t, m in zip(texts, maps)], columns=["text", "n", "kinds"])
 
     loose = plain_text().rlike(LOOSE)
-    holding = docs.select(*kept).filter(loose).withColumn("_node", F.unhex(F.md5(plain_text())))
-    joined = holding.join(F.broadcast(per_text) if small else per_text, holding["_node"] == per_text["node"], "left")
-    changed = joined.withColumn("_new", apply(plain_text(), F.col("_map")))
+    holding = docs.select(*kept).filter(loose).withColumn("__node", F.unhex(F.md5(plain_text())))
+    joined = holding.join(F.broadcast(per_text) if small else per_text, F.col("__node") == F.col("__key"), "left")
+    changed = joined.withColumn("__new", apply(plain_text(), F.col("__map")))
     out = lambda df, text, n, kinds: df.select(
         *(text.alias("text") if c == "text" else F.col(c) for c in kept), n.alias("n_entities"), kinds.alias("entity_kinds")
     )
-    return out(changed, F.col("_new.text"), F.col("_new.n"), F.col("_new.kinds")).unionByName(
+    return out(changed, F.col("__new.text"), F.col("__new.n"), F.col("__new.kinds")).unionByName(
         out(docs.select(*kept).filter(~loose), F.col("text"), F.lit(0).cast("long"), F.lit(""))
     )
 
