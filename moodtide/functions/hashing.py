@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, functions as F
 
 
@@ -13,3 +15,8 @@ def stable_hash(value: Column) -> Column:
 def in_test_split(key: Column, percent: int = 20) -> Column:
     """True for about ``percent`` of the keys, always the same ones."""
     return stable_hash(key) % 100 < percent
+
+
+def content_key(columns: Sequence[str]) -> Column:
+    """A 256-bit hash of the columns' values, nulls told apart from empty texts."""
+    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
+from ..functions.hashing import content_key
 from ..settings import MIN_TEXT_LENGTH
 from .ranking import top_k_per_group
 from .sizing import salted_lookup
@@ -45,10 +46,14 @@ def distinct_rows(posts: DataFrame) -> DataFrame:
 
 
 def dedup_posts(posts: DataFrame, tie_breaks: Sequence[str] = ("text",)) -> DataFrame:
-    """One row per ``(platform, id)``: the one collected last. Rows without an id are told apart by content."""
-    order = [F.col("collected_at").desc(), *[F.col(c).asc() for c in tie_breaks]]
-    own = F.when(F.col("id").isNull(), F.xxhash64(*posts.columns))
-    return top_k_per_group(posts.withColumn("_own", own), ["platform", "id", "_own"], order, 1).drop("_own")
+    """One row per ``(platform, id)``: the one collected last. Rows without an id are told apart by content.
+
+    Of rows that are alike in time and tie breaks the one with the least hash of all columns stays.
+    """
+    order = [F.col("collected_at").desc(), *[F.col(c).asc() for c in tie_breaks], F.col("_last").asc()]
+    own = F.when(F.col("id").isNull(), content_key(posts.columns))
+    marked = posts.withColumns({"_own": own, "_last": F.xxhash64(*posts.columns)})
+    return top_k_per_group(marked, ["platform", "id", "_own"], order, 1).drop("_own", "_last")
 
 
 def pseudonymize(posts: DataFrame, columns: Sequence[str] = ("author_id", "author"), salt: str = "") -> DataFrame:

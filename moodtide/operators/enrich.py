@@ -20,7 +20,12 @@ def post_comment_counts(posts: DataFrame, comments: DataFrame, post_key: str = "
 
 
 def video_engagement(videos: DataFrame, stats: DataFrame) -> DataFrame:
-    """Counters beside each video and its likes and comments per view."""
+    """Counters beside each video and its likes and comments per view.
+
+    Of several snapshots of a video's counters the one with the most views is taken: they only grow.
+    """
+    newest = F.max(F.struct("views", "likes", "comments")).alias("_c")
+    stats = stats.groupBy("video_id").agg(newest).select("video_id", "_c.*")
     rate = F.when(F.col("views") > 0, F.bround((F.col("likes") + F.col("comments")) / F.col("views") * 100, 2))
     counters = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("views", "likes", "comments")}
     return (

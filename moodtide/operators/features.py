@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -109,12 +111,14 @@ def pad_sequences(sequences: DataFrame, ids: str = "input_ids", pad: int = 0,
     """Sequences cut to ``max_length``, padded to the longest of their batch, with an attention mask.
 
     The longest length is one number per batch, folded before it is joined back, so a batch
-    that holds most rows is never gathered. Without a batch column it is one number for all rows.
+    that holds most rows is never gathered. Rows without a batch are one batch. Without a batch column it is one number for all rows.
     """
     cut = sequences.withColumn(ids, F.slice(ids, 1, max_length))
     if batch:
-        longest = cut.groupBy(*batch).agg(F.max(F.size(ids)).alias("_longest"))
-        cut = lookup_join(cut, longest, batch)
+        of = {c: f"_of_{i}" for i, c in enumerate(batch)}
+        longest = cut.groupBy(*(F.col(c).alias(n) for c, n in of.items())).agg(F.max(F.size(ids)).alias("_longest"))
+        same = [F.col(c).eqNullSafe(F.col(n)) for c, n in of.items()]
+        cut = cut.join(longest, reduce(and_, same), "left").drop(*of.values())
     else:
         cut = cut.withColumn("_longest", cut.select(F.max(F.size(ids))).scalar())
     missing = F.col("_longest") - F.size(ids)

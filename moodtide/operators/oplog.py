@@ -184,14 +184,18 @@ def durations(spans: DataFrame, start: str = "started", end: str = "ended") -> D
 
 def status_report(metrics: DataFrame, timings: DataFrame, errors: DataFrame, as_of: str,
                   tie_break: Sequence[str] = ()) -> DataFrame:
-    """Latest health, mean durations and recent errors in one long table of text values."""
+    """Latest health with its message and lists, operations with their mean seconds, and recent errors.
+
+    One long table of text values; the number of all timed operations is the timing named ``total``.
+    """
     latest = metrics.orderBy(F.col("timestamp").desc(), *[F.col(c).desc() for c in tie_break]).limit(1)
-    health = health_status(latest).select(
-        F.lit("health").alias("section"), F.lit("status").alias("name"), F.col("status").alias("value")
-    )
-    speed = op_avg_duration(timings, tie_break=tie_break).select(
-        F.lit("timing").alias("section"), F.col("operation").alias("name"), F.col("records").cast("string").alias("value")
-    )
+    told = {c: F.col(c) for c in ("status", "message")} | {c: F.array_join(c, "; ") for c in ("issues", "warnings")}
+    parts = F.inline(F.array(*(F.struct(F.lit(name).alias("name"), value.alias("value")) for name, value in told.items())))
+    health = health_status(latest).select(F.lit("health").alias("section"), parts)
+    mean = F.bround("avg_duration", 3).cast("decimal(20,3)").cast("string")
+    speed = op_avg_duration(timings, tie_break=tie_break).select(F.lit("timing").alias("section"), F.col("operation").alias("name"), mean.alias("value"))
+    total = last_n_timings(timings, tie_break=tie_break).agg(F.count("*").cast("string").alias("value"))
+    speed = speed.unionByName(total.select(F.lit("timing").alias("section"), F.lit("total").alias("name"), "value"))
     failed = error_summary(errors, as_of).select(
         F.lit("error").alias("section"), F.col("error_key").alias("name"), F.col("count").cast("string").alias("value")
     )

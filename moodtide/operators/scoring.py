@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as tx
 from ..functions.labels import polarity_confidence, polarity_label
 from ..schemas import SENTIMENT
-from .sizing import each, lookup_join, salted_lookup, small_table
+from .sizing import each, is_small, lookup_join, salted_lookup, small_table
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -76,15 +78,47 @@ def lexicon_sentiment(posts: DataFrame, lexicon: DataFrame, keys: Sequence[str]
                       negators: Sequence[str] = (), unique: bool = False) -> DataFrame:
     """The sentiment struct beside every post, zero polarity where no word is known.
 
-    ``keys`` identify a post's text. A copy gets the mean over all copies' words, which is
-    its own mean. Many copies of one post are spread over tasks; with ``unique`` the caller
-    vouches that there are none, which saves looking for them.
+    Every row is scored by its own text, also where a post was edited between two collections. A lexicon
+    within the lookup bounds is sent to the rows, which are not moved. With a larger one, words and sums travel:
+    ``keys`` and the text's hash then identify a text, and copies of it, which share their mean, are
+    spread over tasks; with ``unique`` the caller vouches that there are none, which saves looking for them.
     """
-    points = lexicon_polarity(posts, lexicon, keys, negators)
-    joined = posts.join(points, list(keys), "left") if unique else salted_lookup(posts, points, list(keys))
-    return joined.withColumn("sentiment", _lexicon_struct()).drop(
-        "polarity_points", "subjectivity_points", "hits"
-    )
+    if is_small(lexicon):
+        return _scored_in_place(posts, lexicon, negators)
+    marked = posts.withColumn("_said", F.xxhash64("text"))
+    own = [*keys, "_said"]
+    points = lexicon_polarity(marked, lexicon, own, negators)
+    joined = marked.join(points, own, "left") if unique else salted_lookup(marked, points, own)
+    return joined.withColumn("sentiment", _lexicon_struct()).drop("polarity_points", "subjectivity_points", "hits", "_said")
+
+
+def _scored_in_place(posts: DataFrame, lexicon: DataFrame, negators: Sequence[str]) -> DataFrame:
+    """The sums of each row from its own words; entries that a lexicon repeats count as often."""
+    entries: dict[str, tuple[float, float, int]] = {}
+    for token, polarity, subjectivity in lexicon.select("token", "polarity_points", "subjectivity_points").collect():
+        p, s, n = entries.get(token, (0.0, 0.0, 0))
+        entries[token] = p + float(polarity or 0), s + float(subjectivity or 0), n + 1
+    denied = frozenset(negators)
+
+    @F.pandas_udf("struct<polarity_points:double,subjectivity_points:double,hits:bigint>")
+    def summed(words: pd.Series) -> pd.DataFrame:
+        out = []
+        for said in words:
+            polarity, subjectivity, hits, last = 0.0, 0.0, 0, None
+            for word in () if said is None else said:
+                known = entries.get(word)
+                if known:
+                    polarity += known[0] * (-0.5 if last in denied else 1.0)
+                    subjectivity += known[1]
+                    hits += known[2]
+                last = word
+            out.append((polarity, subjectivity, hits) if hits else (None, None, None))
+        found = pd.DataFrame(out, columns=["polarity_points", "subjectivity_points", "hits"])
+        return found.astype({"polarity_points": "float64", "subjectivity_points": "float64", "hits": "Int64"})
+
+    counted = posts.withColumn("_sums", summed(tx.words(F.col("text"))))
+    sums = {c: F.col(f"_sums.{c}") for c in ("polarity_points", "subjectivity_points", "hits")}
+    return counted.withColumns(sums).withColumn("sentiment", _lexicon_struct()).drop("_sums", *sums)
 
 
 def lexicon_scorer(lexicon: DataFrame, negators: Sequence[str] = (), unique: bool = False) -> Scorer:
@@ -94,24 +128,21 @@ def lexicon_scorer(lexicon: DataFrame, negators: Sequence[str] = (), unique: boo
 def callable_scorer(score: Callable[[pd.Series], pd.DataFrame], keep: Sequence[str]) -> Scorer:
     """A scorer from a Python function of a batch of texts to ``label`` and ``confidence`` columns.
 
-    Batches go through Arrow; only the kept columns and the text cross to Python.
+    Batches go through Arrow; only the text crosses to Python, so no other value can change.
     """
 
+    @F.pandas_udf("struct<label:string,confidence:double>")
+    def rate(texts: pd.Series) -> pd.DataFrame:
+        return score(texts)[["label", "confidence"]].reset_index(drop=True)
+
     def scorer(posts: DataFrame) -> DataFrame:
         columns = list(dict.fromkeys([*keep, "text"]))
-        chosen = posts.select(*columns)
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield batch.assign(**score(batch["text"])[["label", "confidence"]])
-
-        scored = chosen.mapInPandas(run, f"{fields}, label string, confidence double")
+        scored = posts.select(*columns).withColumn("_rated", rate("text"))
         sentiment = F.struct(
-            "label",
+            F.col("_rated.label").alias("label"),
             F.lit(None).cast("double").alias("polarity"),
             F.lit(None).cast("double").alias("subjectivity"),
-            "confidence",
+            F.col("_rated.confidence").alias("confidence"),
             F.lit(None).cast(SENTIMENT["probabilities"].dataType).alias("probabilities"),
         )
         return scored.select(*columns, sentiment.alias("sentiment"))
@@ -119,14 +150,13 @@ def callable_scorer(score: Callable[[pd.Series], pd.DataFrame], keep: Sequence[s
     return scorer
 
 
-def with_fallback(primary: Scorer, fallback: Scorer, keys: Sequence[str] = ("platform", "id")) -> Scorer:
-    """The primary score where it gives a label, else the fallback's, of which copies of a post share one."""
+def with_fallback(primary: Scorer, fallback: Scorer) -> Scorer:
+    """The primary score where it gives a label; only the other posts go to the fallback."""
 
     def scorer(posts: DataFrame) -> DataFrame:
-        second = fallback(posts).select(*keys, F.col("sentiment").alias("_second")).dropDuplicates(list(keys))
-        both = salted_lookup(primary(posts), second, keys)
-        chosen = F.when(F.col("sentiment.label").isNotNull(), F.col("sentiment")).otherwise(F.col("_second"))
-        return both.withColumn("sentiment", chosen).drop("_second")
+        first = primary(posts)
+        labelled = F.col("sentiment.label").isNotNull()
+        return first.filter(labelled).unionByName(fallback(first.filter(~labelled).drop("sentiment")))
 
     return scorer
 
@@ -158,19 +188,25 @@ def score_posts(posts: DataFrame, scorer: Scorer, as_of: str | None = None) -> D
 
 
 def map_batches(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """A pandas function over Arrow batches, for what column expressions cannot say."""
+    """A pandas function over Arrow batches, for what column expressions cannot say.
+
+    Integers come as pandas' nullable ones, so that a null does not turn the column into floats.
+    """
+    target = to_arrow_schema(T.StructType.fromDDL(schema))
+    kinds = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype(), pa.int16(): pd.Int16Dtype(), pa.int8(): pd.Int8Dtype()}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield function(batch)
+            yield pa.RecordBatch.from_pandas(function(batch.to_pandas(types_mapper=kinds.get)), target, preserve_index=False)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def capture_errors(df: DataFrame, function: Callable[[dict], str], key: str) -> DataFrame:
     """A Python function over rows whose failures become records instead of ending the job.
 
-    Gives ``ok``, ``payload`` and ``error`` beside the key, one row for every input row.
+    Gives ``ok``, ``payload`` and ``error`` beside the key, one row for every input row. Values reach the function
+    exactly, nulls as None.
     """
     kind = df.schema[key].dataType.simpleString()
 
@@ -180,11 +216,10 @@ def capture_errors(df: DataFrame, function: Callable[[dict], str], key: str) ->
         except Exception as problem:
             return False, None, f"{type(problem).__name__}: {problem}"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            outcome = [attempt(row) for row in batch.to_dict("records")]
-            out = pd.DataFrame(outcome, columns=["ok", "payload", "error"], index=batch.index)
-            out.insert(0, key, batch[key])
-            yield out
+            outcome = [attempt(row) for row in batch.to_pylist()]
+            columns = [pa.array([row[i] for row in outcome], t) for i, t in enumerate((pa.bool_(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(key), *columns], [key, "ok", "payload", "error"])
 
-    return df.mapInPandas(run, f"`{key}` {kind}, ok boolean, payload string, error string")
+    return df.mapInArrow(run, f"`{key}` {kind}, ok boolean, payload string, error string")

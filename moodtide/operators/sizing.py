@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -10,6 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import settings
 
 
+#: Parts that rows with a null key are spread over.
+NULL_PARTS = 4096
+
+
 def small_table(spark: SparkSession, rows: Sequence[tuple], columns: Sequence[str]) -> DataFrame:
     """Literal rows as a local relation, whose exact size the optimizer knows."""
     data = {name: [row[i] for row in rows] for i, name in enumerate(columns)}
@@ -44,23 +50,25 @@ def salted_lookup(
     spread_on: Sequence[str] | None = None,
     sizes: DataFrame | None = None,
     hot_rows: int | None = None,
-    salts: int = 64,
 ) -> DataFrame:
     """Join to a lookup with few rows per key, spreading keys that hold very many rows.
 
-    A key with more than ``hot_rows`` rows is split by ``spread_on`` (all other columns if
-    not given) over ``salts`` tasks and only its lookup row is repeated for them. There can be no more than
-    ``rows / hot_rows`` such keys (a million in 10^12 rows), which bounds the broadcast.
+    A key with more than ``hot_rows`` rows is split by ``spread_on`` (all other columns if not given) into
+    as many parts as it has times that number, and only its lookup row is repeated for them. There can be no
+    more than ``rows / hot_rows`` such keys (a million in 10^12 rows), which bounds the broadcast. Rows with a
+    null key match nothing and are spread by their other columns.
     ``sizes`` gives keys and their ``count`` where the caller has them already.
     """
     counted = df.groupBy(*keys).count() if sizes is None else sizes
     above = settings.HOT_KEY_ROWS if hot_rows is None else hot_rows
-    hot = F.broadcast(counted.filter(F.col("count") > above).select(*keys, F.lit(True).alias("_hot")))
-    part = spread([c for c in df.columns if c not in keys] if spread_on is None else spread_on, salts)
-    salt = F.when(F.col("_hot"), part).otherwise(F.lit(0)).cast("int")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    left = df.join(hot, list(keys), "left").withColumn("_salt", salt).drop("_hot")
-    right = lookup.join(hot, list(keys), "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    parts = F.ceil(F.col("count") / above).cast("int").alias("_parts")
+    hot = F.broadcast(counted.filter(F.col("count") > above).select(*keys, parts))
+    others = [c for c in df.columns if c not in keys] if spread_on is None else spread_on
+    lost = reduce(or_, [F.col(k).isNull() for k in keys])
+    of = F.when(lost, F.lit(NULL_PARTS)).otherwise(F.coalesce("_parts", F.lit(1)))
+    left = df.join(hot, list(keys), "left").withColumn("_salt", spread(others, of).cast("int")).drop("_parts")
+    copies = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    right = lookup.join(hot, list(keys), "left").withColumn("_salt", F.explode(copies)).drop("_parts")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
@@ -87,9 +95,9 @@ def each(df: DataFrame, values: Column, *kept: str | Column, name: str) -> DataF
     return made.select(*rest, F.explode_outer("_each").alias(name)).filter(F.col(name).isNotNull())
 
 
-def spread(columns: Sequence[str], parts: int) -> Column:
+def spread(columns: Sequence[str], parts: int | Column) -> Column:
     """A number below ``parts`` that a repeated task gives again, differing even between equal copies.
 
     It mixes the columns with the number of the input partition, never with the row order.
     """
-    return F.pmod(F.xxhash64(*columns, F.spark_partition_id()), F.lit(parts))
+    return F.pmod(F.xxhash64(*columns, F.spark_partition_id()), F.lit(parts) if isinstance(parts, int) else parts)

@@ -42,15 +42,18 @@ def sentiment_alerts(results: DataFrame, label: str = "negative", min_change: fl
                      time: str = "processed_at") -> DataFrame:
     """Hours in which a label's share moved by at least ``min_change`` points since the hour before it.
 
-    Hours are counted first, so the window runs over one row per platform and hour.
+    Both hours must have ``min_rows`` rows; across a gap nothing is compared. Hours are counted first, so the
+    window runs over one row per platform and hour.
     """
     hourly = (
         results.groupBy("platform", F.date_trunc("hour", F.col(time)).alias("hour"))
         .agg(F.count("*").alias("rows"), F.count_if(F.col(LABEL) == label).alias("hits"))
-        .filter(F.col("rows") >= min_rows)
         .withColumn("share", F.bround(F.col("hits") / F.col("rows") * 100, 2))
     )
-    before = F.lag("share").over(Window.partitionBy("platform").orderBy("hour"))
+    in_order = Window.partitionBy("platform").orderBy("hour")
+    adjacent = F.lag("hour").over(in_order) == F.col("hour") - F.make_dt_interval(hours=F.lit(1))
+    enough = (F.col("rows") >= min_rows) & (F.lag("rows").over(in_order) >= min_rows)
+    before = F.when(adjacent & enough, F.lag("share").over(in_order))
     return (
         hourly.withColumn("change", F.bround(F.col("share") - before, 2))
         .filter(F.abs("change") >= min_change)

@@ -81,21 +81,24 @@ def error_records(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(
-    "health_status",
-    """SELECT event_id, status, message, issues, warnings FROM (
+_HEALTH = """SELECT event_id, timestamp, status, message, issues, warnings FROM (
            SELECT *, CASE WHEN cpu_percent IS NULL THEN 'error' WHEN issues <> '' THEN 'critical'
                           WHEN warnings <> '' THEN 'warning' ELSE 'healthy' END AS status,
                   CASE WHEN cpu_percent IS NULL THEN 'Unable to get system metrics' WHEN issues <> '' THEN 'System has critical issues'
                        WHEN warnings <> '' THEN 'System has performance warnings' ELSE 'System is running normally' END AS message
-           FROM (SELECT event_id, cpu_percent,
+           FROM (SELECT event_id, timestamp, cpu_percent,
                         concat_ws('; ', CASE WHEN cpu_percent > 90 THEN 'High CPU usage: ' || cpu_percent || '%' END,
                                   CASE WHEN memory_percent > 90 THEN 'High memory usage: ' || memory_percent || '%' END,
                                   CASE WHEN disk_usage > 95 THEN 'High disk usage: ' || disk_usage || '%' END) AS issues,
                         concat_ws('; ', CASE WHEN cpu_percent > 75 AND cpu_percent <= 90 THEN 'Elevated CPU usage: ' || cpu_percent || '%' END,
                                   CASE WHEN memory_percent > 75 AND memory_percent <= 90 THEN 'Elevated memory usage: ' || memory_percent || '%' END,
                                   CASE WHEN disk_usage > 85 AND disk_usage <= 95 THEN 'Elevated disk usage: ' || disk_usage || '%' END) AS warnings
-                 FROM host_samples))""",
+                 FROM host_samples))"""
+
+
+@query(
+    "health_status",
+    f"SELECT event_id, status, message, issues, warnings FROM ({_HEALTH})",
     ("host_samples",),
 )
 def health_status(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,14 +126,14 @@ def durations(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "status_report",
-    f"""SELECT 'health' AS section, 'status' AS name,
-               (SELECT CASE WHEN cpu_percent IS NULL THEN 'error'
-                            WHEN cpu_percent > 90 OR memory_percent > 90 OR disk_usage > 95 THEN 'critical'
-                            WHEN cpu_percent > 75 OR memory_percent > 75 OR disk_usage > 85 THEN 'warning' ELSE 'healthy' END
-                FROM host_samples ORDER BY timestamp DESC, event_id DESC LIMIT 1) AS value
-        UNION ALL SELECT 'timing', operation, CAST(count(*) AS VARCHAR) FROM ({_LAST}) GROUP BY operation
+    f"""SELECT * FROM (WITH latest AS (SELECT * FROM ({_HEALTH}) ORDER BY timestamp DESC, event_id DESC LIMIT 1)
+        SELECT 'health' AS section, name, value FROM latest
+            UNPIVOT (value FOR name IN (status, message, issues, warnings))
+        UNION ALL SELECT 'timing', operation, CAST(CAST(round_even(round_even(avg(duration), 6), 3) AS DECIMAL(20, 3)) AS VARCHAR)
+            FROM ({_LAST}) GROUP BY operation
+        UNION ALL SELECT 'timing', 'total', CAST(count(*) AS VARCHAR) FROM ({_LAST})
         UNION ALL SELECT 'error', error_key, CAST(count(*) AS VARCHAR) FROM errors GROUP BY error_key
-            HAVING max(timestamp) > TIMESTAMP '2024-01-30 23:30:00' - INTERVAL 1 HOUR""",
+            HAVING max(timestamp) > TIMESTAMP '2024-01-30 23:30:00' - INTERVAL 1 HOUR)""",
     ("host_samples", "timings", "errors"),
 )
 def status_report(spark: SparkSession, sf: str) -> DataFrame:

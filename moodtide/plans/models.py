@@ -11,20 +11,14 @@ from . import derived as d
 from .derived import sql_hash
 from .registry import query
 
-_models: dict[tuple[str, str], PipelineModel] = {}
-
-
 def _labelled(spark: SparkSession, sf: str, part: str) -> DataFrame:
     split = training.train_test_split(d.labelled_texts(spark, sf).drop("split"), "doc_id")
     return split.filter(F.col("split") == part).select("doc_id", "text", "y")
 
 
 def _model(spark: SparkSession, sf: str) -> PipelineModel:
-    """The model of a data folder, trained once per session."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _models:
-        _models[key] = training.train_model(_labelled(spark, sf, "train"))
-    return _models[key]
+    """A model trained on the training rows of a data folder."""
+    return training.train_model(_labelled(spark, sf, "train"))
 
 
 @query(

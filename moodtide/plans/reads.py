@@ -147,13 +147,17 @@ def trend_extent(spark: SparkSession, sf: str) -> DataFrame:
     return extent.withColumns({c: timing.to_iso(F.col(c)) for c in ("first_hour", "last_hour")})
 
 
+_HOURLY_SHARE = """SELECT platform, date_trunc('hour', processed_at) AS hour, count(*) AS rows,
+                   round_even(count(*) FILTER (label = 'negative') / count(*) * 100, 2) AS share
+            FROM results GROUP BY 1, 2"""
+
+
 @query(
     "sentiment_alerts",
     f"""SELECT platform, {sql_iso('hour')} AS hour, rows, share, change FROM (
-            SELECT *, round_even(share - lag(share) OVER (PARTITION BY platform ORDER BY hour), 2) AS change FROM (
-                SELECT platform, date_trunc('hour', processed_at) AS hour, count(*) AS rows,
-                       round_even(count(*) FILTER (label = 'negative') / count(*) * 100, 2) AS share
-                FROM results GROUP BY 1, 2 HAVING count(*) >= 3))
+            SELECT a.*, round_even(a.share - b.share, 2) AS change
+            FROM ({_HOURLY_SHARE}) a JOIN ({_HOURLY_SHARE}) b ON a.platform = b.platform AND a.hour = b.hour + INTERVAL 1 HOUR
+            WHERE a.rows >= 3 AND b.rows >= 3)
         WHERE abs(change) >= 20""",
     ("results",),
 )

@@ -16,8 +16,10 @@ from ..schemas import POST, RESULT
 from ..settings import RETENTION_DAYS
 from ..sources.conform import conform
 
-PARTITIONS = ("day", "platform", "batch_id")
-PARTITION_FIELDS = (T.StructField("day", T.StringType()), T.StructField("batch_id", T.IntegerType()))
+PARTITIONS = ("day", "platform", "writer", "batch_id")
+PARTITION_FIELDS = (T.StructField("day", T.StringType()), T.StructField("writer", T.StringType()), T.StructField("batch_id", T.IntegerType()))
+#: Most rows that ``envelope`` takes into its one row.
+ENVELOPE_ROWS = 10_000
 TIME_COLUMN = {"raw_posts": "collected_at", "sentiment_results": "processed_at"}
 LAYOUT = {"raw_posts": POST, "sentiment_results": RESULT}
 LOOKUP_COLUMN = {"raw_posts": "id", "sentiment_results": "post_id"}
@@ -30,9 +32,17 @@ def stored_layout(table: str) -> T.StructType:
 
 @dataclass(frozen=True)
 class Store:
-    """A folder with the raw-post and result tables in it."""
+    """A folder with the raw-post and result tables in it.
+
+    A batch is known by its writer and its number: batches of other writers are never touched. The writer is the
+    given name, else the id that a stream's checkpoint holds (a reset checkpoint is a new writer), else "direct".
+    """
 
     base: str
+    writer: str | None = None
+
+    def writer_in(self, spark: SparkSession) -> str:
+        return self.writer or stream_id(spark) or "direct"
 
     def path(self, table: str) -> str:
         return f"{self.base}/{table}"
@@ -41,30 +51,37 @@ class Store:
         return spark.read.schema(stored_layout(table)).parquet(self.path(table))
 
     def read_batch(self, spark: SparkSession, table: str, batch_id: int) -> DataFrame:
-        """Only the files of one batch, without listing the rest of the table; empty if it has none."""
+        """Only the files of this writer's batch, without listing the rest of the table; empty if it has none."""
         schema = stored_layout(table)
         found = spark.read.option("basePath", self.path(table)).schema(schema)
         try:
-            return found.parquet(f"{self.path(table)}/day=*/platform=*/batch_id={batch_id}")
+            return found.parquet(f"{self.path(table)}/day=*/platform=*/writer={self.writer_in(spark)}/batch_id={batch_id}")
         except AnalysisException as problem:
             if problem.getCondition() != "PATH_NOT_FOUND":
                 raise
             return spark.createDataFrame([], schema)
 
 
+def stream_id(spark: SparkSession) -> str | None:
+    """The id of the stream whose micro-batch runs in this thread; its checkpoint keeps it over restarts."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+
+
 def write_batch(df: DataFrame, store: Store, table: str, batch_id: int) -> None:
-    """Write one batch in the table's layout; writing the same batch again replaces it.
+    """Write one batch in the table's layout; the same writer's same batch, written again, is replaced.
 
-    What an earlier attempt wrote is removed by its batch number, since a stamp taken anew
+    What an earlier attempt wrote is removed by its writer and batch number, since a stamp taken anew
     may put rows under another day.
 
     Rows are sorted by time inside files so that their minimum and maximum narrow a scan,
     and the key column has a bloom filter for point lookups.
     """
     time, spark = TIME_COLUMN[table], df.sparkSession
-    for folder in _folders(spark, f"{store.path(table)}/day=*/platform=*/batch_id={batch_id}"):
+    writer = store.writer_in(spark)
+    for folder in _folders(spark, f"{store.path(table)}/day=*/platform=*/writer={writer}/batch_id={batch_id}"):
         _remove(spark, folder)
-    placed = conform(df, LAYOUT[table]).withColumn("day", timing.day_text(F.col(time))).withColumn("batch_id", F.lit(batch_id))
+    own = {"day": timing.day_text(F.col(time)), "writer": F.lit(writer), "batch_id": F.lit(batch_id)}
+    placed = conform(df, LAYOUT[table]).withColumns(own)
     (
         placed.hint("rebalance", *[F.col(c) for c in PARTITIONS])
         .sortWithinPartitions(*PARTITIONS, "created_at")
@@ -153,10 +170,14 @@ def export_results(df: DataFrame, path: str, kind: str = "parquet") -> None:
 def envelope(rows: DataFrame, as_of: str, with_count: bool = False) -> DataFrame:
     """A small result as one JSON text with success mark, data, time and, if asked, row count.
 
-    For summaries and limited lists only: the data ends up in one row.
+    For summaries and limited lists only: the data ends up in one row. More than ``ENVELOPE_ROWS`` rows are an error.
     """
+    rows = rows.limit(ENVELOPE_ROWS + 1)
+    fits = F.when(F.count("*") <= ENVELOPE_ROWS, F.lit(True)).otherwise(
+        F.raise_error(F.lit(f"more than {ENVELOPE_ROWS} rows for one envelope")).cast("boolean")
+    )
     parts = [
-        F.lit(True).alias("success"),
+        fits.alias("success"),
         F.sort_array(F.collect_list(F.struct(*rows.columns))).alias("data"),
         F.lit(as_of).alias("timestamp"),
     ]

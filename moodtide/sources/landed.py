@@ -104,8 +104,8 @@ def normalize_reddit_posts(
     )
 
 
-def normalize_reddit_comments(raw: DataFrame, collected_at: Column, limit: int | None = 50) -> DataFrame:
-    """The first ``limit`` comments of every submission, in the order they were listed."""
+def normalize_reddit_comments(raw: DataFrame, collected_at: Column, limit: int | None = None) -> DataFrame:
+    """The first ``limit`` comments of every submission (all if not given), in the order they were listed."""
     kept = raw
     if limit is not None:
         kept = top_k_per_group(raw, ["parent_id"], [F.col("position").asc(), F.col("id").asc()], limit)

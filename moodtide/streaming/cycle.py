@@ -12,7 +12,7 @@ from ..operators.summary import batch_stats
 from ..sinks.tables import Store, insert_raw_posts, insert_results
 from ..sources.conform import split_quarantine, unreadable
 from ..sources.keywords import match_keyword_table
-from .flows import BatchWriter
+from .flows import BatchWriter, batch_path
 
 
 @dataclass(frozen=True)
@@ -21,7 +21,7 @@ class Cycle:
 
     Every table is written before it is read for the next step, so no step recomputes an
     earlier one, nothing is held in executor memory between them, and a replayed batch
-    replaces what it wrote. ``as_of`` fixes the processing time for repeatable runs.
+    replaces what its own writer wrote (see ``Store``). ``as_of`` fixes the processing time for repeatable runs.
     """
 
     store: Store
@@ -31,7 +31,8 @@ class Cycle:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         good, bad = split_quarantine(batch, self._bad(batch))
-        bad.write.mode("overwrite").parquet(f"{self.store.path('quarantine')}/batch={batch_id}")
+        own = f"writer={self.store.writer_in(spark)}/batch={batch_id}"
+        bad.write.mode("overwrite").parquet(f"{self.store.path('quarantine')}/{own}")
         insert_raw_posts(good, self.store, batch_id)
 
         raw = self.store.read_batch(spark, "raw_posts", batch_id)
@@ -39,7 +40,7 @@ class Cycle:
         insert_results(score_posts(kept, self.scorer, self.as_of), self.store, batch_id, self.as_of)
 
         results = self.store.read_batch(spark, "sentiment_results", batch_id)
-        batch_stats(results).write.mode("overwrite").json(f"{self.store.path('cycle_stats')}/batch={batch_id}")
+        batch_stats(results).write.mode("overwrite").json(f"{self.store.path('cycle_stats')}/{own}")
 
     @staticmethod
     def _bad(batch: DataFrame) -> Column:
@@ -52,6 +53,6 @@ def keyword_writer(keywords_path: str, path: str) -> BatchWriter:
     def write(batch: DataFrame, batch_id: int) -> None:
         keywords = batch.sparkSession.read.parquet(keywords_path)
         matches = match_keyword_table(batch, keywords)
-        matches.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        matches.write.mode("overwrite").parquet(batch_path(batch.sparkSession, path, batch_id))
 
     return write

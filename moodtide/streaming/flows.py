@@ -7,7 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.hashing import content_key
 from ..settings import UPDATE_INTERVAL_SECONDS
+from ..sinks.tables import stream_id
 from ..sources.conform import union_sources
 
 LATENESS = "1 hour"
@@ -26,17 +28,20 @@ def union_stream(*sources: DataFrame) -> DataFrame:
 def dedup_stream(posts: DataFrame, lateness: str = LATENESS, salts: int = 16) -> DataFrame:
     """The first arrival of each ``(platform, id)``; keys are forgotten once past the watermark.
 
+    Rows without an id are told apart by their content, as ``dedup_posts`` does.
+
     Copies are first dropped within ``salts`` parts of a key, so that of a post that makes up
     much of a batch only a row per part reaches the task of its key. With ``salts=1``, for
     keys known to be even, that first step and its state are left out.
     """
-    marked = posts.withWatermark("collected_at", lateness)
+    own = F.when(F.col("id").isNull(), content_key(posts.columns))
+    marked, keys = posts.withColumn("_own", own).withWatermark("collected_at", lateness), ["platform", "id", "_own"]
     if salts > 1:
         part = F.pmod(F.spark_partition_id(), F.lit(salts))
         marked = (
-            marked.withColumn("_part", part).dropDuplicatesWithinWatermark(["platform", "id", "_part"]).drop("_part")
+            marked.withColumn("_part", part).dropDuplicatesWithinWatermark([*keys, "_part"]).drop("_part")
         )
-    return marked.dropDuplicatesWithinWatermark(["platform", "id"])
+    return marked.dropDuplicatesWithinWatermark(keys).drop("_own")
 
 
 def hourly_counts(results: DataFrame, label: Column, time: str = "processed_at", lateness: str = LATENESS) -> DataFrame:
@@ -65,11 +70,16 @@ def sliding_summary(hourly: DataFrame, hours: int = 24) -> DataFrame:
     )
 
 
+def batch_path(spark: SparkSession, path: str, batch_id: int) -> str:
+    """The folder of one batch of the stream that runs in this thread."""
+    return f"{path}/writer={stream_id(spark) or 'direct'}/batch={batch_id}"
+
+
 def append_batches(path: str) -> BatchWriter:
-    """Each micro-batch in its own folder, replaced if the batch is replayed."""
+    """Each micro-batch in a folder of its stream, replaced if the batch is replayed."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(batch_path(batch.sparkSession, path, batch_id))
 
     return write
 

@@ -26,7 +26,7 @@ def bag(df, columns):
 def test_salting_changes_no_row(spark, how):
     rows, other = hot_rows(spark), lookup(spark)
     columns = ["k", "v"] if how == "left_anti" else ["k", "v", "x"]
-    salted = salted_lookup(rows, other, ["k"], how, hot_rows=100, salts=8)
+    salted = salted_lookup(rows, other, ["k"], how, hot_rows=100)
     assert bag(salted, columns) == bag(rows.join(other, ["k"], how), columns)
 
 
