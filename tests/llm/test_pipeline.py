@@ -40,7 +40,7 @@ def test_hard_rows_and_empty_tables(spark, tmp_path):
         folder = tmp_path / name
         docs = frame(spark, rows, ("node", "size")).selectExpr("*", "length(text) AS n_chars")
         docs.write.parquet(str(folder / "documents.parquet"))
-        spark.createDataFrame([(1, 0), (7, 1)], "doc_id long, toxic int").write.parquet(str(folder / "labels.parquet"))
+        spark.createDataFrame([(1, 0), (2, 0), (6, 0), (8, 0), (7, 1)], "doc_id long, toxic int").write.parquet(str(folder / "labels.parquet"))
         out = corpus_pipeline.run(spark, str(folder))
         assert set(docs.columns) <= set(out.columns)
         assert (out.count() == 0) == (not rows)
