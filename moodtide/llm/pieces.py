@@ -20,7 +20,7 @@ _SEGMENT = re.compile(rf"\n|{MARK}*[^{MARK}\n]*")
 #: Characters handled at once, so that neither long texts nor large batches grow the arrays.
 SLICE = 1 << 20
 #: Segments remembered between batches in a worker process.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 _NONE = np.int32(2**31 - 1)
 
 

@@ -15,8 +15,10 @@ from .pieces import coder, default_model
 #: The separator: the model's end-of-text id, which no text is encoded to. Ids are two bytes, least first.
 SEPARATOR = 2
 BLOCK_TOKENS = 1 << 20
-#: Largest token file that is read; the writer makes one file per input partition, far below it.
+#: Largest token file that is read, since a task holds a whole one; characters per written block, and blocks per written file.
 FILE_BYTES = 1 << 30
+WRITE_CHARS = 1 << 22
+FILE_BLOCKS = 2
 
 
 def write_tokens(docs: DataFrame, path: str, model: str | None = None, separator: int = SEPARATOR) -> None:
@@ -33,7 +35,7 @@ def write_tokens(docs: DataFrame, path: str, model: str | None = None, separator
         own, number = coder(model), 0
         for batch in batches:
             texts = batch["_text"].tolist()
-            for low, high in slices(texts, [len(t) for t in texts], 1 << 22):
+            for low, high in slices(texts, [len(t) for t in texts], WRITE_CHARS):
                 flat = [ids.astype("<u2").tobytes() for ids in own.encode(texts[low:high])]
                 ids = ",".join("null" if i is None else i for i in batch["doc_id"].iloc[low:high])
                 yield pd.DataFrame({"kind": ["tokens", "ids"], "number": [number, number], "payload": [mark.join(flat), ids.encode()]})
@@ -41,15 +43,15 @@ def write_tokens(docs: DataFrame, path: str, model: str | None = None, separator
 
     blocks = docs.select(F.col("doc_id").cast("string").alias("doc_id"), plain_text().alias("_text")).mapInPandas(run, "kind string, number long, payload binary")
     # a row of blocks is written as its bytes, and the writer's line end is the separator after its last document
-    blocks.sortWithinPartitions("kind", "number").select("kind", F.col("payload").cast("string").alias("value")).write.partitionBy("kind").option(
-        "lineSep", mark.decode()
-    ).text(path)
+    rows = blocks.sortWithinPartitions("kind", "number").select("kind", F.col("payload").cast("string").alias("value"))
+    rows.write.partitionBy("kind").option("lineSep", mark.decode()).option("maxRecordsPerFile", FILE_BLOCKS).text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
     """The files below a path with the number in their name, in which tokens and ids agree."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return found.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("file"), F.col("length").alias("bytes"), "content")
+    number = lambda pattern: F.regexp_extract("path", pattern, 1).cast("long")  # noqa: E731  (the task's number and its files' counter)
+    return found.select((number(r"part-(\d+)") * 1_000_000 + number(r"[.-]c(\d+)")).alias("file"), F.col("length").alias("bytes"), "content")
 
 
 def segments(files: DataFrame, separator: int = SEPARATOR, block: int = BLOCK_TOKENS) -> DataFrame:
