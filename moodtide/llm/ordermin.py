@@ -7,9 +7,9 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import fraction, plain_text, written
+from .common import plain_text, written
 
 #: Words per shingle and least similarity (the contract's defaults).
 SHINGLE = 5
@@ -18,8 +18,11 @@ THRESHOLD = 0.8
 #: with 0.9 practically always, with 0.3 with 0.002.
 BANDS = 32
 MINIMA = 8
-#: First centres each text is compared with, and most rows of an id list that is sent to every executor.
-FIRST = 3
+#: Bands in which close relatives agree at once, in the order tried; most rows of an id list sent to every executor.
+CLOSE = (8, 4, 2)
+#: Texts of a band up to which they are paired, and texts in a block beyond.
+FEW = 8
+BLOCK = 48
 SENT_ROWS = 500_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -164,7 +167,7 @@ def banded_distance(x: np.ndarray, y: np.ndarray, limit: int) -> int:
     return limit + 1
 
 
-@lru_cache(maxsize=256)
+@lru_cache(maxsize=1024)
 def _prepared(text: str) -> tuple[np.ndarray, np.ndarray]:
     words = word_hashes(text)
     return words, np.unique(shingle_hashes(words))
@@ -193,16 +196,29 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInPandas(run, "a binary, b binary")
 
 
+def _sent(df: DataFrame, small: bool) -> DataFrame:
+    """A table of ids, sent to every executor if it was counted to be small, else as it is."""
+    return F.broadcast(df) if small else df
+
+
+def _is_small(df: DataFrame) -> bool:
+    return df.limit(SENT_ROWS + 1).count() <= SENT_ROWS
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, label: the least node of each node's component. Least labels spread along edges and along labels."""
+    """node, label: the least node of each node's component. Least labels spread along edges and along labels.
+
+    While the labels are few they are sent to the edges, which then are shuffled once a round.
+    """
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "near-edges")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label"))
     labels = written(labels.select("node", "label"), "near-labels")
+    small = _is_small(labels)
     while True:
-        seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        least = labels.join(seen, "node").select("node", "label", F.least("label", "near").alias("next"))
+        seen = both.join(_sent(labels.withColumnRenamed("node", "b"), small), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        least = seen.join(_sent(labels, small), "node").select("node", "label", F.least("label", "near").alias("next"))
         beyond = labels.select(F.col("node").alias("next"), F.col("label").alias("over"))
-        moved = least.join(beyond, "next").select("node", F.col("label").alias("old"), F.least("next", "over").alias("label"))
+        moved = least.join(_sent(beyond, small), "next").select("node", F.col("label").alias("old"), F.least("next", "over").alias("label"))
         moved = written(moved, "near-labels")
         labels = moved.select("node", "label")
         if moved.filter("old != label").isEmpty():
@@ -210,64 +226,121 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_labels(docs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """node, label for every text that has a verified link to another; the label is the least node of its class.
+    """node, label for every text that shares a band with another; the label is the least node of its class.
 
-    Every pair of texts that share a band is either verified or already in one class. First each text is held
-    against the centres it shares most bands with. Then only bands that still hold several classes go on: texts
-    of the smaller classes are held against all of the other classes there, few at a time at first and then
-    more, until none is left. Copies and texts already in one class are never paired.
+    Every pair of texts that share a band ends up verified or in one class. Texts that agree in several bands at
+    once, the closest relatives, are held against one centre first, so that large groups become few classes at
+    little cost. Then only bands that still hold several classes go on: their texts of different classes are
+    paired, or compared block against block where a band is crowded. Copies and texts already in one class are
+    never paired.
     """
     nodes = sketches.filter(F.col("keys").isNotNull()).groupBy("node").agg(F.first("keys").alias("keys"))
     rows = nodes.select("node", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).filter("n > 1")
-    buckets = written(rows.join(shared, "key").select("key", "node", "centre"), "near-buckets")
-    texts = written(_texts(docs, sketches, buckets.select("node").distinct()), "near-texts")
-
-    strength = buckets.filter("node != centre").groupBy("node", "centre").count()
-    best = W.partitionBy("node").orderBy(F.desc("count"), "centre")
-    first = strength.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= FIRST)
-    tried = written(first.select(F.col("centre").alias("a"), F.col("node").alias("b")), "near-pairs")
-    links = written(verified(tried, texts, threshold), "near-links")
-    labels, wide = components(links), 4
-    while True:
-        own = buckets.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        groups = own.groupBy("key", "label").agg(F.count("*").alias("n"))
-        keys = groups.groupBy("key").agg((F.count("*") - 1).alias("others"), F.max(F.struct("n", "label")).alias("main")).filter("others > 0")
-        mixed = own.join(keys, "key").join(groups, ["key", "label"])
-        mixed = written(mixed.select("key", "node", "label", "n", "others", (F.col("main.label") == F.col("label")).alias("main")), "near-mixed")
-        chance = F.least(F.lit(1.0), wide / F.col("n")) * F.least(F.lit(1.0), wide / F.col("others"))
-        centres = mixed.filter(~F.col("main")).filter(fraction(F.lit(wide), F.col("key"), F.col("node")) < chance)
-        centres = centres.select("key", F.col("node").alias("centre"), F.col("label").alias("of"))
-        pairs = (
-            centres.join(mixed, "key")
-            .filter("of != label")
-            .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-            .distinct()
-            .join(tried, ["a", "b"], "left_anti")
-        )
-        pairs = written(pairs, "near-pairs")
-        links = written(verified(pairs, texts, threshold), "near-links")
-        tried = tried.union(pairs)
-        if not links.isEmpty():
-            held = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
-            between = (
-                links.join(held("a"), "a", "left").join(held("b"), "b", "left")
-                .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).distinct()
-            )
-            over = components(between).withColumnRenamed("label", "over").withColumnRenamed("node", "label")
-            fresh = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
-            known = labels.union(fresh.select("node", F.col("node").alias("label")))
-            labels = written(known.join(over, "label", "left").select("node", F.coalesce("over", "label").alias("label")), "near-labels")
-        if mixed.filter(~F.col("main") & ((F.col("n") > wide) | (F.col("others") > wide))).isEmpty():
-            return labels
-        wide *= 4
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    buckets = written(rows.join(shared, "key").select("key", "node"), "near-buckets")
+    small = _is_small(buckets)  # labels, groups and keys have no more rows
+    labels = written(buckets.select("node").distinct().withColumn("label", F.col("node")), "near-labels")
+    texts = written(_texts(docs, sketches, labels.select("node")), "near-texts")
+    related = nodes.join(_sent(labels.select("node"), small), "node")
+
+    for together in CLOSE:
+        joint = F.array(*(F.xxhash64(*(F.col("keys")[i + k] for k in range(together))) for i in range(0, BANDS, together)))
+        own = related.select("node", F.explode(joint).alias("key")).join(_sent(labels, small), "node")
+        centres = own.groupBy("key").agg(
+            F.min(F.struct("node", "label")).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")
+        ).filter("low != high")
+        centres = centres.select("key", F.col("c.node").alias("a"), F.col("c.label").alias("of"))
+        pairs = own.join(centres, "key").filter("of != label").select("a", F.col("node").alias("b")).distinct()
+        labels = _merged(labels, written(verified(pairs, texts, threshold), "near-links"), small)
+
+    own = buckets.join(_sent(labels, small), "node")
+    groups = own.groupBy("key", "label").agg(F.count("*").alias("n"))
+    keys = groups.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n").alias("size")).filter("classes > 1").drop("classes")
+    mixed = own.join(_sent(keys, small), "key").join(_sent(groups, small), ["key", "label"])
+    mixed = written(mixed.select("key", "node", "label", "n", "size"), "near-mixed")
+    few = mixed.filter(F.col("size") <= FEW)
+    other = few.select("key", F.col("node").alias("b"), F.col("label").alias("of"))
+    pairs = few.select("key", F.col("node").alias("a"), "label").join(other, "key").filter("label != of AND a < b").select("a", "b").distinct()
+    labels = _merged(labels, written(verified(pairs, texts, threshold), "near-links"), small)
+    return _merged(labels, written(_block_links(mixed.filter(F.col("size") > FEW), texts, threshold), "near-links"), small)
+
+
+def _block_links(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between the classes of crowded bands, found block against block.
+
+    The texts of a band are dealt into blocks of about ``BLOCK``, a large class into blocks of its own; blocks of
+    one class are not held against each other. A task gets two blocks, compares all texts of different classes
+    and gives one link for each two classes that have one: no row is made for a pair that is none.
+    """
+    own = F.when(F.col("n") >= BLOCK, F.col("label"))
+    parts = F.ceil(F.when(own.isNotNull(), F.col("n")).otherwise(F.col("size")) / BLOCK)
+    part = F.pmod(F.xxhash64(F.when(own.isNotNull(), F.col("node")).otherwise(F.col("label"))), parts)
+    blocks = (
+        rows.select("key", "node", "label", own.alias("home"), part.alias("part"))
+        .join(texts, "node")
+        .groupBy("key", "home", "part")
+        .agg(F.collect_list("node").alias("nodes"), F.collect_list("label").alias("labels"), F.collect_list("text").alias("texts"))
+        .withColumn("block", F.xxhash64("home", "part"))
+    )
+    blocks = written(blocks, "near-blocks")
+    named = lambda side: blocks.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("block", "home", "nodes", "labels", "texts")))
+    apart = (F.col("home_a").isNull() | F.col("home_b").isNull() | (F.col("home_a") != F.col("home_b")))
+    both = named("a").join(named("b"), "key").filter((F.col("block_a") <= F.col("block_b")) & apart)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [
+                link
+                for row in batch.itertuples(index=False)
+                for link in links_between((row.nodes_a, row.labels_a, row.texts_a), (row.nodes_b, row.labels_b, row.texts_b), threshold)
+            ]
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"])
+
+    columns = [f"{c}_{side}" for side in "ab" for c in ("nodes", "labels", "texts")]
+    return both.select(*columns).mapInPandas(run, "a binary, b binary").distinct()
+
+
+def links_between(one: tuple, two: tuple, threshold: float) -> Iterator[tuple[bytes, bytes]]:
+    """One linked pair for each two classes with such a pair between two blocks (nodes, labels, texts)."""
+    known = [_prepared(text) for text in two[2]]
+    sizes = np.array([s.size for _, s in known])
+    shingles, place = np.unique(np.concatenate([s for _, s in known]), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    done: set[tuple[bytes, bytes]] = set()
+    for a, label, text in zip(*one):
+        x, s = _prepared(text)
+        at = np.minimum(np.searchsorted(shingles, s), shingles.size - 1)
+        mark = np.zeros(shingles.size, np.int64)
+        mark[at[shingles[at] == s]] = 1
+        shared = np.add.reduceat(mark[place], starts)
+        for k in np.flatnonzero(shared >= threshold * (s.size + sizes - shared)):
+            b, of = two[0][k], two[1][k]
+            classes = (min(label, of), max(label, of))
+            if label == of or classes in done:
+                continue
+            y = known[k][0]
+            limit = int((1 - threshold) * max(x.size, y.size) + 1e-9)
+            if banded_distance(x, y, limit) <= limit:
+                done.add(classes)
+                yield a, b
+
+
+def _merged(labels: DataFrame, links: DataFrame, small: bool) -> DataFrame:
+    """The labels after their classes have been joined along new links between nodes."""
+    if links.isEmpty():
+        return labels
+    held = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
+    between = links.join(_sent(held("a"), small), "a").join(_sent(held("b"), small), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    over = components(between).select(F.col("node").alias("label"), F.col("label").alias("over"))
+    return written(labels.join(_sent(over, small), "label", "left").select("node", F.coalesce("over", "label").alias("label")), "near-labels")
 
 
 def _texts(docs: DataFrame, sketches: DataFrame, nodes: DataFrame) -> DataFrame:
     """node and text of the given nodes, read from one row of each; no text is shuffled while the list is small."""
     chosen = sketches.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     chosen = written(chosen, "near-chosen")
-    list_ = F.broadcast(chosen) if chosen.limit(SENT_ROWS + 1).count() <= SENT_ROWS else chosen
+    list_ = _sent(chosen, _is_small(chosen))
     own = docs.select(node_of(plain_text()).alias("node"), F.col("doc_id"), plain_text().alias("text"))
     same = (own["node"] == list_["node"]) & own["doc_id"].eqNullSafe(list_["doc_id"])
     return own.join(list_, same, "left_semi").select("node", "text").dropDuplicates(["node"])
@@ -315,7 +388,7 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .select(F.col("node").alias("__node"), F.col("doc_id").alias("__id"))
     )
     repeated = written(repeated, "near-repeated")
-    small = lambda t: F.broadcast(t) if t.limit(SENT_ROWS + 1).count() <= SENT_ROWS else t
+    small = lambda t: _sent(t, _is_small(t))
     own = docs.withColumn("__own", node_of(plain_text()))
     same = lambda t: (F.col("__own") == t["__node"]) & own["doc_id"].eqNullSafe(t["__id"])
     chosen = own.filter(F.col("__own").isNotNull()).join(small(kept), same(kept), "left_semi")
