@@ -19,6 +19,8 @@ BLOCK_TOKENS = 1 << 20
 FILE_BYTES = 1 << 30
 WRITE_CHARS = 1 << 22
 FILE_BLOCKS = 2
+#: Names of the writer's files: the task's number, the job's UUID, the counter of the task's files.
+PART_NAME = r"/part-(\d+)-[^/]*[.-]c(\d+)(?:\.[^/]*)?$"
 
 
 def write_tokens(docs: DataFrame, path: str, model: str | None = None, separator: int = SEPARATOR) -> None:
@@ -48,10 +50,13 @@ def write_tokens(docs: DataFrame, path: str, model: str | None = None, separator
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    """The files below a path with the number in their name, in which tokens and ids agree."""
+    """The files below a path with the number in their name, in which tokens and ids agree.
+
+    Both parts of the number are read from the end of the file's own name: folder names and the job's UUID may hold "-c7" too.
+    """
     found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    number = lambda pattern: F.regexp_extract("path", pattern, 1).cast("long")  # noqa: E731  (the task's number and its files' counter)
-    return found.select((number(r"part-(\d+)") * 1_000_000 + number(r"[.-]c(\d+)")).alias("file"), F.col("length").alias("bytes"), "content")
+    number = lambda k: F.regexp_extract("path", PART_NAME, k).cast("long")  # noqa: E731  (the task's number and its files' counter)
+    return found.select((number(1) * 1_000_000 + number(2)).alias("file"), F.col("length").alias("bytes"), "content")
 
 
 def segments(files: DataFrame, separator: int = SEPARATOR, block: int = BLOCK_TOKENS) -> DataFrame:

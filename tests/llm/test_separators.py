@@ -43,6 +43,19 @@ def test_files_hold_nothing_but_ids(spark, tmp_path):
     assert (ids == want).all()
 
 
+@pytest.mark.parametrize("folder", ["token-files-c7", "part-3-c7.c5"])
+def test_files_of_one_task_stay_apart_under_any_folder_name(spark, tmp_path, monkeypatch, folder):
+    """One block a file, several files a task, and a counter's look-alike in the path."""
+    monkeypatch.setattr(separators, "FILE_BLOCKS", 1)
+    monkeypatch.setattr(separators, "WRITE_CHARS", 60)
+    monkeypatch.setattr(separators, "fresh_path", lambda *_: str(tmp_path / folder))
+    rows = [(i, "some words " * (1 + i % 7), "en", "s") for i in range(40)]
+    got = sorted(tuple(r) for r in separators.token_counts(frame(spark, rows).coalesce(1)).collect())
+    assert got == [(i, CODER.encode([t])[0].size) for i, t, *_ in rows]
+    files = separators._files(spark, str(tmp_path / folder / "kind=tokens"))
+    assert files.count() == files.select("file").distinct().count() > 5
+
+
 def test_a_file_above_the_bound_is_refused(spark, monkeypatch):
     monkeypatch.setattr(separators, "FILE_BYTES", 3)
     files = spark.createDataFrame([(0, 4, bytearray(b"abcd"))], "file long, bytes long, content binary")
