@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
+from ipaddress import IPv6Address
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -31,20 +32,42 @@ FAMILY = {
 ENDINGS = {"latin": "berg dale ford gate hall ley mann mont ner stein ton wick".split(), "cyrillic": "енко ин ов ский".split()}
 
 _TITLE = "|".join(re.escape(t) for all_ in TITLES.values() for t in all_)
-_NAME = r"[^\W\d_a-zа-яß-öø-ÿ][^\W\d_]*(?:[-'][^\W\d_]+)*"
-_PATTERN = re.compile(
-    rf"(?P<email>[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
-    rf"|(?P<secret>\b(?:AKIA[0-9A-Z]{{12,}}|gh[opsu]_[0-9A-Za-z]{{20,}}|sk[-_](?:live[-_]|test[-_])?[0-9A-Za-z]{{16,}}|xox[abp]-[0-9A-Za-z-]{{10,}}|AIza[0-9A-Za-z_-]{{20,}}))"
-    rf"|(?P<iban>\b[A-Z]{{2}}\d{{2}}(?:[A-Z0-9]{{11,30}}|(?: [A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,3}})?)\b)"
-    rf"|(?P<ipv4>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){{3}}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w))"
-    rf"|(?P<ipv6>(?<![\w:])(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}(?![\w:]))"
-    rf"|(?P<card>(?<![\w-])(?:\d{{13,19}}|\d{{4}}(?:[ -]\d{{4}}){{3}})(?![\w-]))"
-    rf"|(?P<ssn>(?<![\w-])\d{{3}}-\d{{2}}-\d{{4}}(?![\w-]))"
-    rf"|(?P<phone>(?<![\w.])(?!\d{{4}}-\d\d-\d\d(?!\d))(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{2,4}}\)[ .-]?|\d{{2,4}}[ .-])\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,3}}(?![\w-])|(?<![\w.])\+\d{{8,14}}(?!\w))"
-    rf"|(?<!\w)(?P<title>{_TITLE})\.?[ ](?P<name>{_NAME}(?:[ ]{_NAME}){{0,2}})"
+_NAME = r"[^\W\d_a-zа-яß-öø-ÿ][^\W\d_]*(?:[-'](?!s\b)[^\W\d_]+)*"
+_VENDOR = r"(?:AKIA[0-9A-Z]{12,}|gh[opsu]_[0-9A-Za-z]{20,}|sk[-_](?:live[-_]|test[-_])?[0-9A-Za-z]{16,}|xox[abp]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{20,})"
+#: What a secret is assigned to, in any case, and how; the value then is long hex or base64 (unquoted with a digit), but no number of a card or an account.
+_KEYS = ("token", "key", "secret", "passw", "pwd")
+_ASSIGN = r"[A-Za-z0-9_-]{0,20}[\"']?[ \t]*(?:=>|:=|=|:)"
+_ASSIGNED = (
+    rf"(?P<assigned>(?ai:{'|'.join(_KEYS)}){_ASSIGN}[ \t]*[\"']?)"
+    rf"(?P<value>{_VENDOR}|(?!\d{{13,19}}(?![\w-])|[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}(?![\w-]))"
+    rf"(?:(?<=[\"'])|(?=[A-Za-z+/_-]*\d))[A-Za-z0-9+/_-]{{16,}}+={{0,2}}(?![\w@]))"
 )
+_H = r"[0-9A-Fa-f]{1,4}"
+#: Addresses with "::" begin with a group that is in use (2000::/3, fc00::/7, fe80::/10, ff00::/8, 64:ff9b::/96, ::ffff:0:0/96), which slices and scopes in code do not.
+_SHORT_IPV6 = (
+    rf"(?:[23][0-9A-Fa-f]{{3}}|[Ff](?:[CcDdFf][0-9A-Fa-f]|[Ee][89ABab])[0-9A-Fa-f]|64:[Ff][Ff]9[Bb])(?::{_H}){{0,6}}::(?:{_H}(?::{_H}){{0,6}})?(?![\w:]|\.\d)"
+    rf"|::[Ff]{{4}}(?::{_H}){{2}}(?![\w:]|\.\d)"
+)
+
+
+def _pattern(assigned: str = "", short_ipv6: str = "") -> re.Pattern:
+    return re.compile(
+        rf"(?P<email>[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
+        rf"|(?P<secret>\b{_VENDOR}){assigned}"
+        rf"|(?P<iban>\b[A-Z]{{2}}\d{{2}}(?:[A-Z0-9]{{11,30}}|(?: [A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,3}})?)\b)"
+        rf"|(?P<ipv4>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){{3}}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w))"
+        rf"|(?P<ipv6>(?<![\w:])(?:(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}(?![\w:]){short_ipv6}))"
+        rf"|(?P<card>(?<![\w-])(?:\d{{13,19}}|\d{{4}}(?:[ -]\d{{4}}){{3}})(?![\w-]))"
+        rf"|(?P<ssn>(?<![\w-])\d{{3}}-\d{{2}}-\d{{4}}(?![\w-]))"
+        rf"|(?P<phone>(?<![\w.])(?!\d{{4}}-\d\d-\d\d(?!\d))(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{2,4}}\)[ .-]?|\d{{2,4}}[ .-])\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,3}}(?![\w-])|(?<![\w.])\+\d{{8,14}}(?!\w))"
+        rf"|(?<!\w)(?P<title>{_TITLE})\.?[ ](?P<name>{_NAME}(?:[ ]{_NAME}){{0,2}})"
+    )
+
+
+#: The second pattern also has what only texts with one of its keys or "::" can hold, which is quickly seen.
+_PATTERN, _WIDE = _pattern(), _pattern(f"|{_ASSIGNED}", f"|{_SHORT_IPV6}")
 #: A text that does not match this holds nothing that the pattern finds (checked by Spark before Python sees it).
-LOOSE = rf"@|[0-9].?.?[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]|(?:AKIA|gh[opsu]_|sk[-_]|xox|AIza)|(?:{_TITLE})\.? "
+LOOSE = rf"@|[0-9].?.?[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f:]|::[Ff]|(?:AKIA|gh[opsu]_|sk[-_]|xox|AIza)|(?i:{'|'.join(_KEYS)}){_ASSIGN}|(?:{_TITLE})\.? "
 _GENDER = {title: gender for gender, titles in TITLES.items() for title in titles}
 #: Most rows of an entity list that is sent to every executor.
 SENT_ROWS = 200_000
@@ -58,9 +81,38 @@ def entities(text: str) -> Iterator[tuple[int, int, str, str]]:
     """Start, end, kind and canonical value of each entity, in order, apart from each other.
 
     Equal entities have equal values however they are written: addresses in lower case, numbers by their digits.
-    A name gives one entity per part, so that it is the same person with and without the given name.
+    A name gives one entity per part, so that it is the same person with and without the given name. Names are
+    found after a title, and from then on and before wherever their parts (of two letters or more) stand
+    capitalised in the same text. A name without a title in its text is not found.
     """
-    for m in _PATTERN.finditer(text):
+    found = list(_announced(text))
+    names = {}
+    for start, end, kind, value in found:
+        if kind.startswith(("given", "family")) and end - start > 1:
+            names.setdefault(value, (kind, text[start:end]))
+    if not names:
+        yield from found
+        return
+    bare = re.compile(rf"(?<!\w)(?:{'|'.join(re.escape(w) for _, w in sorted(names.values(), key=lambda n: -len(n[1])))})(?!\w)", re.I)
+    taken = iter(found)
+    ahead = next(taken, None)
+    for m in bare.finditer(text):
+        while ahead and ahead[1] <= m.start():
+            yield ahead
+            ahead = next(taken, None)
+        value = m.group().casefold()
+        if value in names and not m.group()[0].islower() and (ahead is None or m.end() <= ahead[0]):
+            yield m.start(), m.end(), names[value][0], value
+    if ahead:
+        yield ahead
+    yield from taken
+
+
+def _announced(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """The entities that their own form or a title shows."""
+    low = text.lower()
+    wide = "::" in text or any(key in low for key in _KEYS)
+    for m in (_WIDE if wide else _PATTERN).finditer(text):
         kind = m.lastgroup
         if kind in ("name", "title"):
             at, parts = m.start("name"), m.group("name").split(" ")
@@ -71,6 +123,9 @@ def entities(text: str) -> Iterator[tuple[int, int, str, str]]:
                 yield at, at + len(part), f"family:{script}" if last else f"given:{script}:{gender}", part.casefold()
                 at += len(part) + 1
             continue
+        if kind in ("assigned", "value"):
+            yield m.start("value"), m.end("value"), "secret", m.group("value")
+            continue
         value = m.group()
         if kind in ("card", "ssn", "phone"):
             digits = re.sub(r"\D", "", value)
@@ -79,8 +134,13 @@ def entities(text: str) -> Iterator[tuple[int, int, str, str]]:
             yield m.start(), m.end(), kind, digits
         elif kind == "iban":
             yield m.start(), m.end(), kind, value.replace(" ", "")
+        elif kind == "ipv6":
+            try:
+                yield m.start(), m.end(), kind, IPv6Address(value).compressed
+            except ValueError:  # too many groups
+                continue
         else:
-            yield m.start(), m.end(), kind, value.lower() if kind in ("email", "ipv6") else value
+            yield m.start(), m.end(), kind, value.lower() if kind == "email" else value
 
 
 class _Draw:
@@ -98,14 +158,14 @@ class _Draw:
         return value % n
 
 
-def _like(text: str, draw: _Draw) -> str:
-    """Letters to letters of the same case, digits to digits, the rest as it is."""
+def _like(text: str, draw: _Draw, letters: int = 26) -> str:
+    """Letters to letters of the same case (to the first ``letters``), digits to digits, the rest as it is."""
     out = []
     for c in text:
         if c.isdigit():
             out.append(str(draw.below(10)))
         elif "a" <= c <= "z" or "A" <= c <= "Z":
-            out.append(chr(ord("a" if c.islower() else "A") + draw.below(26)))
+            out.append(chr(ord("a" if c.islower() else "A") + draw.below(letters)))
         else:
             out.append(c)
     return "".join(out)
@@ -134,7 +194,14 @@ def surrogate(secret: str, kind: str, value: str, attempt: int) -> str:
         kept = private.group().split(".")[:-1] if private else []
         return ".".join([*kept, *(str(1 + draw.below(254)) for _ in range(4 - len(kept)))])
     if kind == "ipv6":
-        return ":".join(f"{draw.below(65536):x}" for _ in range(8))
+        groups = [int(g, 16) for g in IPv6Address(value).exploded.split(":")]
+        zeros = [i for i in range(7, 0, -1) if not groups[i]][:max(0, attempt - 2)]
+        for i in range(8):
+            if i == 0 and 0x2000 <= groups[0] < 0x4000:
+                groups[0] = 0x2000 + draw.below(0x2000)
+            elif (groups[i] and (i or groups[0] < 0xFC00)) or i in zeros:
+                groups[i] = 1 + draw.below(65535)
+        return IPv6Address(":".join(f"{g:x}" for g in groups)).compressed
     if kind == "card":
         body = value[0] + "".join(str(draw.below(10)) for _ in value[1:-1])
         valid = [d for d in "0123456789" if luhn(body + d) == luhn(value)]
@@ -148,8 +215,10 @@ def surrogate(secret: str, kind: str, value: str, attempt: int) -> str:
     if kind in ("ssn", "phone"):
         return "".join(str(1 + draw.below(9)) if i == 0 and c != "0" else str(draw.below(10)) for i, c in enumerate(value))
     if kind == "secret":
-        prefix = re.match(r"AKIA|gh[opsu]_|sk[-_](?:live[-_]|test[-_])?|xox[abp]-|AIza", value).group()
-        return prefix + _like(value[len(prefix):], draw)
+        prefix = re.match(r"(?:AKIA|gh[opsu]_|sk[-_](?:live[-_]|test[-_])?|xox[abp]-|AIza)?", value).group()
+        body = value[len(prefix):]
+        more = "" if attempt < 3 else _like("a" * (attempt - 2), draw, 6)
+        return prefix + more + _like(body, draw, 6 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", body) else 26)
     part, script, *gender = kind.split(":")
     if part == "given":
         pool = GIVEN[script, gender[0]] if gender[0] in "mf" else GIVEN[script, "m"] + GIVEN[script, "f"]
@@ -167,6 +236,12 @@ def rendered(kind: str, written_as: str, drawn: str) -> str:
             drawn = m.group(1) + drawn[len(m.group(1)):]  # the country stays
         rest = iter(drawn)
         return "".join(next(rest) if c.isalnum() else c for c in written_as)
+    if kind == "ipv6":
+        groups = IPv6Address(drawn).exploded.split(":")
+        if "::" not in written_as:
+            padded = all(len(g) == 4 for g in written_as.split(":"))
+            drawn = ":".join(g if padded else g.lstrip("0") or "0" for g in groups)
+        return drawn.upper() if written_as != written_as.lower() else drawn
     if kind.startswith(("given", "family")):
         return drawn.upper() if written_as.isupper() and len(written_as) > 1 else drawn[:1].upper() + drawn[1:]
     return drawn.upper() if kind == "email" and written_as.isupper() else drawn

@@ -2,8 +2,10 @@
 
 import re
 from collections import defaultdict
+from ipaddress import IPv6Address
 
 import pytest
+from pyspark.sql import functions as F
 
 from moodtide.llm import surrogates
 from moodtide.llm.common import table
@@ -83,3 +85,44 @@ def test_hard_rows(spark):
 @pytest.mark.parametrize("text", ["x@y", "1.2.3", "3.14159 2,718,281", "12-13 14", "2024-01-31 10:20:30", "Dr. no"])
 def test_clean_texts_stay(text):
     assert not list(surrogates.entities(text))
+
+
+PLANTED = [
+    ('the token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" here', "04dbebab91ab85687d33eeaaf9ac699e1188f962"),
+    ("export TOKEN='04DBEBAB91AB85687D33EEAAF9AC699E1188F962'", "04DBEBAB91AB85687D33EEAAF9AC699E1188F962"),
+    ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"),
+    ('{"api_key": "c2VjcmV0LXZhbHVlLWhlcmU="}', "c2VjcmV0LXZhbHVlLWhlcmU"),
+    ("Password: 9f86d081884c7d659a2feaa0c55ad015", "9f86d081884c7d659a2feaa0c55ad015"),
+    ("host 2001:db8::1 is up", "2001:db8::1"),
+    ("from FE80::1FF:FE23:4567:890A.", "FE80::1FF:FE23:4567:890A"),
+    ("net fd12:3456:789a:: and", "fd12:3456:789a::"),
+    ("Mr John Smith left. Then Smith said no, and SMITH's dog too; John's hat.", "Smith|SMITH|John"),
+]
+
+
+@pytest.mark.parametrize("text, planted", PLANTED)
+def test_planted_strings_go(spark, text, planted):
+    """What goes is planted here and not taken from entities()."""
+    row = one(spark, text)
+    assert not re.search(planted.replace("+", "[+]"), row.text) and row.n_entities > 0
+    shape = lambda t: re.sub("[0-9a-f]+", "x", t.replace(planted, "x").lower())
+    if "Mr" not in text and "::" not in text:
+        assert len(row.text) == len(text) and shape(text[:12]) == shape(row.text[:12])
+
+
+def test_bare_names_and_spellings_of_one_entity_agree(spark):
+    row = one(spark, "Smith came. Mr John Smith left. SMITH said no. Mrs Smith's cat. 2001:db8::1 or 2001:0DB8:0:0:0:0:0:1")
+    first, given, second, third, fourth = re.match(r"(\w+) came\. Mr (\w+) (\w+) left\. (\w+) said no\. Mrs (\w+)'s cat", row.text).groups()
+    assert first == second == fourth == third.capitalize() != "Smith" and given != "John"
+    a, b = row.text.split("cat. ")[1].split(" or ")
+    assert IPv6Address(a) == IPv6Address(b) != IPv6Address("2001:db8::1") and "::" in a and b.count(":") == 7
+
+
+@pytest.mark.parametrize("text", ["x[1::2] std::vector a::b ::1", "key = some_function_name_here", "token: see the manual", "monkey: banana"])
+def test_code_and_prose_stay(text):
+    assert not list(surrogates.entities(text))
+
+
+def test_loose_admits_every_planted_string(spark):
+    texts = [(i, t, "en", "s") for i, (t, _) in enumerate(PLANTED)] + [(99, "key='abcdefghijklmnopqr'", "en", "s"), (98, "at fe80:: x", "en", "s")]
+    assert frame(spark, texts).filter(F.col("text").rlike(surrogates.LOOSE)).count() == len(texts)
