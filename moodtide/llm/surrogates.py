@@ -80,8 +80,8 @@ def _script(word: str) -> str:
 def entities(text: str) -> Iterator[tuple[int, int, str, str]]:
     """Start, end, kind and canonical value of each entity, in order, apart from each other.
 
-    Equal entities have equal values however they are written: addresses in lower case, numbers by their digits.
-    A name gives one entity per part, so that it is the same person with and without the given name. Names are
+    Equal entities have equal values however they are written: addresses in lower case, numbers by their digits,
+    with a plus where a country code is written. A name gives one entity per part, so that it is the same person with and without the given name. Names are
     found after a title, and from then on and before wherever their parts (of two letters or more) stand
     capitalised in the same text. A name without a title in its text is not found.
     """
@@ -131,7 +131,7 @@ def _announced(text: str) -> Iterator[tuple[int, int, str, str]]:
             digits = re.sub(r"\D", "", value)
             if kind == "phone" and not 7 <= len(digits) <= 15:
                 continue
-            yield m.start(), m.end(), kind, digits
+            yield m.start(), m.end(), kind, "+" + digits if value.startswith("+") else digits
         elif kind == "iban":
             yield m.start(), m.end(), kind, value.replace(" ", "")
         elif kind == "ipv6":
@@ -171,6 +171,15 @@ def _like(text: str, draw: _Draw, letters: int = 26) -> str:
     return "".join(out)
 
 
+#: Country calling codes of one and two digits; all others have three. None begins another.
+_COUNTRY = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
+
+
+def country(phone: str) -> str:
+    """The plus and the country code of a canonical number; empty where it was written without."""
+    return m.group() if (m := _COUNTRY.match(phone)) else ""
+
+
 def luhn(digits: str) -> bool:
     total = sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits))))
     return total % 10 == 0
@@ -213,7 +222,8 @@ def surrogate(secret: str, kind: str, value: str, attempt: int) -> str:
         rest = int("".join(str(int(c, 36)) for c in body + value[:2] + "00")) % 97
         return f"{value[:2]}{98 - rest:02d}{body}"
     if kind in ("ssn", "phone"):
-        return "".join(str(1 + draw.below(9)) if i == 0 and c != "0" else str(draw.below(10)) for i, c in enumerate(value))
+        kept = country(value)
+        return kept + "".join(str(1 + draw.below(9)) if i == 0 and c != "0" else str(draw.below(10)) for i, c in enumerate(value[len(kept):]))
     if kind == "secret":
         prefix = re.match(r"(?:AKIA|gh[opsu]_|sk[-_](?:live[-_]|test[-_])?|xox[abp]-|AIza)?", value).group()
         body = value[len(prefix):]
@@ -232,9 +242,7 @@ def surrogate(secret: str, kind: str, value: str, attempt: int) -> str:
 def rendered(kind: str, written_as: str, drawn: str) -> str:
     """A canonical surrogate in the way its entity was written: separators, spacing and case."""
     if kind in ("card", "ssn", "phone", "iban"):
-        if kind == "phone" and written_as.startswith("+") and (m := re.match(r"\+(\d{1,3})(?=[ .(-])", written_as)):
-            drawn = m.group(1) + drawn[len(m.group(1)):]  # the country stays
-        rest = iter(drawn)
+        rest = iter(drawn.lstrip("+"))
         return "".join(next(rest) if c.isalnum() else c for c in written_as)
     if kind == "ipv6":
         groups = IPv6Address(drawn).exploded.split(":")

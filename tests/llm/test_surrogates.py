@@ -126,3 +126,18 @@ def test_code_and_prose_stay(text):
 def test_loose_admits_every_planted_string(spark):
     texts = [(i, t, "en", "s") for i, (t, _) in enumerate(PLANTED)] + [(99, "key='abcdefghijklmnopqr'", "en", "s"), (98, "at fe80:: x", "en", "s")]
     assert frame(spark, texts).filter(F.col("text").rlike(surrogates.LOOSE)).count() == len(texts)
+
+
+def test_both_spellings_of_a_phone_are_one_and_keep_the_country(spark):
+    a, b, c = one(spark, "call +1 555 123 4567 or +15551234567 or +4930123456789 now").text.split("call ")[1].removesuffix(" now").split(" or ")
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) and a.startswith("+1 ") and "5551234567" not in b and c.startswith("+49")
+
+
+def test_rendered_phones_stay_apart_and_unreal(spark):
+    """Short national numbers: draws collide, and what is compared is what is written."""
+    rows = [(i, f"call +375 {10 + i // 100} {i % 100:03d} or +375{10 + i // 100}{i % 100:03d}", "en", "s") for i in range(1500)]
+    digits = lambda t: re.findall(r"\d+", re.sub(r"(?<=\d) (?=\d)", "", t))
+    real = {digits(t)[0] for _, t, *_ in rows}
+    got = [digits(r.text) for r in surrogates.replaced(frame(spark, rows)).collect()]
+    assert all(a == b for a, b in got) and len({a for a, _ in got}) == 1500 and not real & {a for a, _ in got}
+    assert all(a.startswith("375") for a, _ in got)
