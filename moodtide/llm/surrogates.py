@@ -8,7 +8,7 @@ from hashlib import blake2b
 from ipaddress import IPv6Address
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import plain_text, written
 
@@ -71,6 +71,8 @@ LOOSE = rf"@|[0-9].?.?[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f:]|::[Ff]|(?:AKIA|gh[opsu]_|sk
 _GENDER = {title: gender for gender, titles in TITLES.items() for title in titles}
 #: Most rows of an entity list that is sent to every executor.
 SENT_ROWS = 200_000
+#: About how many entities of a full pool exchange their values in one circle.
+CIRCLE = 10_000
 
 
 def _script(word: str) -> str:
@@ -196,11 +198,12 @@ def surrogate(secret: str, kind: str, value: str, attempt: int) -> str:
         local, domain = value.rsplit("@", 1)
         *labels, top = domain.split(".")
         host = _Draw(secret, "domain", domain)
-        more = "" if attempt < 3 else _like("a" * (attempt - 2), draw)
+        more = "" if attempt < 3 else _like("a" * (attempt - 2), draw)  # widens the pool
         return f"{_like(local, draw)}{more}@{'.'.join(_like(label, host) for label in labels)}.{top}"
     if kind == "ipv4":
         private = re.match(r"10\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.|127\.", value)
         kept = private.group().split(".")[:-1] if private else []
+        kept = ["10"] if private and attempt > 2 and kept[0] != "127" else kept  # the largest private range
         return ".".join([*kept, *(str(1 + draw.below(254)) for _ in range(4 - len(kept)))])
     if kind == "ipv6":
         groups = [int(g, 16) for g in IPv6Address(value).exploded.split(":")]
@@ -239,6 +242,21 @@ def surrogate(secret: str, kind: str, value: str, attempt: int) -> str:
     return (name + "".join(ends[draw.below(len(ends))] for _ in range(attempt))).casefold()
 
 
+def pool(kind: str, value: str) -> tuple[str, float]:
+    """What an entity's surrogates can be drawn from in the end, by name, and how many there are.
+
+    Infinite for kinds whose later attempts give longer ones or whose shortest form has some 10^11.
+    """
+    if kind == "ipv4":
+        if re.match(r"10\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.|127\.", value):
+            return "loopback" if value.startswith("127.") else "private", 254.0**3
+        return "public", 254.0**4
+    if kind in ("ssn", "phone"):
+        kept = country(value)
+        return f"{kept} {len(value)}", 9 * 10.0 ** (len(value) - len(kept) - 1)
+    return "", float("inf")
+
+
 def rendered(kind: str, written_as: str, drawn: str) -> str:
     """A canonical surrogate in the way its entity was written: separators, spacing and case."""
     if kind in ("card", "ssn", "phone", "iban"):
@@ -272,15 +290,35 @@ def found_entities(docs: DataFrame) -> DataFrame:
 def chosen_surrogates(known: DataFrame, secret: str) -> DataFrame:
     """kind, value, surrogate for distinct entities: no two entities of a kind share one, and none is a real entity.
 
-    All are drawn at once; of those that collide the least keeps its draw and the others draw again.
+    All are drawn at once; of those that collide the least keeps its draw and the others draw again. Where the real
+    entities fill more than a quarter of what they can be drawn from, such draws would take long or never end: there
+    each takes the value of another entity of its pool, in circles by keyed hash, so that surrogates still differ
+    from each other and from what they stand for.
     """
 
     @F.pandas_udf("string")
     def draw(kind: pd.Series, value: pd.Series, attempt: pd.Series) -> pd.Series:
         return pd.Series([surrogate(secret, k, v, int(a)) for k, v, a in zip(kind, value, attempt)], dtype=object)
 
+    @F.pandas_udf("struct<pool:string,size:double,hash:bigint>")
+    def pooled(kind: pd.Series, value: pd.Series) -> pd.DataFrame:
+        rows = [(*pool(k, v), _Draw(secret, "circle", k, v).below(2**63)) for k, v in zip(kind, value)]
+        return pd.DataFrame(rows, columns=["pool", "size", "hash"])
+
     real = written(known.select("kind", "value").distinct(), "pii-entities")
     taken = real.select("kind", F.col("value").alias("surrogate"))
+    few = real.filter(F.col("kind").isin("ipv4", "ssn", "phone")).select("kind", "value", pooled("kind", "value").alias("p")).select("kind", "value", "p.*")
+    full = few.groupBy("kind", "pool", "size").agg(F.count("*").alias("n")).filter("4 * n > size").select("kind", "pool", "n")
+    full = written(full, "pii-full")
+    if full.isEmpty():
+        circled = None
+    else:
+        part = F.pmod("hash", F.ceil(F.col("n") / CIRCLE))
+        held = few.join(F.broadcast(full), ["kind", "pool"]).withColumn("part", part)
+        own = W.partitionBy("kind", "pool", "part").orderBy("hash", "value")
+        first = F.first("value").over(own.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+        circled = written(held.select("kind", "value", F.coalesce(F.lead("value").over(own), first).alias("surrogate")), "pii-circled")
+        real = real.join(circled, ["kind", "value"], "left_anti")
     drawn = written(real.withColumn("attempt", F.lit(0)).withColumn("surrogate", draw("kind", "value", "attempt")), "pii-surrogates")
     while True:
         shared = drawn.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min("value").alias("keeps")).filter("n > 1")
@@ -288,7 +326,8 @@ def chosen_surrogates(known: DataFrame, secret: str) -> DataFrame:
         again = losers.union(drawn.join(taken, ["kind", "surrogate"], "left_semi").select("kind", "value")).distinct()
         again = written(again.withColumn("again", F.lit(1)), "pii-again")
         if again.isEmpty():
-            return drawn.select("kind", "value", "surrogate")
+            drawn = drawn.select("kind", "value", "surrogate")
+            return drawn.unionByName(circled) if circled else drawn
         marked = drawn.join(again, ["kind", "value"], "left")
         attempt = F.col("attempt") + F.coalesce("again", F.lit(0))
         moved = marked.select("kind", "value", attempt.alias("attempt"), "again", "surrogate")
