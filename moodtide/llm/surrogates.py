@@ -67,7 +67,7 @@ def _pattern(assigned: str = "", short_ipv6: str = "") -> re.Pattern:
 #: The second pattern also has what only texts with one of its keys or "::" can hold, which is quickly seen.
 _PATTERN, _WIDE = _pattern(), _pattern(f"|{_ASSIGNED}", f"|{_SHORT_IPV6}")
 #: A text that does not match this holds nothing that the pattern finds (checked by Spark before Python sees it).
-LOOSE = rf"@|[0-9].?.?[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f:]|::[Ff]|(?:AKIA|gh[opsu]_|sk[-_]|xox|AIza)|(?i:{'|'.join(_KEYS)}){_ASSIGN}|(?:{_TITLE})\.? "
+LOOSE = rf"@|[0-9].?.?[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f:]|(?:AKIA|gh[opsu]_|sk[-_]|xox|AIza)|[=:>](?:[ \t]*[\"']?[A-Za-z0-9+/_-]{{16}}|:[Ff])|(?:{_TITLE})\.? "
 _GENDER = {title: gender for gender, titles in TITLES.items() for title in titles}
 #: Most rows of an entity list that is sent to every executor.
 SENT_ROWS = 200_000
