@@ -55,6 +55,9 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "SPDX-License-Identifier: MPL-2.0",
     ),
 }
+#: Reserved rights, a match like a licence; next to a licence in the same file they are its customary copyright line.
+RESERVED = "LicenseRef-Proprietary"
+TEMPLATES[RESERVED] = ("All rights reserved.", "Copyright (c). All rights reserved.")
 THRESHOLD = 0.75
 #: File names that hold a directory's licence.
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying)([.-].*)?$"
@@ -103,7 +106,7 @@ def matches(files: DataFrame, threshold: float = THRESHOLD, templates: Mapping[s
     """path, license, score: the best template for each path with a line or paragraph at or above the threshold.
 
     Whole texts are searched. Only lines and paragraphs with an anchor term are taken apart into terms; that
-    loses none. Ties go to the first identifier. Null and empty texts match nothing; rows repeated under one
+    loses none. Ties go to the first identifier; reserved rights count only where nothing else matches. Null and empty texts match nothing; rows repeated under one
     path count as one file with all their lines.
     """
     spark, weights = files.sparkSession, Weights(templates)
@@ -132,7 +135,7 @@ def matches(files: DataFrame, threshold: float = THRESHOLD, templates: Mapping[s
     return (
         scored.filter(F.col("score") >= threshold)
         .groupBy("path")
-        .agg(F.min(F.struct((-F.col("score")).alias("order"), "license")).alias("best"))
+        .agg(F.min(F.struct((F.col("license") == RESERVED).alias("last"), (-F.col("score")).alias("order"), "license")).alias("best"))
         .select("path", F.col("best.license").alias("license"), (-F.col("best.order")).alias("score"))
     )
 

@@ -31,6 +31,18 @@ def test_own_and_inherited(spark):
     assert len(got) == len(FILES)
 
 
+def test_reserved_rights_are_a_match_and_inherit_nothing(spark):
+    rows = [
+        ("a/LICENSE", "Released under the MIT License."), ("a/b/own.txt", "Words here.\nAll rights reserved.\n"), ("a/b/other.txt", "Words here."),
+        ("c/LICENSE", "Copyright (c). All rights reserved."), ("c/x.txt", "x"),
+        ("d/both.py", "All rights reserved.\n\nLicensed under the BSD 3-Clause License for all of this."),
+    ]
+    got = {r.path: r for r in licenses.scanned(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got["a/b/own.txt"].own_license == got["a/b/own.txt"].license == licenses.RESERVED
+    assert got["a/b/other.txt"].license == "MIT" and got["c/x.txt"].license == licenses.RESERVED
+    assert got["d/both.py"].license == "BSD-3-Clause"
+
+
 def test_anchors_lose_no_match(spark, sf):
     """Every line at the threshold, scored without anchors, is found."""
     weights = licenses.Weights()
