@@ -14,10 +14,12 @@ from .common import plain_text, written
 #: Words per shingle and least similarity (the contract's defaults).
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Sketch: bands, and ordered minima in each. Two texts with similarity 0.8 share a band with probability 0.997,
-#: with 0.9 practically always, with 0.3 with 0.002.
+#: Sketch: bands, and ordered minima in each. Two long texts with similarity 0.8 share a band with probability 0.997,
+#: with 0.9 practically always, with 0.3 with 0.002. Few shingles make it less, so pairs with a text of fewer than
+#: EXACT different shingles are found by their rarest shingles as well, without loss.
 BANDS = 32
 MINIMA = 8
+EXACT = 40
 #: Bands in which close relatives agree at once, in the order tried; most rows of an id list sent to every executor.
 CLOSE = (8, 4, 2)
 #: Texts of a band up to which they are paired, and texts in a block beyond.
@@ -73,12 +75,11 @@ def labelled(shingles: np.ndarray) -> np.ndarray:
 _SEEDS = _mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _P)
 
 
-def band_keys(text: str) -> np.ndarray | None:
+def band_keys(shingles: np.ndarray) -> np.ndarray | None:
     """One key per band: of the shingles with the least permuted hashes, the hashes in text order. None without words."""
-    words = word_hashes(text)
-    if not words.size:
+    if not shingles.size:
         return None
-    marks = labelled(shingle_hashes(words))
+    marks = labelled(shingles)
     most = min(MINIMA, marks.size)
     keys = np.empty(BANDS, np.uint64)
     step = max(1, (1 << 20) // marks.size)
@@ -101,18 +102,50 @@ def node_of(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5(text)))
 
 
-def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, node and keys of every row; keys are null where the same text stood in the batch before."""
+def sketched(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, node, keys and short of every row; both are null where the same text stood in the batch before.
+
+    ``short`` has the different shingles of a text that may be linked to one of fewer than EXACT.
+    """
+    most = int((EXACT - 1) / threshold + 1e-9)
     kind = dict(docs.dtypes)["doc_id"]
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), node_of(plain_text()).alias("node"), plain_text().alias("_text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             again = batch["node"].duplicated() | batch["node"].isna()
-            keys = [None if skip else band_keys(text) for text, skip in zip(batch["_text"], again)]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "node": batch["node"], "keys": keys})
+            keys, short = [], []
+            for text, skip in zip(batch["_text"], again):
+                shingles = shingle_hashes(word_hashes("" if skip else text))
+                keys.append(band_keys(shingles))
+                short.append(short_shingles(shingles, most) if shingles.size else None)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "node": batch["node"], "keys": keys, "short": short})
+
+    return texts.mapInPandas(run, "doc_id string, node binary, keys array<bigint>, short array<bigint>").withColumn("doc_id", F.col("doc_id").cast(kind))
+
 
-    return texts.mapInPandas(run, "doc_id string, node binary, keys array<bigint>").withColumn("doc_id", F.col("doc_id").cast(kind))
+def short_shingles(shingles: np.ndarray, most: int) -> np.ndarray | None:
+    """The different shingle hashes of a text, None if they are more than ``most``."""
+    shingles = np.unique(shingles)
+    return shingles.view(np.int64) if shingles.size <= most else None
+
+
+def rare_keys(nodes: DataFrame, threshold: float) -> DataFrame:
+    """node and key: of each short text the shingles one of which every linked short text shares.
+
+    A prefix filter: with all shingles in one order, two sets of similarity t share one of the first
+    n - ceil(t * n) + 1 of each. The order puts shingles of many texts last, so that common passages pair nothing.
+    """
+    each = nodes.filter(F.col("short").isNotNull()).select("node", F.explode("short").alias("shingle"))
+    common = each.groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") > FEW)
+    common = written(common, "near-common")
+    ordered = (
+        each.join(_sent(common, _is_small(common)), "shingle", "left")
+        .groupBy("node")
+        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.xxhash64("shingle").alias("h")))).alias("all"))
+    )
+    first = F.size("all") - F.ceil(F.lit(threshold) * F.size("all") - 1e-9).cast("int") + 1
+    return ordered.select("node", F.explode(F.slice("all", F.lit(1), F.least(first, F.size("all")))).alias("x")).select("node", F.col("x.h").alias("key"))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -228,14 +261,14 @@ def components(edges: DataFrame) -> DataFrame:
 def near_labels(docs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """node, label for every text that shares a band with another; the label is the least node of its class.
 
-    Every pair of texts that share a band ends up verified or in one class. Texts that agree in several bands at
+    The rare shingles of short texts count as bands here. Every pair of texts that share a band ends up verified or in one class. Texts that agree in several bands at
     once, the closest relatives, are held against one centre first, so that large groups become few classes at
     little cost. Then only bands that still hold several classes go on: their texts of different classes are
     paired, or compared block against block where a band is crowded. Copies and texts already in one class are
     never paired.
     """
-    nodes = sketches.filter(F.col("keys").isNotNull()).groupBy("node").agg(F.first("keys").alias("keys"))
-    rows = nodes.select("node", F.explode("keys").alias("key"))
+    nodes = sketches.filter(F.col("keys").isNotNull()).groupBy("node").agg(F.first("keys").alias("keys"), F.first("short").alias("short"))
+    rows = nodes.select("node", F.explode("keys").alias("key")).unionByName(rare_keys(nodes, threshold))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     buckets = written(rows.join(shared, "key").select("key", "node"), "near-buckets")
     small = _is_small(buckets)  # labels, groups and keys have no more rows
@@ -356,7 +389,7 @@ def classed(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def _sketches_and_labels(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    sketches = written(sketched(docs), "near-sketches")
+    sketches = written(sketched(docs, threshold), "near-sketches")
     return sketches, near_labels(docs, sketches, threshold)
 
 

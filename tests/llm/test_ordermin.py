@@ -118,3 +118,16 @@ def test_hard_rows(spark):
 def test_a_repeated_row_stays_once(spark):
     docs = frame(spark, [(5, "five words are in here now", "en", "s")] * 3 + [(6, "", "en", "s")] * 2)
     assert sorted(r.doc_id for r in ordermin.one_of_each(docs).collect()) == [5, 6, 6]
+
+
+def test_short_near_copies_are_classed_exactly(spark):
+    """Pairs of 5 to 25 words that differ by a word or more at an end, beside a sentence that many texts hold."""
+    rng, rows = random.Random(3), []
+    for n in range(5, 26):
+        for cut in (1, 2, 4):
+            words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[:-cut] if n % 2 else words[cut:]))]
+    common = " ".join(f"c{k}" for k in range(12))
+    rows += [(len(rows) + k, f"{common} " + " ".join(f"x{rng.randrange(10**6)}" for _ in range(k % 9))) for k in range(60)]
+    got = {r.doc_id: r.class_id for r in ordermin.classed(frame(spark, [(i, t, "en", "s") for i, t in rows])).collect()}
+    assert got == plain_classes(rows)
