@@ -69,8 +69,47 @@ s AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= {pivots.TOP}"""
 
+FILTER_AUDIT = rf"""WITH RECURSIVE
+parts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x,
+    list_filter(string_split_regex(coalesce(text, ''), '{_GAP}+'), lambda s: s <> '') AS ws
+  FROM documents
+),
+marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+least AS (SELECT x, min(doc_id) AS first FROM parts GROUP BY x),
+fails AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * (length(x) - length(regexp_replace(x, '[A-Z]', '', 'g'))) > 3 * length(x) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN coalesce(p.doc_id > first, false) THEN 'E' ELSE '' END AS mask
+  FROM parts p JOIN least USING (x) LEFT JOIN marks USING (doc_id)
+),
+masks AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM fails GROUP BY part, mask
+),
+orders AS (
+  SELECT '' AS o
+  UNION ALL SELECT o || f FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) AS v(f) WHERE NOT contains(o, f)
+),
+places AS (SELECT o, CAST(i AS INTEGER) AS step, o[i] AS f, left(o, i - 1) AS earlier FROM orders, range(1, 6) AS r(i) WHERE length(o) = 5),
+counted AS (
+  SELECT part, o, step, f,
+    sum(n) FILTER (WHERE NOT gone AND NOT contains(mask, f)) AS kept, sum(n) FILTER (WHERE NOT gone AND contains(mask, f)) AS removed,
+    sum(n) FILTER (WHERE gone AND contains(mask, f)) AS redundant, sum(n) FILTER (WHERE mask = f) AS unique_fails,
+    sum(good) FILTER (WHERE NOT gone AND contains(mask, f)) AS good_lost, sum(toxic) FILTER (WHERE NOT gone AND contains(mask, f)) AS toxic_lost
+  FROM (SELECT *, len(list_intersect(string_split(mask, ''), string_split(earlier, ''))) > 0 AND earlier <> '' AND mask <> '' AS gone FROM masks, places)
+  GROUP BY part, o, step, f
+)
+SELECT part, o AS filter_order, step, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+  CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counted"""
+
 SQL = {
     "op5_quality_ledger": QUALITY_LEDGER,
     "quality_ablations": QUALITY_ABLATIONS,
     "op10_pivot_search": PIVOT_SEARCH,
+    "op13_filter_audit": FILTER_AUDIT,
 }
