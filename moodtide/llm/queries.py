@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import audit, lattice, licenses, mixing, ordermin, pieces, pivots, rules, separators, surrogates, toxicity
+from . import audit, lattice, licenses, mixing, ordermin, pieces, pivots, rules, separators, substrings, surrogates, toxicity
 from .common import table
 from .sql import SQL  # noqa: F401  (for the driver contract)
 
@@ -55,6 +55,10 @@ def op10_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.nearest(pivots.quantised(table(spark, sf_dir, "embeddings")))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.removed(table(spark, sf_dir, "documents")))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_pivot_search": op10_pivot_search,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_filter_audit": op13_filter_audit,
 }
 
