@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import audit, lattice, licenses, mixing, ordermin, pieces, pivots, rules, separators, substrings, surrogates, toxicity
+from . import (
+    audit,
+    lattice,
+    licenses,
+    mixing,
+    ordermin,
+    pieces,
+    pivots,
+    rules,
+    separators,
+    spellings,
+    substrings,
+    surrogates,
+    toxicity,
+)
 from .common import table
 from .sql import SQL  # noqa: F401  (for the driver contract)
 
@@ -55,6 +69,10 @@ def op10_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.nearest(pivots.quantised(table(spark, sf_dir, "embeddings")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings.grouped(table(spark, sf_dir, "documents"))
+
+
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.removed(table(spark, sf_dir, "documents")))
 
@@ -75,6 +93,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_pivot_search": op10_pivot_search,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_suffix_dedup": op12_suffix_dedup,
     "op13_filter_audit": op13_filter_audit,
 }
