@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
 from ipaddress import IPv6Address
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..operators.sizing import is_small
 from .common import plain_text, written
 
 #: Titles that announce a name, by the gender they tell (fixed values).
@@ -31,7 +33,13 @@ FAMILY = {
 }
 ENDINGS = {"latin": "berg dale ford gate hall ley mann mont ner stein ton wick".split(), "cyrillic": "енко ин ов ский".split()}
 
-_TITLE = "|".join(re.escape(t) for all_ in TITLES.values() for t in all_)
+#: First and last letters that surrogates of names in other scripts are drawn from, small ones where there are two cases (fixed values).
+LETTERS = {
+    "greek": "αω", "armenian": "աֆ", "hebrew": "את", "arabic": "ؠي", "devanagari": "कह", "thai": "กฮ", "georgian": "აჰ",
+    "hiragana": "あん", "katakana": "アン", "hangul": "가힣", "han": "一龥",
+}
+_SPELT = [t for all_ in TITLES.values() for t in all_]
+_TITLE = "|".join(re.escape(t) for t in dict.fromkeys([*_SPELT, *(t.upper() for t in _SPELT)]))
 _NAME = r"[^\W\d_a-zа-яß-öø-ÿ][^\W\d_]*(?:[-'](?!s\b)[^\W\d_]+)*"
 _VENDOR = r"(?:AKIA[0-9A-Z]{12,}|gh[opsu]_[0-9A-Za-z]{20,}|sk[-_](?:live[-_]|test[-_])?[0-9A-Za-z]{16,}|xox[abp]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{20,})"
 #: What a secret is assigned to, in any case, and how; the value then is long hex or base64 (unquoted with a digit), but no number of a card or an account.
@@ -52,7 +60,7 @@ _SHORT_IPV6 = (
 
 def _pattern(assigned: str = "", short_ipv6: str = "") -> re.Pattern:
     return re.compile(
-        rf"(?P<email>[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
+        rf"(?P<email>(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]++){{0,16}}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
         rf"|(?P<secret>\b{_VENDOR}){assigned}"
         rf"|(?P<iban>\b[A-Z]{{2}}\d{{2}}(?:[A-Z0-9]{{11,30}}|(?: [A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,3}})?)\b)"
         rf"|(?P<ipv4>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){{3}}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w))"
@@ -66,17 +74,41 @@ def _pattern(assigned: str = "", short_ipv6: str = "") -> re.Pattern:
 
 #: The second pattern also has what only texts with one of its keys or "::" can hold, which is quickly seen.
 _PATTERN, _WIDE = _pattern(), _pattern(f"|{_ASSIGNED}", f"|{_SHORT_IPV6}")
-#: A text that does not match this holds nothing that the pattern finds (checked by Spark before Python sees it).
-LOOSE = rf"@|[0-9].?.?[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f:]|(?:AKIA|gh[opsu]_|sk[-_]|xox|AIza)|[=:>](?:[ \t]*[\"']?[A-Za-z0-9+/_-]{{16}}|:[Ff])|(?:{_TITLE})\.? "
-_GENDER = {title: gender for gender, titles in TITLES.items() for title in titles}
-#: Most rows of an entity list that is sent to every executor.
-SENT_ROWS = 200_000
+_GENDER = {spelt: gender for gender, titles in TITLES.items() for title in titles for spelt in (title, title.upper())}
+_WORD = re.compile(r"(?<!\w)[^\W\d_]+(?:[-'][^\W\d_]+)*(?!\w)")
 #: About how many entities of a full pool exchange their values in one circle.
 CIRCLE = 10_000
 
 
+def may_hold(text: Column) -> Column:
+    """False only for texts in which ``entities`` finds nothing; Spark asks this before Python sees a text.
+
+    Each pattern starts with one class of characters that are seldom met, so that a search is one test per character.
+    """
+    digits, hexes = "0123456789", "0123456789ABCDEFabcdef"
+    starts = "".join(sorted({t[0] for t in _GENDER}))
+    rests = "|".join(re.escape(t[1:]) for t in sorted(_GENDER, key=len, reverse=True))
+    tests = [
+        rf"[{digits}].?.?[{digits}]",
+        rf":[{hexes}:]",
+        r"[Agsx](?:KIA|Iza|h[opsu]_|k[-_]|ox)",
+        r"[=:>](?:[ \t]*[\"']?[A-Za-z0-9+/_-]{16}|:[Ff])",
+        rf"[{starts}](?:{rests})\.? ",
+    ]
+    found = F.contains(text, F.lit("@"))
+    for test in tests:
+        found = found | text.rlike(test)
+    return found
+
+
 def _script(word: str) -> str:
-    return "cyrillic" if re.search(r"[Ѐ-ӿ]", word) else "latin"
+    for c in word:
+        if "Ѐ" <= c <= "ӿ":
+            return "cyrillic"
+        for script, (first, last) in LETTERS.items():
+            if first <= c.casefold() <= last:
+                return script
+    return "latin"
 
 
 def entities(text: str) -> Iterator[tuple[int, int, str, str]]:
@@ -95,21 +127,35 @@ def entities(text: str) -> Iterator[tuple[int, int, str, str]]:
     if not names:
         yield from found
         return
-    bare = re.compile(rf"(?<!\w)(?:{'|'.join(re.escape(w) for _, w in sorted(names.values(), key=lambda n: -len(n[1])))})(?!\w)", re.I)
     taken = iter(found)
     ahead = next(taken, None)
-    for m in bare.finditer(text):
-        while ahead and ahead[1] <= m.start():
+    for start, end in _known(text, names):
+        while ahead and ahead[1] <= start:
             yield ahead
             ahead = next(taken, None)
-        value = m.group().casefold()
-        if value in names and not m.group()[0].islower() and (ahead is None or m.end() <= ahead[0]):
-            yield m.start(), m.end(), names[value][0], value
+        if ahead is None or end <= ahead[0]:
+            value = text[start:end].casefold()
+            yield start, end, names[value][0], value
     if ahead:
         yield ahead
     yield from taken
 
 
+def _known(text: str, names: dict) -> Iterator[tuple[int, int]]:
+    """Where known names stand capitalised; of a word joined by hyphens or apostrophes the longest known piece counts."""
+    for m in _WORD.finditer(text):
+        cuts = [m.start(), *(m.start() + k for k, c in enumerate(m.group()) if c in "-'"), m.end()]
+        first = 0
+        while first < len(cuts) - 1:
+            start = cuts[first] + (first > 0)
+            for last in range(min(len(cuts) - 1, first + 4), first, -1):
+                if text[start : cuts[last]].casefold() in names and not text[start].islower():
+                    yield start, cuts[last]
+                    first = last - 1
+                    break
+            first += 1
+
+
 def _announced(text: str) -> Iterator[tuple[int, int, str, str]]:
     """The entities that their own form or a title shows."""
     low = text.lower()
@@ -173,6 +219,46 @@ def _like(text: str, draw: _Draw, letters: int = 26) -> str:
     return "".join(out)
 
 
+def _exchanged(label: str, secret: str) -> str:
+    """Another label of the same shape; different labels never get the same one, and none keeps its own.
+
+    Labels of a shape are numbered, a keyed permutation shuffles the numbers, and each takes the next in that order.
+    """
+    radix = [10 if c.isdigit() else 26 if "a" <= c <= "z" else 1 for c in label]
+    total = math.prod(radix)
+    if total < 2:
+        return label
+    number = 0
+    for c, r in zip(label, radix, strict=True):
+        number = number * r + (0 if r == 1 else ord(c) - ord("0" if r == 10 else "a"))
+    key = blake2b("\0".join([secret, "label", "".join("0" if r == 10 else "a" if r == 26 else c for c, r in zip(label, radix, strict=True))]).encode()).digest()
+    side = math.isqrt(total - 1) + 1
+
+    def mixed(half: int, step: int) -> int:
+        size = (side.bit_length() + 7) // 8
+        data = b"".join(blake2b(b"%d %d %d" % (half, step, k), key=key).digest() for k in range(size // 64 + 2))
+        return int.from_bytes(data[: size + 16], "big")
+
+    def steps(value: int, order: range, sign: int) -> int:
+        while True:
+            a, b = divmod(value, side)
+            for step in order:
+                if step % 2:
+                    a = (a + sign * mixed(b, step)) % side
+                else:
+                    b = (b + sign * mixed(a, step)) % side
+            value = a * side + b
+            if value < total:
+                return value
+
+    number = steps((steps(number, range(5, -1, -1), -1) + 1) % total, range(6), 1)
+    out = []
+    for c, r in zip(reversed(label), reversed(radix), strict=True):
+        number, digit = divmod(number, r)
+        out.append(c if r == 1 else chr(ord("0" if r == 10 else "a") + digit))
+    return "".join(reversed(out))
+
+
 #: Country calling codes of one and two digits; all others have three. None begins another.
 _COUNTRY = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
 
@@ -197,9 +283,9 @@ def surrogate(secret: str, kind: str, value: str, attempt: int) -> str:
     if kind == "email":
         local, domain = value.rsplit("@", 1)
         *labels, top = domain.split(".")
-        host = _Draw(secret, "domain", domain)
+        host = lambda label: _exchanged(label, secret)
         more = "" if attempt < 3 else _like("a" * (attempt - 2), draw)  # widens the pool
-        return f"{_like(local, draw)}{more}@{'.'.join(_like(label, host) for label in labels)}.{top}"
+        return f"{_like(local, draw)}{more}@{'.'.join(host(label) for label in labels)}.{top}"
     if kind == "ipv4":
         private = re.match(r"10\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.|127\.", value)
         kept = private.group().split(".")[:-1] if private else []
@@ -233,6 +319,9 @@ def surrogate(secret: str, kind: str, value: str, attempt: int) -> str:
         more = "" if attempt < 3 else _like("a" * (attempt - 2), draw, 6)
         return prefix + more + _like(body, draw, 6 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", body) else 26)
     part, script, *gender = kind.split(":")
+    if script in LETTERS:
+        first, last = map(ord, LETTERS[script])
+        return "".join(chr(first + draw.below(last - first + 1)) for _ in range(len(value) + attempt // 3)).casefold()
     if part == "given":
         pool = GIVEN[script, gender[0]] if gender[0] in "mf" else GIVEN[script, "m"] + GIVEN[script, "f"]
     else:
@@ -283,12 +372,36 @@ def found_entities(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pd.DataFrame(rows, columns=["node", "kind", "value"]).drop_duplicates()
 
-    texts = docs.select(F.unhex(F.md5(plain_text())).alias("node"), plain_text().alias("_text")).filter(F.col("_text").rlike(LOOSE))
+    texts = docs.select(plain_text().alias("_text")).filter(may_hold(F.col("_text"))).select(F.unhex(F.md5("_text")).alias("node"), "_text")
     return texts.mapInPandas(run, "node binary, kind string, value string").distinct()
 
 
+def resolved(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``person``, the kind to draw from: a given name whose title tells no gender has that of its namesakes.
+
+    Namesakes of the same text come first, then those of all texts, each if they agree.
+    """
+    given = rows.filter(F.col("kind").startswith("given:"))
+    parts = F.split("kind", ":")
+    known = given.select("node", "value", parts[1].alias("script"), parts[2].alias("gender"))
+    told = known.filter("gender != 'u'")
+    agreed = F.when(F.min("gender") == F.max("gender"), F.min("gender"))
+    here = told.groupBy("node", "script", "value").agg(agreed.alias("here"))
+    anywhere = told.groupBy("script", "value").agg(agreed.alias("anywhere"))
+    open_ = known.filter("gender = 'u'").join(here, ["node", "script", "value"], "left").join(anywhere, ["script", "value"], "left")
+    person = F.concat_ws(":", F.lit("given"), "script", F.coalesce("here", "anywhere", F.lit("u")))
+    found = open_.select("node", F.concat_ws(":", F.lit("given"), "script", F.lit("u")).alias("kind"), "value", person.alias("person"))
+    rest = rows.filter(~(F.col("kind").startswith("given:") & F.col("kind").endswith(":u")))
+    return rest.withColumn("person", F.col("kind")).unionByName(found)
+
+
+def _of_kin(kind: Column) -> Column:
+    """What must be told apart: all names among each other, other kinds each by itself."""
+    return F.when(kind.startswith("given:") | kind.startswith("family:"), F.lit("name")).otherwise(kind)
+
+
 def chosen_surrogates(known: DataFrame, secret: str) -> DataFrame:
-    """kind, value, surrogate for distinct entities: no two entities of a kind share one, and none is a real entity.
+    """kind, value, surrogate for distinct entities: no two of a kind (names: of all kinds) share one, and none is a real one.
 
     All are drawn at once; of those that collide the least keeps its draw and the others draw again. Where the real
     entities fill more than a quarter of what they can be drawn from, such draws would take long or never end: there
@@ -306,7 +419,7 @@ def chosen_surrogates(known: DataFrame, secret: str) -> DataFrame:
         return pd.DataFrame(rows, columns=["pool", "size", "hash"])
 
     real = written(known.select("kind", "value").distinct(), "pii-entities")
-    taken = real.select("kind", F.col("value").alias("surrogate"))
+    taken = real.select(_of_kin(F.col("kind")).alias("kin"), F.col("value").alias("surrogate")).distinct()
     few = real.filter(F.col("kind").isin("ipv4", "ssn", "phone")).select("kind", "value", pooled("kind", "value").alias("p")).select("kind", "value", "p.*")
     full = few.groupBy("kind", "pool", "size").agg(F.count("*").alias("n")).filter("4 * n > size").select("kind", "pool", "n")
     full = written(full, "pii-full")
@@ -319,18 +432,20 @@ def chosen_surrogates(known: DataFrame, secret: str) -> DataFrame:
         first = F.first("value").over(own.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
         circled = written(held.select("kind", "value", F.coalesce(F.lead("value").over(own), first).alias("surrogate")), "pii-circled")
         real = real.join(circled, ["kind", "value"], "left_anti")
-    drawn = written(real.withColumn("attempt", F.lit(0)).withColumn("surrogate", draw("kind", "value", "attempt")), "pii-surrogates")
+    first_draw = real.withColumn("attempt", F.lit(0)).withColumn("surrogate", draw("kind", "value", "attempt"))
+    drawn = written(first_draw.withColumn("kin", _of_kin(F.col("kind"))), "pii-surrogates")
     while True:
-        shared = drawn.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min("value").alias("keeps")).filter("n > 1")
-        losers = drawn.join(shared, ["kind", "surrogate"]).filter("value != keeps").select("kind", "value")
-        again = losers.union(drawn.join(taken, ["kind", "surrogate"], "left_semi").select("kind", "value")).distinct()
+        who = F.struct("value", "kind")
+        shared = drawn.groupBy("kin", "surrogate").agg(F.count("*").alias("n"), F.min(who).alias("keeps")).filter("n > 1")
+        losers = drawn.join(shared, ["kin", "surrogate"]).filter(who != F.col("keeps")).select("kind", "value")
+        again = losers.union(drawn.join(taken, ["kin", "surrogate"], "left_semi").select("kind", "value")).distinct()
         again = written(again.withColumn("again", F.lit(1)), "pii-again")
         if again.isEmpty():
             drawn = drawn.select("kind", "value", "surrogate")
             return drawn.unionByName(circled) if circled else drawn
         marked = drawn.join(again, ["kind", "value"], "left")
         attempt = F.col("attempt") + F.coalesce("again", F.lit(0))
-        moved = marked.select("kind", "value", attempt.alias("attempt"), "again", "surrogate")
+        moved = marked.select("kind", "value", attempt.alias("attempt"), "again", "surrogate", "kin")
         fresh = moved.filter("again = 1").withColumn("surrogate", draw("kind", "value", "attempt"))
         drawn = written(moved.filter("again is null").unionByName(fresh).drop("again"), "pii-surrogates")
 
@@ -339,33 +454,34 @@ def replaced(docs: DataFrame, secret: str = "surrogates") -> DataFrame:
     """The documents with surrogates in their text, ``n_entities`` and ``entity_kinds`` added.
 
     The same entity has the same surrogate in all documents, different entities have different ones. Null texts
-    stay null; texts without an entity stay as they are; columns of those two names are replaced. Only the
-    entities of the texts travel, and to the texts that may hold some: while their list is small it is sent, beyond
-    that texts are shuffled by their md5.
+    stay null; texts without an entity stay as they are; columns of those two names are replaced. A text is searched
+    once to find its entities; from then on it is known by its md5. Only the entities travel, and to the texts that
+    hold them: while their table is small by rows and bytes it is sent, beyond that texts are shuffled by their md5.
+    An empty table gives none; a text of any length is searched in time linear in it.
     """
-    rows = written(found_entities(docs), "pii-found")
+    rows = written(resolved(written(found_entities(docs), "pii-found")), "pii-persons")
+    chosen = chosen_surrogates(rows.select(F.col("person").alias("kind"), "value"), secret).withColumnRenamed("kind", "person")
     per_text = (
-        rows.join(chosen_surrogates(rows, secret), ["kind", "value"])
+        rows.join(chosen, ["person", "value"])
         .groupBy("node")
         .agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\0", "kind", "value"), "surrogate"))).alias("__map"))
     )
     per_text = written(per_text.withColumnRenamed("node", "__key"), "pii-maps")
-    small = rows.limit(SENT_ROWS + 1).count() <= SENT_ROWS
     kept = [c for c in docs.columns if c not in ("n_entities", "entity_kinds")]
 
     @F.pandas_udf("struct<text:string,n:bigint,kinds:string>")
     def apply(texts: pd.Series, maps: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([rewritten(t, dict(m)) if m else (t, 0, "") for t, m in zip(texts, maps)], columns=["text", "n", "kinds"])
-
-    loose = plain_text().rlike(LOOSE)
-    holding = docs.select(*kept).filter(loose).withColumn("__node", F.unhex(F.md5(plain_text())))
-    joined = holding.join(F.broadcast(per_text) if small else per_text, F.col("__node") == F.col("__key"), "left")
-    changed = joined.withColumn("__new", apply(plain_text(), F.col("__map")))
-    out = lambda df, text, n, kinds: df.select(
-        *(text.alias("text") if c == "text" else F.col(c) for c in kept), n.alias("n_entities"), kinds.alias("entity_kinds")
-    )
-    return out(changed, F.col("__new.text"), F.col("__new.n"), F.col("__new.kinds")).unionByName(
-        out(docs.select(*kept).filter(~loose), F.col("text"), F.lit(0).cast("long"), F.lit(""))
+        return pd.DataFrame(
+            [rewritten(t, dict(m)) if m else (None, 0, "") for t, m in zip(texts, maps, strict=True)], columns=["text", "n", "kinds"]
+        )
+
+    keyed = docs.select(*kept).withColumn("__node", F.unhex(F.md5(plain_text())))
+    sent = F.broadcast(per_text) if is_small(per_text) else per_text
+    joined = keyed.join(sent, F.col("__node") == F.col("__key"), "left")
+    changed = joined.withColumn("__new", apply(F.when(F.col("__map").isNotNull(), plain_text()), F.col("__map")))
+    new = F.coalesce("__new.text", "text").alias("text")
+    return changed.select(
+        *(new if c == "text" else F.col(c) for c in kept), F.col("__new.n").alias("n_entities"), F.col("__new.kinds").alias("entity_kinds")
     )
 
 
