@@ -72,22 +72,25 @@ def period_for(length: int) -> int:
     return max(fitting)
 
 
-def digests(body: np.ndarray, starts: np.ndarray, width: int, which: int = 0) -> np.ndarray:
-    """64-bit digests of the ``width`` bytes at each start, eight bytes at a time."""
-    out = np.empty(len(starts), np.uint64)
+def digests(body: np.ndarray, starts: np.ndarray, width: int, kinds: tuple[int, ...] = (0,)) -> list[np.ndarray]:
+    """64-bit digests of the ``width`` bytes at each start, one array per kind, eight bytes at a time."""
+    out = [np.empty(len(starts), np.uint64) for _ in kinds]
     words = np.ndarray((max(len(body) - 7, 0),), "<u8", body, 0, (1,))
     steps = [*range(0, width - 7, 8)]
     if steps[-1] + 8 < width:
         steps.append(width - 8)
     for at in range(0, len(starts), SLICE):
         part = starts[at : at + SLICE]
-        found = np.full(len(part), width, np.uint64)
+        found = [np.full(len(part), width, np.uint64) for _ in kinds]
         for step in steps:
-            found ^= words[part + step]
-            found *= _MULTIPLIERS[which]
-            found ^= found >> np.uint64(29 + 3 * which)
-        found *= _MULTIPLIERS[1 - which]
-        out[at : at + SLICE] = found ^ (found >> np.uint64(32))
+            read = words[part + step]
+            for kind, value in zip(kinds, found, strict=True):
+                value ^= read
+                value *= _MULTIPLIERS[kind]
+                value ^= value >> np.uint64(29 + 3 * kind)
+        for kind, value, whole in zip(kinds, found, out, strict=True):
+            value *= _MULTIPLIERS[1 - kind]
+            whole[at : at + SLICE] = value ^ (value >> np.uint64(32))
     return out
 
 
@@ -120,7 +123,7 @@ class Texts:
             all_of = (np.arange(0, end - start, self.period)[:, None] + cover).ravel()
             places.append(start + all_of[all_of <= end - start - width])
         starts = np.concatenate([np.empty(0, np.int64), *places])
-        return starts, digests(self.body, starts, width) >> np.uint64(64 - RANK_BITS)
+        return starts, digests(self.body, starts, width)[0] >> np.uint64(64 - RANK_BITS)
 
     def candidates(self, tied_elsewhere: np.ndarray) -> np.ndarray:
         """Suffixes with a tied cover sample; the argument marks ranks, in their order, that other blocks hold too."""
@@ -139,9 +142,12 @@ class Texts:
     def suffixes(self, tied_elsewhere: np.ndarray) -> tuple[np.ndarray, ...]:
         """Candidates; for each the number of its key; of each key the two digests, and its first candidate."""
         starts = self.candidates(tied_elsewhere)
-        head = digests(self.body, starts, self.length)
-        tail = digests(self.body, starts, self.length, 1) >> np.uint64(48)
-        order = np.lexsort((starts, tail, head))
+        head, tail = digests(self.body, starts, self.length, (0, 1))
+        tail >>= np.uint64(48)
+        order = np.argsort(head, kind="stable")
+        same = head[order][1:] == head[order][:-1]
+        if (tail[order][1:][same] != tail[order][:-1][same]).any():
+            order = np.lexsort((starts, tail, head))
         head, tail = head[order], tail[order]
         new = np.ones(len(order), bool)
         new[1:] = (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])
