@@ -106,38 +106,66 @@ def rounded(units: DataFrame, largest: int, seed: int, fan_in: int = FAN_IN) ->
         level += 1
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = 20240601) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, copies, taken (copies times size).
+def decided(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = 20240601) -> DataFrame:
+    """One row per unit: doc_id, source, size, source_size, target, rows, whole, extra.
 
-    Every document of a source has the same expected copies, target / source_size. Its whole part is given; the
-    fraction is rounded by moving words between pairs, so that a source takes its target up to one document.
-    Rows that repeat the same doc_id, source and size are one unit and share its decision. Documents without
-    words take none. A null source is a source of its own, null ids are told apart by their sizes. All draws
-    are hashes: reruns agree. An empty table gives an empty result.
+    A unit is the rows that agree in doc_id, source and size, one row as a rule. Each of its ``rows`` has ``whole``
+    copies, and ``extra`` of them one more. Every document of a source has the same expected copies, target /
+    source_size: of a unit's rows as many get one more as is certain, and only the fraction of one row is left to the
+    rounding, which moves words between pairs, so that a source takes its target up to one document.
     """
     sizes = written(sized(docs), "mix-sizes")
     targets = written(source_targets(sizes, weights, share, cap), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rates = targets.select("source", "source_size", "n_docs", "target", F.floor(rate).cast("int").alias("whole"),
                            (rate - F.floor(rate)).alias("p"))
-    of_source = sizes.join(F.broadcast(rates) if _few(rates) else rates, sizes["source"].eqNullSafe(rates["source"])).drop(rates["source"])
-    units = (
-        of_source.filter((F.col("p") > 0) & (F.col("size") > 0))
-        .groupBy("source", "n_docs", "doc_id", "size", "p")
-        .agg((F.count("*") * F.col("size")).cast("double").alias("m"))
-    )
+    counted = sizes.groupBy("source", "doc_id", "size").agg(F.count("*").alias("rows"))
+    units = counted.join(F.broadcast(rates) if _few(rates) else rates, counted["source"].eqNullSafe(rates["source"])).drop(rates["source"])
+    expected = F.when(F.col("size") > 0, F.col("rows") * F.col("p")).otherwise(F.lit(0.0))
+    units = units.withColumn("sure", F.floor(expected).cast("long")).withColumn("p", expected - F.floor(expected))
+    units = written(units, "mix-units")
     largest = targets.agg(F.max("n_docs")).first()[0] or 0
-    extra = rounded(units.select("source", "n_docs", "doc_id", "size", "m", "p"), largest, seed)
-    same = [of_source[c].eqNullSafe(extra[c]) for c in ("source", "doc_id", "size")]
-    copies = F.col("whole") + F.coalesce(extra["extra"], F.lit(0))
-    return of_source.join(extra, same[0] & same[1] & same[2], "left").select(
-        of_source["doc_id"],
-        of_source["source"],
-        of_source["size"],
+    drawn = rounded(
+        units.filter("p > 0").select("source", "n_docs", "doc_id", "size", F.col("size").cast("double").alias("m"), "p"), largest, seed
+    )
+    same = [units[c].eqNullSafe(drawn[c]) for c in ("source", "doc_id", "size")]
+    return units.join(drawn, same[0] & same[1] & same[2], "left").select(
+        units["doc_id"],
+        units["source"],
+        units["size"],
+        "source_size",
+        "target",
+        "rows",
+        "whole",
+        (F.col("sure") + F.coalesce(drawn["extra"], F.lit(0))).alias("extra"),
+    )
+
+
+#: Rows of a unit that are listed from one entry.
+LISTED = 1 << 16
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """One row per input row: doc_id, source, size, source_size, target, copies, taken (copies times size).
+
+    Of rows that agree in doc_id, source and size the first so many have one copy more, see ``decided``. Documents
+    without words take none more than their source's whole copies, of no words. A null source is a source of its own,
+    null ids are told apart by their sizes. All draws are hashes: reruns agree. An empty table gives an empty result.
+    """
+    units = decided(docs, **options)
+    starts = F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(LISTED).cast("long"))
+    listed = units.withColumn("start", F.explode(starts))
+    number = F.explode(F.sequence("start", F.least(F.col("start") + LISTED, F.col("rows")) - 1))
+    rows = listed.withColumn("number", number)
+    copies = F.col("whole") + F.when(F.col("number") < F.col("extra"), 1).otherwise(0)
+    return rows.select(
+        "doc_id",
+        "source",
+        "size",
         "source_size",
         "target",
         copies.cast("int").alias("copies"),
-        (copies * of_source["size"]).cast("long").alias("taken"),
+        (copies * F.col("size")).cast("long").alias("taken"),
     )
 
 
@@ -149,14 +177,23 @@ def _few(rates: DataFrame, most: int = 20_000) -> bool:
 def copied(docs: DataFrame, **options) -> DataFrame:
     """The documents as the mix takes them: each row as often as its copies say, none where they are 0.
 
-    Columns are those of the input. Rows are matched to their decision by doc_id, source and size.
+    Columns are those of the input. Rows are matched to their decision by doc_id, source and size. Rows that share a
+    decision are first folded to the different ones among them, and take its copies in the order of their digests.
     """
-    decisions = mixed(docs, **options).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).filter("copies > 0")
-    decisions = decisions.select(*(F.col(c).alias(f"__{c}") for c in decisions.columns))
+    units = written(decided(docs, **options), "mix-decided")
+    some = units.filter((F.col("whole") > 0) | (F.col("extra") > 0)).select("doc_id", "source", "size", "rows", "whole", "extra")
+    some = some.select(*(F.col(c).alias(f"__{c}") for c in some.columns))
     same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
     counted = docs.withColumn("__words", F.size(words_of(plain_text())).cast("long"))
-    return (
-        counted.join(decisions, same)
-        .select(*docs.columns, F.explode(F.sequence(F.lit(1), "__copies")).alias("__copy"))
-        .drop("__copy")
-    )
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    single = counted.join(some.filter("__rows = 1"), same).select(*own, (F.col("__whole") + F.col("__extra")).alias("__copies"))
+    taken = single
+    if not units.filter("rows > 1").isEmpty():
+        unit = ["__doc_id", "__source", "__size", "__whole", "__extra"]
+        several = counted.join(some.filter("__rows > 1"), same).groupBy(*own, *unit).agg(F.count("*").alias("__times"))
+        order = W.partitionBy("__doc_id", "__source", "__size").orderBy(F.sha2(F.to_json(F.struct(*own)), 256))
+        before = F.coalesce(F.sum("__times").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        more = F.greatest(F.least(F.col("__times"), F.col("__extra") - before), F.lit(0))
+        taken = single.unionByName(several.select(*own, (F.col("__times") * F.col("__whole") + more).alias("__copies")))
+    listed = taken.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies").cast("long"))))
+    return listed.select(*own)

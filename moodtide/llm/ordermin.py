@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,6 +25,8 @@ CLOSE = (8, 4, 2)
 FEW = 8
 BLOCK = 48
 SENT_ROWS = 500_000
+#: Bytes of hashes that a worker remembers between comparisons.
+PREPARED = 32 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xBF58476D1CE4E5B9)
@@ -200,10 +201,29 @@ def banded_distance(x: np.ndarray, y: np.ndarray, limit: int) -> int:
     return limit + 1
 
 
-@lru_cache(maxsize=1024)
-def _prepared(text: str) -> tuple[np.ndarray, np.ndarray]:
-    words = word_hashes(text)
-    return words, np.unique(shingle_hashes(words))
+class _Prepared:
+    """The word and shingle hashes of texts, remembered up to ``PREPARED`` bytes; a task forgets them when it ends."""
+
+    def __init__(self):
+        self.forget()
+
+    def forget(self) -> None:
+        self.held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.size = 0
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        if text not in self.held:
+            words = word_hashes(text)
+            found = words, np.unique(shingle_hashes(words))
+            size = found[0].nbytes + found[1].nbytes + len(text)
+            if self.size + size > PREPARED:
+                self.forget()
+            self.held[text] = found
+            self.size += size
+        return self.held[text]
+
+
+_prepared = _Prepared()
 
 
 def linked(a: str, b: str, threshold: float = THRESHOLD) -> bool:
@@ -219,10 +239,13 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of nodes whose texts are linked."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            good = [linked(a, b, threshold) for a, b in zip(batch["ta"], batch["tb"])]
-            if any(good):
-                yield batch.loc[good, ["a", "b"]]
+        try:
+            for batch in batches:
+                good = [linked(a, b, threshold) for a, b in zip(batch["ta"], batch["tb"])]
+                if any(good):
+                    yield batch.loc[good, ["a", "b"]]
+        finally:
+            _prepared.forget()
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
@@ -321,14 +344,17 @@ def _block_links(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFra
     both = named("a").join(named("b"), "key").filter((F.col("block_a") <= F.col("block_b")) & apart)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [
-                link
-                for row in batch.itertuples(index=False)
-                for link in links_between((row.nodes_a, row.labels_a, row.texts_a), (row.nodes_b, row.labels_b, row.texts_b), threshold)
-            ]
-            if found:
-                yield pd.DataFrame(found, columns=["a", "b"])
+        try:
+            for batch in batches:
+                found = [
+                    link
+                    for row in batch.itertuples(index=False)
+                    for link in links_between((row.nodes_a, row.labels_a, row.texts_a), (row.nodes_b, row.labels_b, row.texts_b), threshold)
+                ]
+                if found:
+                    yield pd.DataFrame(found, columns=["a", "b"])
+        finally:
+            _prepared.forget()
 
     columns = [f"{c}_{side}" for side in "ab" for c in ("nodes", "labels", "texts")]
     return both.select(*columns).mapInPandas(run, "a binary, b binary").distinct()

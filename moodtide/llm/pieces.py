@@ -9,7 +9,9 @@ from hashlib import sha256
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import plain_text, slices
 
@@ -391,18 +393,29 @@ def exact_ids(texts: DataFrame, run, schema: str) -> DataFrame:
 def tokenised(docs: DataFrame, model: str | None = None) -> DataFrame:
     """The documents with ``ids``, the token ids of the text as an array; other columns are kept.
 
-    A column ``ids`` of the input is replaced.
+    A column ``ids`` of the input is replaced. Texts are encoded in slices of about ``SLICE`` bytes, each sent on as
+    flat ids with their ends; what a task has remembered goes when it ends.
     """
     path = model or default_model()
     kept = [c for c in docs.columns if c != "ids"]
 
-    @F.pandas_udf("array<int>")
-    def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
-        for batch in texts:
-            yield pd.Series([ids.astype(np.int32) for ids in own.encode(batch.tolist())], dtype=object)
-
-    return docs.select(*kept, encode(plain_text()).alias("ids"))
+        try:
+            for batch in batches:
+                sizes = pc.binary_length(batch["__text"]).to_pylist()
+                for low, high in slices(sizes, sizes, SLICE):
+                    part = batch.slice(low, high - low)
+                    ids = own.encode(part["__text"].to_pylist())
+                    ends = np.cumsum([0, *(found.size for found in ids)])
+                    flat = np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32)
+                    listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+                    yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), listed], [*kept, "ids"])
+        finally:
+            own.forget()
+
+    layout = T.StructType([*(docs.schema[c] for c in kept), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return docs.select(*kept, plain_text().alias("__text")).mapInArrow(encode, layout)
 
 
 def detokenised(encoded: DataFrame, model: str | None = None, column: str = "ids") -> DataFrame:

@@ -27,16 +27,14 @@ ROUNDS = (2, 16, None)
 def quantised(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id and q, the components times ``scale`` rounded down.
 
-    Null vectors, vectors with null or non-finite components and rows without an id take no part. Of rows
-    that repeat an id the least vector stands for it.
+    Null vectors, vectors with null or non-finite components and rows without an id take no part. Rows that repeat
+    an id all stay.
     """
     x = F.col("embedding")
     odd = F.exists(x, lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf")))
     return (
         embeddings.filter(x.isNotNull() & F.col("vec_id").isNotNull() & ~odd)
         .select("vec_id", F.transform(x, lambda v: F.floor(scale * v.cast("double")).cast("long")).alias("q"))
-        .groupBy("vec_id")
-        .agg(F.min("q").alias("q"))
     )
 
 
@@ -94,9 +92,10 @@ def placed(vectors: DataFrame, space: Space, annuli: int) -> tuple[DataFrame, li
         for batch in batches:
             far = space.to_pivots(batch["q"].tolist(), False)
             cell = far.argmin(axis=1) if len(batch) else np.zeros(0, int)
-            yield pd.DataFrame({"vec_id": batch["vec_id"], "cell": cell, "r": far[np.arange(len(batch)), cell], "v": space.packed(batch["q"].tolist())})
+            near = far[np.arange(len(batch)), cell]
+            yield pd.DataFrame({"vec_id": batch["vec_id"], "spot": np.arange(len(batch)), "cell": cell, "r": near, "v": space.packed(batch["q"].tolist())})
 
-    keyed = written(vectors.mapInPandas(run, "vec_id long, cell int, r double, v binary"), "pivot-keyed")
+    keyed = written(vectors.mapInPandas(run, "vec_id long, spot long, cell int, r double, v binary"), "pivot-keyed")
     steps = [k / annuli for k in range(1, annuli)]
     if steps:
         cuts = keyed.groupBy("cell").agg(F.percentile_approx("r", steps, 1000).alias("cuts"))
@@ -104,10 +103,12 @@ def placed(vectors: DataFrame, space: Space, annuli: int) -> tuple[DataFrame, li
         ringed = keyed.join(F.broadcast(cuts), "cell").withColumn("ring", F.col("cell") * annuli + ring).drop("cuts")
     else:
         ringed = keyed.withColumn("ring", F.col("cell"))
-    rings = ringed.groupBy("ring").agg(F.count("*").alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).collect()
-    parts = F.element_at(F.create_map(*(F.lit(x) for r in rings for x in (r["ring"], math.ceil(r["n"] / BLOCK)))), F.col("ring")) if rings else F.lit(1)
+    measured = written(ringed.groupBy("ring").agg(F.count("*").alias("n"), F.min("r").alias("low"), F.max("r").alias("high")), "pivot-rings")
+    rings = measured.collect()  # PIVOTS * ANNULI at most
+    parts = measured.select("ring", F.ceil(F.col("n") / BLOCK).alias("parts"))
     gathered = (
-        ringed.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts))
+        ringed.join(F.broadcast(parts), "ring")
+        .withColumn("part", F.pmod(F.xxhash64("vec_id", "spot"), "parts"))
         .groupBy("ring", "part")
         .agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"))
         .select("ring", F.col("rows.vec_id").alias("ids"), F.col("rows.v").alias("vs"))
@@ -124,7 +125,8 @@ def placed(vectors: DataFrame, space: Space, annuli: int) -> tuple[DataFrame, li
 def nearest(vectors: DataFrame, top: int = TOP, query_step: int = QUERY_STEP) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` vectors with the highest inner products of every query, without itself.
 
-    Queries are the vectors (as of ``quantised``) whose id divides by ``query_step``. Rings are taken in the order
+    Queries are the vectors (as of ``quantised``) whose id divides by ``query_step``; of rows that repeat such an id the
+    least vector asks. Candidates are all rows with other ids, repeated ones each by itself. Rings are taken in the order
     of their least possible distance; a query stops before the first ring that the triangle inequality shows to
     be farther than its ``top``-th best so far. Equal scores go to the smaller id. Fewer vectors give fewer rows.
     """
@@ -186,7 +188,8 @@ def nearest(vectors: DataFrame, top: int = TOP, query_step: int = QUERY_STEP) ->
                 if found:
                     yield pd.concat(found)
 
-    queries = written(vectors.filter(F.col("vec_id") % query_step == 0), "pivot-queries")
+    asking_rows = vectors.filter(F.col("vec_id") % query_step == 0).groupBy("vec_id").agg(F.min("q").alias("q"))
+    queries = written(asking_rows, "pivot-queries")
     best, start = empty, 0
     ranked = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     for step in ROUNDS:

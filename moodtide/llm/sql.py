@@ -64,7 +64,7 @@ PIVOT_SEARCH = f"""WITH v AS (
 ),
 s AS (
   SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id % {pivots.QUERY_STEP} = 0 AND a.vec_id <> b.vec_id
+  FROM (SELECT vec_id, min(q) AS q FROM v WHERE vec_id % {pivots.QUERY_STEP} = 0 GROUP BY vec_id) a JOIN v b ON a.vec_id <> b.vec_id
 )
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= {pivots.TOP}"""

@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -203,7 +204,7 @@ def blocks_table(docs: DataFrame) -> DataFrame:
         block, place, held = TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
             blocks, places = [], []
-            for size in pa.compute.binary_length(batch["body"]).to_pylist():
+            for size in pc.binary_length(batch["body"]).to_pylist():
                 if place and held + size > BLOCK:
                     block, place, held = block + 1, 0, 0
                 blocks.append(block)

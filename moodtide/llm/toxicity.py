@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.sizing import small_table
-from .common import id_remainder, plain_text
+from .common import id_remainder, plain_text, written
 from .pieces import exact_ids
 
 GRAMS = (3, 4, 5)
@@ -91,18 +91,22 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, featu
     """Log-count ratios of n-gram presence and a logistic regression on the scaled presence.
 
     The sample is bounded by ``2 * per_class`` rows, so it is small enough to be sent to the scan of the documents
-    and to be fitted in one place; scoring reads everything. Labels of one class only, or none, give a
-    classifier that answers their share.
+    and to be fitted in one place; scoring reads everything. Of rows that repeat an id the least text is taken.
+    What counts is the labelled texts that are there: if all are of one class, that is always the answer; if there are
+    none, no text is toxic.
     """
     sample, share = labelled_sample(labels, per_class)
     spark = docs.sparkSession
     picked = sample.toPandas()
     y_all = picked["y"].to_numpy(np.float64)
-    if not y_all.size or y_all.min() == y_all.max():
-        odds = np.log(share / (1 - share)) if 0 < share < 1 else (30.0 if share == 1 else -30.0)
-        return Classifier(np.zeros(0, np.int64), np.zeros(0), odds)
+    if not y_all.size:
+        return _constant(0.0)
     chosen = small_table(spark, [(int(i), int(y)) for i, y in zip(picked["doc_id"], picked["y"])], ["_id", "y"])
-    texts = docs.select("doc_id", plain_text().alias("_text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "y", "_text")
+    own = docs.select("doc_id", plain_text().alias("_text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    texts = written(own.groupBy("doc_id", "y").agg(F.min("_text").alias("_text")), "toxicity-sample")
+    found = {row["y"]: row["count"] for row in texts.groupBy("y").count().collect()}
+    if len(found) < 2:
+        return _constant(1.0 if 1 in found else 0.0)
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros((2, BUCKETS), np.int32)
@@ -114,7 +118,7 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, featu
             yield pd.DataFrame({"bucket": at, "n0": seen[0, at], "n1": seen[1, at]})
 
     counted = texts.mapInPandas(counts, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    n1, n0 = float(y_all.sum()), float((1 - y_all).sum())
+    n1, n0 = float(found[1]), float(found[0])
     p1, p0 = (F.col("n1") + smoothing) / (n1 + 2 * smoothing), (F.col("n0") + smoothing) / (n0 + 2 * smoothing)
     ratio = F.log(p1 / p0)
     best = (
@@ -131,15 +135,19 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, featu
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "f": [distinct_buckets(t, of_bucket).astype(np.uint16).tobytes() for t in batch["_text"]]})
 
-    # rows that repeat an id are taken once; their number has the sample's bound
-    rows = texts.mapInPandas(presence, "doc_id long, y int, f binary").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    rows = texts.mapInPandas(presence, "doc_id long, y int, f binary").toPandas().sort_values("doc_id")  # at most the sample
     y = rows["y"].to_numpy(np.float64)
     weights, intercept = _regression([np.frombuffer(f, np.uint16).astype(np.int64) for f in rows["f"]], y, ratios)
-    if 0 < share < 1 and 0 < y.mean() < 1:
+    if 0 < share < 1:
         intercept += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
     return Classifier(buckets, weights * ratios, float(intercept))
 
 
+def _constant(share: float) -> Classifier:
+    """A classifier that gives every text the same answer."""
+    return Classifier(np.zeros(0, np.int64), np.zeros(0), 30.0 if share else -30.0)
+
+
 def _regression(found: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, steps: int = 100, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
     """Logistic regression on ratio-scaled presence, by full gradient steps with momentum and per-weight rates (Adam)."""
     at = np.concatenate([*found, np.zeros(0, np.int64)])

@@ -80,3 +80,23 @@ def test_hard_rows_and_copies(spark):
     assert same
     assert mixing.mixed(frame(spark, [])).count() == 0
     assert mixing.copied(frame(spark, [])).count() == 0
+
+
+def test_equal_rows_share_the_target(spark):
+    """A source of equal rows is near its target by one row, not by all of them; null ids too."""
+    for doc_id in (7, None):
+        rows = [(doc_id, "w " * 10, "en", "a")] * 400 + [(1000 + i, "v " * 10, "en", "b") for i in range(400)]
+        docs = frame(spark, rows)
+        got = mixing.mixed(docs).filter("source = 'a'").agg(F.sum("taken").alias("taken"), F.min("target").alias("target"), F.count("*").alias("n")).first()
+        assert got.n == 400 and abs(got.taken - got.target) <= 10
+        held = mixing.copied(docs).filter("source = 'a'").count()
+        assert held * 10 == got.taken
+
+
+def test_rows_of_one_unit_with_different_texts_share_its_copies(spark):
+    rows = [(7, f"t{i} " + "w " * 9, "en", "a") for i in range(30)] * 2 + [(1, "x " * 10, "en", "b")] * 60
+    docs = frame(spark, rows, ("rows", "extra"))
+    taken = mixing.mixed(docs).groupBy("source").agg(F.sum("copies").alias("n"))
+    held = mixing.copied(docs)
+    assert {r.source: r.n for r in taken.collect()} == {r.source: r["count"] for r in held.groupBy("source").count().collect()}
+    assert held.columns == docs.columns and held.groupBy("text").count().agg(F.max("count")).first()[0] <= 4 * 60

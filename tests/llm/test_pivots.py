@@ -9,15 +9,16 @@ from moodtide.llm import pivots
 
 
 def plain(rows, top=20, step=20):
-    vectors = {}
-    for i, v, *_ in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            q = [math.floor(64 * x) for x in v]
-            vectors[i] = min(vectors.get(i, q), q)
+    vectors = [
+        (i, [math.floor(64 * x) for x in v])
+        for i, v, *_ in rows
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
+    ]
     out = []
-    for a in vectors:
+    for a in {i for i, _ in vectors}:
         if a % step == 0:
-            scores = sorted((-sum(x * y for x, y in zip(vectors[a], q)), b) for b, q in vectors.items() if b != a)
+            asked = min(q for i, q in vectors if i == a)
+            scores = sorted((-sum(x * y for x, y in zip(asked, q)), b) for b, q in vectors if b != a)
             out += [(a, k + 1, b, -s) for k, (s, b) in enumerate(scores[:top])]
     return sorted(out)
 
@@ -71,3 +72,11 @@ def test_bounds_leave_rings_out(spark, monkeypatch):
     rings = [df for name, df in asked if name == "pivot-blocks"][0].select("ring").distinct().count()
     pairs = sum(df.count() for name, df in asked if name == "pivot-pairs")
     assert pairs < 0.7 * rings * 20
+
+
+def test_rows_that_repeat_an_id_are_all_candidates(spark):
+    rows = [(20, [1.0, 0.0], "a"), (21, [1.0, 1.0], "a"), (21, [9.0, 9.0], "a"), (22, [2.0, 0.0], "a"), (20, [0.5, 2.0], "a"), (21, [9.0, 9.0], "a")]
+    got = found(spark, rows)
+    assert got == plain(rows) and got[0][2:] == (21, plain(rows)[0][3]) and len(got) == 4
+    many = [(21, [float(i % 7), 1.0], "a") for i in range(300)] + [(i, [1.0, float(i % 5)], "a") for i in range(60)]
+    assert found(spark, many) == plain(many)

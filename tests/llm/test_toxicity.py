@@ -57,3 +57,20 @@ def test_grams_do_not_depend_on_the_slice(monkeypatch):
     whole = set(toxicity.distinct_buckets(text).tolist())
     monkeypatch.setattr(toxicity, "SLICE", 37)
     assert set(toxicity.distinct_buckets(text).tolist()) == whole
+
+
+def test_labels_whose_documents_are_absent_reject_nothing(spark):
+    docs = frame(spark, [(i, f"a harmless text number {i}", "en", "s") for i in range(20)])
+    labels = spark.createDataFrame([(1000 + i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    model = toxicity.fitted(docs, labels)
+    assert toxicity.kept_clean(docs, model).count() == 20
+    one_class = spark.createDataFrame([(i, 1, 1) for i in range(10)] + [(1000, 1, 0)], labels.schema)
+    assert toxicity.scored(docs, toxicity.fitted(docs, one_class)).filter("predicted = 1").count() == 20
+
+
+def test_rows_that_repeat_an_id_count_once(spark):
+    rows = [(i, "vile awful words" if i % 2 else "kind words here", "en", "s") for i in range(40)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    once = toxicity.fitted(frame(spark, rows), labels)
+    often = toxicity.fitted(frame(spark, rows + rows[1:2] * 50), labels)
+    assert once.intercept == often.intercept and (once.scaled == often.scaled).all()
