@@ -141,6 +141,33 @@ def retrain_flags(predicted: DataFrame, time: str, min_accuracy: float = RETRAIN
     )
 
 
+def accuracy_drift(predicted: DataFrame, time: str, target: float = RETRAIN_ACCURACY, slack: float = 0.02,
+                   limit: float = 0.25, digits: int = 6) -> DataFrame:
+    """Daily accuracy with the cumulative sum that detects a lasting fall, and whether it calls for retraining.
+
+    The sum of a day is that of all shortfalls below ``target`` less ``slack`` so far, above the lowest it has been: a
+    running sum less its running minimum (zero at the start). It rises while accuracy stays short, returns to zero
+    when accuracy is back, and flags a drift at ``limit``. Days are few, so one task sums them.
+    """
+    daily = predicted.groupBy(F.to_date(time).alias("day")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("y") == F.col("yhat")).alias("hits")
+    )
+    accuracy = F.bround(F.col("hits") / F.col("n"), digits)
+    scale = 10**digits
+    short = F.lit(round((target - slack) * scale)) - F.round(F.col("accuracy") * scale).cast("long")
+    in_order = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    summed = daily.filter(F.col("day").isNotNull()).withColumn("accuracy", accuracy).withColumn("_sum", F.sum(short).over(in_order))
+    lowest = F.least(F.min("_sum").over(in_order), F.lit(0))
+    risen = summed.withColumn("_risen", F.col("_sum") - lowest)
+    return risen.select(
+        timing.day_text(F.col("day")).alias("day"),
+        "n",
+        "accuracy",
+        (F.col("_risen") / scale).alias("shortfall"),
+        (F.col("_risen") >= round(limit * scale)).alias("drift"),
+    )
+
+
 def train_history(log: DataFrame) -> DataFrame:
     """Training and evaluation records told apart, counted, and the best evaluated step.
 

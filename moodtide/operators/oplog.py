@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import timing
 from ..settings import TIMING_WINDOW
+from .scan import running_index
 
 # The terms that decide whether a failed call is tried again, and its limits.
 NETWORK_TERMS = ("timeout", "connection", "network")
@@ -48,29 +48,8 @@ def op_avg_duration(timings: DataFrame, n: int = TIMING_WINDOW, tie_break: Seque
     )
 
 
-def running_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
-                  name: str) -> DataFrame:
-    """Position of each row within its key, from 1, without gathering a key in one task.
-
-    ``bucket`` must not fall as ``order`` rises. Rows are numbered inside each bucket and
-    raised by the sizes of the buckets before it, which are counted in a small table.
-    """
-    marked = df.withColumn("_bucket", bucket)
-    sizes = marked.groupBy(*keys, "_bucket").agg(F.count("*").alias("_size"))
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    names = {k: f"_of_{k}" for k in [*keys, "_bucket"]}
-    same = reduce(lambda left, right: left & right, [F.col(k).eqNullSafe(F.col(own)) for k, own in names.items()])
-    return (
-        marked.join(starts.withColumnsRenamed(names), same)
-        .withColumn(name, F.col("_start") + F.row_number().over(inside))
-        .drop("_bucket", "_start", *names.values())
-    )
-
-
 def rolling_avg_duration(timings: DataFrame, n: int = TIMING_WINDOW, tie_break: Sequence[str] = (),
-                         block: int = 100_000, digits: int = 6, bucket: str = "minute") -> DataFrame:
+                         block: int = 100_000, digits: int = 6) -> DataFrame:
     """Mean of each record and the ``n - 1`` before it of the same operation.
 
     Records are numbered per operation and cut into blocks of ``block``; the last ``n - 1``
@@ -78,7 +57,7 @@ def rolling_avg_duration(timings: DataFrame, n: int = TIMING_WINDOW, tie_break:
     no task holds a whole operation.
     """
     order = ["timestamp", *tie_break]
-    numbered = running_index(timings, ["operation"], order, F.date_trunc(bucket, F.col("timestamp")), "position")
+    numbered = running_index(timings, ["operation"], order, "position")
     home = F.floor((F.col("position") - 1) / block)
     at_end = (F.col("position") - 1) % block >= block - (n - 1)
     placed = numbered.withColumn("_home", home).withColumn(
@@ -131,11 +110,9 @@ def should_retry(message: Column, count: Column) -> Column:
     )
 
 
-def retry_decision(errors: DataFrame, tie_break: Sequence[str] = (), bucket: str = "minute") -> DataFrame:
+def retry_decision(errors: DataFrame, tie_break: Sequence[str] = ()) -> DataFrame:
     """Each error with the running count of its key and the decision taken on it."""
-    counted = running_index(
-        errors, ["error_key"], ["timestamp", *tie_break], F.date_trunc(bucket, F.col("timestamp")), "error_count"
-    )
+    counted = running_index(errors, ["error_key"], ["timestamp", *tie_break], "error_count")
     return counted.withColumn("should_retry", should_retry(F.col("message"), F.col("error_count")))
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -78,47 +80,55 @@ def lexicon_sentiment(posts: DataFrame, lexicon: DataFrame, keys: Sequence[str]
                       negators: Sequence[str] = (), unique: bool = False) -> DataFrame:
     """The sentiment struct beside every post, zero polarity where no word is known.
 
-    Every row is scored by its own text, also where a post was edited between two collections. A lexicon
-    within the lookup bounds is sent to the rows, which are not moved. With a larger one, words and sums travel:
-    ``keys`` and the text's hash then identify a text, and copies of it, which share their mean, are
-    spread over tasks; with ``unique`` the caller vouches that there are none, which saves looking for them.
+    Every row is scored by its own text alone, whatever its keys. A lexicon within the lookup bounds is sent to the
+    rows, which are not moved. With a larger one, words and sums travel: the text's MD5 then identifies a text, and
+    copies of it, which share their mean, are spread over tasks; with ``unique`` the caller vouches that no text is
+    held very many times, which saves looking for such. Both ways give the same rows; ``keys`` are kept for callers
+    that name them.
     """
     if is_small(lexicon):
         return _scored_in_place(posts, lexicon, negators)
-    marked = posts.withColumn("_said", F.xxhash64("text"))
-    own = [*keys, "_said"]
-    points = lexicon_polarity(marked, lexicon, own, negators)
-    joined = marked.join(points, own, "left") if unique else salted_lookup(marked, points, own)
-    return joined.withColumn("sentiment", _lexicon_struct()).drop("polarity_points", "subjectivity_points", "hits", "_said")
+    marked = posts.withColumn("_said", F.unhex(F.md5("text")))
+    points = lexicon_polarity(marked, lexicon, ["_said"], negators)
+    joined = marked.join(points, "_said", "left") if unique else salted_lookup(marked, points, ["_said"], spread_on=list(posts.columns))
+    return joined.withColumn("sentiment", _lexicon_struct()).select(*posts.columns, "sentiment")
 
 
 def _scored_in_place(posts: DataFrame, lexicon: DataFrame, negators: Sequence[str]) -> DataFrame:
-    """The sums of each row from its own words; entries that a lexicon repeats count as often."""
-    entries: dict[str, tuple[float, float, int]] = {}
-    for token, polarity, subjectivity in lexicon.select("token", "polarity_points", "subjectivity_points").collect():
-        p, s, n = entries.get(token, (0.0, 0.0, 0))
-        entries[token] = p + float(polarity or 0), s + float(subjectivity or 0), n + 1
-    denied = frozenset(negators)
-
-    @F.pandas_udf("struct<polarity_points:double,subjectivity_points:double,hits:bigint>")
-    def summed(words: pd.Series) -> pd.DataFrame:
-        out = []
-        for said in words:
-            polarity, subjectivity, hits, last = 0.0, 0.0, 0, None
-            for word in () if said is None else said:
-                known = entries.get(word)
-                if known:
-                    polarity += known[0] * (-0.5 if last in denied else 1.0)
-                    subjectivity += known[1]
-                    hits += known[2]
-                last = word
-            out.append((polarity, subjectivity, hits) if hits else (None, None, None))
-        found = pd.DataFrame(out, columns=["polarity_points", "subjectivity_points", "hits"])
-        return found.astype({"polarity_points": "float64", "subjectivity_points": "float64", "hits": "Int64"})
+    """The sums of each row from its own words; entries that a lexicon repeats count as often.
+
+    All words of a batch are looked up at once and summed by row.
+    """
+    folded = lexicon.filter(F.col("token").isNotNull()).groupBy("token").agg(
+        F.sum(F.coalesce("polarity_points", F.lit(0)).cast("double")).alias("p"),
+        F.sum(F.coalesce("subjectivity_points", F.lit(0)).cast("double")).alias("s"),
+        F.count("*").cast("double").alias("n"),
+    )
+    sent = posts.sparkSession.sparkContext.broadcast(folded.toArrow().combine_chunks())
+    denied = pa.array(list(negators), pa.string())
+
+    @F.arrow_udf("struct<polarity_points:double,subjectivity_points:double,hits:bigint>")
+    def summed(said: pa.Array) -> pa.Array:
+        entries = sent.value
+        words, row = pc.list_flatten(said), pc.list_parent_indices(said).to_numpy()
+        at = pc.index_in(words, value_set=entries["token"].combine_chunks())
+        known = at.is_valid().to_numpy(zero_copy_only=False)
+        at, row_of = at.filter(pa.array(known)).to_numpy(), row[known]
+        factor = np.ones(len(row_of))
+        if len(denied):
+            after = np.zeros(len(words), bool)
+            after[1:] = pc.is_in(words, value_set=denied).to_numpy(zero_copy_only=False)[:-1] & (row[1:] == row[:-1])
+            factor[after[known]] = -0.5
+        p, s, n = (entries[c].to_numpy()[at] for c in "psn")
+        hits = np.bincount(row_of, n, len(said))
+        none = pa.array(hits == 0)
+        columns = [np.bincount(row_of, p * factor, len(said)), np.bincount(row_of, s, len(said)), hits.astype(np.int64)]
+        masked = [pc.if_else(none, pa.nulls(len(said), column.type), column) for column in map(pa.array, columns)]
+        return pa.StructArray.from_arrays(masked, ["polarity_points", "subjectivity_points", "hits"])
 
     counted = posts.withColumn("_sums", summed(tx.words(F.col("text"))))
     sums = {c: F.col(f"_sums.{c}") for c in ("polarity_points", "subjectivity_points", "hits")}
-    return counted.withColumns(sums).withColumn("sentiment", _lexicon_struct()).drop("_sums", *sums)
+    return counted.withColumns(sums).withColumn("sentiment", _lexicon_struct()).select(*posts.columns, "sentiment")
 
 
 def lexicon_scorer(lexicon: DataFrame, negators: Sequence[str] = (), unique: bool = False) -> Scorer:

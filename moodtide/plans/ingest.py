@@ -270,6 +270,47 @@ def keyword_table_match(spark: SparkSession, sf: str) -> DataFrame:
     return kw.match_keyword_table(d.long_posts(spark, sf), kw.keyword_table(spark, d.KEYWORDS))
 
 
+_VERSIONS_SQL = f"""SELECT platform, date_trunc('day', created_at) AS valid_from,
+                           [min(source), '{d.KEYWORDS[0]}', '{d.KEYWORDS[1]}'] AS keywords
+                    FROM posts WHERE dayofmonth(created_at) % 3 = 2 GROUP BY 1, 2"""
+
+
+@query(
+    "keyword_asof",
+    f"""SELECT p.id, p.platform, array_to_string(v.keywords, ',') AS keywords,
+               array_to_string(list_filter(coalesce(v.keywords, []), lambda w: contains({sql_phrase('p.text')}, {sql_phrase('w')})), ',') AS matched
+        FROM posts p ASOF LEFT JOIN ({_VERSIONS_SQL}) v ON p.platform = v.platform AND p.created_at >= v.valid_from""",
+    ("posts",),
+)
+def keyword_asof(spark: SparkSession, sf: str) -> DataFrame:
+    """Posts against the keyword list of their platform that was valid when they were made."""
+    posts = d.long_posts(spark, sf)
+    listed = F.array(F.min("source"), F.lit(d.KEYWORDS[0]), F.lit(d.KEYWORDS[1])).alias("keywords")
+    day = F.date_trunc("day", "created_at").cast("timestamp_ntz").alias("valid_from")
+    versions = posts.filter(F.dayofmonth("created_at") % 3 == 2).groupBy("platform", day).agg(listed)
+    found = kw.keywords_as_of(posts.select("id", "platform", "text", "created_at"), versions)
+    return found.select("id", "platform", F.array_join("keywords", ",").alias("keywords"), F.array_join("matched", ",").alias("matched"))
+
+
+_LONG_SQL = """SELECT DISTINCT array_to_string(w[1:200], ' ') AS keyword
+               FROM (SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w
+                     FROM documents WHERE doc_id % 40 = 0) WHERE len(w) > 0"""
+
+
+@query(
+    "keyword_phrases",
+    f"SELECT id, md5(keyword) AS phrase FROM posts, ({_LONG_SQL}) WHERE contains({sql_phrase('text')}, ' ' || keyword || ' ')",
+    ("posts",),
+)
+def keyword_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """Phrases of up to 200 words, the beginnings of some texts, in all posts."""
+    posts = d.long_posts(spark, sf)
+    said = F.split(F.trim(tx.phrase_text(F.col("text"))), " ")
+    made = d.texts(spark, sf).filter(F.col("doc_id") % 40 == 0).select(F.array_join(F.slice(said, 1, 200), " ").alias("keyword"))
+    found = kw.match_keyword_table(posts, made.filter("keyword <> ''").distinct())
+    return found.select("id", F.md5("keyword").alias("phrase"))
+
+
 @query("clean_posts", "SELECT doc_id, text FROM documents WHERE length(text) > 10")
 def clean_posts(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.clean_posts(d.table(spark, sf, "documents").select("doc_id", "text"))

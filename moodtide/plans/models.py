@@ -142,6 +142,20 @@ def retrain_flags(spark: SparkSession, sf: str) -> DataFrame:
     return ev.retrain_flags(d.gold(spark, sf), "predicted_at")
 
 
+@query(
+    "accuracy_drift",
+    """SELECT day, n, accuracy, (s - least(min(s) OVER w, 0)) / 1000000 AS shortfall, s - least(min(s) OVER w, 0) >= 250000 AS drift
+       FROM (SELECT *, CAST(sum(780000 - CAST(round(accuracy * 1000000) AS BIGINT)) OVER (ORDER BY day) AS BIGINT) AS s FROM (
+                SELECT strftime(predicted_at, '%Y-%m-%d') AS day, count(*) AS n,
+                       round_even(count(*) FILTER (y = yhat) / count(*), 6) AS accuracy
+                FROM gold GROUP BY 1))
+       WINDOW w AS (ORDER BY day)""",
+    ("gold",),
+)
+def accuracy_drift(spark: SparkSession, sf: str) -> DataFrame:
+    return ev.accuracy_drift(d.gold(spark, sf), "predicted_at")
+
+
 @query(
     "train_history",
     """SELECT count(loss) AS train_rows, count(eval_loss) AS eval_rows, min(loss) AS lowest_loss,

@@ -166,6 +166,22 @@ def sentiment_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return alerts.withColumn("hour", timing.to_iso(F.col("hour")))
 
 
+@query(
+    "sentiment_zscore_alerts",
+    f"""SELECT platform, {sql_iso('hour')} AS hour, rows, share, hours, zscore FROM (
+            SELECT *, round_even((points - mean) / deviation, 6) AS zscore FROM (
+                SELECT *, count(*) OVER w AS hours, avg(points) OVER w AS mean, stddev_samp(points) OVER w AS deviation
+                FROM (SELECT *, CAST(round(share * 100) AS BIGINT) AS points FROM ({_HOURLY_SHARE}))
+                WINDOW w AS (PARTITION BY platform ORDER BY hour RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND INTERVAL 1 HOUR PRECEDING))
+            WHERE hours >= 6 AND deviation > 0)
+        WHERE abs(zscore) >= 2""",
+    ("results",),
+)
+def sentiment_zscore_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    alerts = tr.sentiment_zscore_alerts(d.results(spark, sf))
+    return alerts.withColumn("hour", timing.to_iso(F.col("hour")))
+
+
 @query(
     "daily_volume",
     """SELECT strftime(processed_at, '%Y-%m-%d') AS day, count(*) AS posts, count(*) >= 1000 AS target_met

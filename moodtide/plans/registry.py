@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None, uses: tuple[str, ...] = ()) -> Call
 
 
 def all_queries() -> dict[str, Query]:
-    from . import ingest, logs, models, reads, streams, textual  # noqa: F401  (they register on import)
+    from . import ingest, live, logs, models, reads, streams, textual  # noqa: F401  (they register on import)
 
     return dict(_queries)
 

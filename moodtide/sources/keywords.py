@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import phrase_text
+from ..operators.scan import as_of
 from ..operators.sizing import each, lookup_join, small_table
+from ..session import fresh_path
 
 
 def matched_keywords(text: Column, keywords: Sequence[str]) -> Column:
@@ -24,32 +26,69 @@ def keyword_table(spark: SparkSession, keywords: Sequence[str]) -> DataFrame:
     return small_table(spark, [(word,) for word in keywords], ["keyword"])
 
 
-def _extended(shorter: Column, length: int) -> Column:
-    """Phrases of ``length`` words from those one word shorter."""
-    count = F.greatest(F.size("spoken") - length + 1, F.lit(0))
-    return F.zip_with(
-        F.slice(shorter, F.lit(1), count),
-        F.slice("spoken", F.lit(length), count),
-        lambda head, word: F.concat_ws(" ", head, word),
-    )
+#: Phrases of up to this many words are matched whole, longer ones are found by a run of as many.
+RUN = 3
+
+
+def _runs(words: str, length: int) -> Column:
+    """All runs of ``length`` words of an array column, each joined by spaces."""
+    count = F.greatest(F.size(words) - length + 1, F.lit(0))
+    shifted = [F.slice(words, F.lit(k + 1), count) for k in range(length)]
+    joined = F.zip_with(shifted[0], shifted[1], lambda a, b: F.concat_ws(" ", a, b)) if length > 1 else shifted[0]
+    return F.zip_with(joined, shifted[2], lambda ab, c: F.concat_ws(" ", ab, c)) if length > 2 else joined
+
+
+def _indexed(long: DataFrame) -> DataFrame:
+    """run, keyword, phrase: each phrase under the rarest of its runs, the one that fewest phrases share (ties: the longest)."""
+    runs = each(long.withColumn("_words", F.split("phrase", " ")), F.array_distinct(_runs("_words", RUN)), "keyword", "phrase", name="run")
+    shared = runs.groupBy("run").agg(F.count("*").alias("times"))
+    best = F.min(F.struct("times", (-F.length("run")).alias("back"), "run")).alias("best")
+    return runs.join(shared, "run").groupBy("keyword", "phrase").agg(best).select("best.run", "keyword", "phrase")
 
 
 def match_keyword_table(posts: DataFrame, keywords: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """``(key, keyword)`` for every tracked phrase in a post.
 
-    Phrases are matched by equality on their words, so the number of keywords does not
-    multiply the posts. Only phrase lengths that the table has are formed, and repeats
-    within a post are removed before the rows are moved.
+    Phrases are matched by equality on their words, so the number of keywords does not multiply the posts. Up to
+    ``RUN`` words a phrase is met whole. A longer one is indexed by its rarest run: only texts that hold that run are
+    compared with it, by one search of the phrase. The plan is the same for phrases of any length; repeats within a
+    post are removed before rows are moved. Texts are told apart by their MD5, so keys may be null or repeat.
     """
-    tracked = keywords.select("keyword", F.trim(phrase_text(F.col("keyword"))).alias("phrase")).distinct()
-    words = F.size(F.split("phrase", " "))
-    lengths = set(tracked.filter(F.col("phrase") != "").agg(F.collect_set(words).alias("lengths")).first()["lengths"])
+    tracked = keywords.select("keyword", F.trim(phrase_text(F.col("keyword"))).alias("phrase")).distinct().filter("phrase <> ''")
+    words = F.least(F.size(F.split("phrase", " ")), F.lit(RUN + 1))
+    lengths = set(tracked.agg(F.collect_set(words).alias("lengths")).first()["lengths"])
+    out = posts.select(key, F.lit(None).cast("string").alias("keyword")).filter(F.lit(False))
     if not lengths:
-        return posts.select(key, F.lit(None).cast("string").alias("keyword")).filter(F.lit(False))
-    spoken = posts.select(key, F.split(F.trim(phrase_text(F.col(text))), " ").alias("spoken"))
-    spans = [F.col("spoken")]
-    for length in range(2, max(lengths) + 1):
-        spans.append(_extended(spans[-1], length))
-    wanted = [span for length, span in enumerate(spans, start=1) if length in lengths]
-    phrases = each(spoken, F.array_distinct(F.concat(*wanted)), key, name="phrase")
-    return lookup_join(phrases, tracked, ["phrase"]).select(key, "keyword")
+        return out
+    spoken = posts.select(key, text, F.split(F.trim(phrase_text(F.col(text))), " ").alias("_spoken"))
+    short = sorted(lengths - {RUN + 1})
+    if short:
+        phrases = each(spoken, F.array_distinct(F.concat(*[_runs("_spoken", n) for n in short])), key, name="phrase")
+        out = lookup_join(phrases, tracked.filter(words <= RUN), ["phrase"]).select(key, "keyword")
+    if RUN + 1 not in lengths:
+        return out
+    index = _indexed(tracked.filter(words > RUN))
+    node = F.unhex(F.md5(text))
+    held = each(spoken, F.array_distinct(_runs("_spoken", RUN)), node.alias("_node"), name="run")
+    path = fresh_path(posts.sparkSession, "phrase-candidates")
+    found = lookup_join(held, index, ["run"]).groupBy("_node").agg(F.collect_set(F.struct("keyword", "phrase")).alias("_may"))
+    found.write.parquet(path)
+    candidates = posts.sparkSession.read.schema(found.schema).parquet(path)
+    texts = lookup_join(posts.select(key, text, node.alias("_node")), candidates, ["_node"])
+    heard = texts.select(key, "_may", phrase_text(F.col(text)).alias("_heard"))
+    true = F.filter("_may", lambda m: F.contains(F.col("_heard"), F.concat(F.lit(" "), m["phrase"], F.lit(" "))))
+    return out.unionByName(each(heard, F.array_distinct(F.transform(true, lambda m: m["keyword"])), key, name="keyword"))
+
+
+def keywords_as_of(
+    posts: DataFrame, versions: DataFrame, keys: Sequence[str] = ("platform",), time: str = "created_at", tie_break: Sequence[str] = ("id",)
+) -> DataFrame:
+    """Posts with ``keywords``, the tracked list that was valid at their time, and ``matched``, those of it that they hold.
+
+    ``versions`` has the keys, ``valid_from`` and ``keywords``. A list counts until the next one begins; before the first
+    there is none and nothing matches.
+    """
+    listed = as_of(posts, versions, list(keys), time, "valid_from", "keywords", tie_break)
+    spoken = listed.withColumn("_spoken", phrase_text(F.col("text")))
+    held = F.filter("keywords", lambda word: F.contains(F.col("_spoken"), phrase_text(word)))
+    return spoken.withColumn("matched", F.coalesce(held, F.array().cast("array<string>"))).drop("_spoken")

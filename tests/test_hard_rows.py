@@ -3,7 +3,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from moodtide.operators import cleaning, enrich, features, oplog, scoring, trends
+from moodtide.operators import cleaning, enrich, evaluation, features, oplog, scoring, trends
 from moodtide.operators.sizing import salted_lookup
 from moodtide.sinks import tables as sinks
 from moodtide.streaming import flows
@@ -68,6 +68,48 @@ def test_an_edited_post_is_scored_by_its_own_text(spark, monkeypatch):
         assert got == want
 
 
+def test_rows_without_id_or_platform_are_scored_alike_whatever_the_lexicon_holds(spark, monkeypatch):
+    rows = posts(spark, [(None, "x", "good day", 1, "2024-01-01 10:00:00"), ("1", None, "bad day", 1, "2024-01-01 10:00:00"),
+                         (None, None, "not good", 1, "2024-01-01 10:00:00"), (None, None, "not good", 1, "2024-01-01 10:00:00")])
+    lexicon = scoring.starter_lexicon(spark)
+    for small in (True, False):
+        for unique in (True, False):
+            monkeypatch.setattr(scoring, "is_small", lambda _, small=small: small)
+            got = scoring.lexicon_sentiment(rows, lexicon, negators=scoring.NEGATORS, unique=unique)
+            assert sorted((r.text, r.sentiment.polarity) for r in got.collect()) == [("bad day", -0.65), ("good day", 0.65), ("not good", -0.325), ("not good", -0.325)]
+            assert got.columns == [*rows.columns, "sentiment"]
+
+
+def test_entries_that_a_lexicon_repeats_and_batches_without_words(spark):
+    lexicon = spark.createDataFrame([("good", 50, 10), ("good", 70, None), (None, 9, 9)], "token string, polarity_points int, subjectivity_points int")
+    rows = posts(spark, [("1", "x", "good good", 1, "2024-01-01 10:00:00"), ("2", "x", "", 1, "2024-01-01 10:00:00"), ("3", "x", None, 1, "2024-01-01 10:00:00")])
+    got = {r.id: (r.sentiment.polarity, r.sentiment.label) for r in scoring.lexicon_sentiment(rows, lexicon).collect()}
+    assert got == {"1": (0.6, "positive"), "2": (0.0, "neutral"), "3": (0.0, "neutral")}
+    assert scoring.lexicon_sentiment(rows.limit(0), lexicon).count() == 0
+
+
+def test_zscore_looks_back_over_hours_and_needs_a_deviation(spark):
+    shares = [0, 1, 0, 1, 0, 1, 0, 4]  # negatives of four rows in each hour
+    rows = [("x", f"2024-01-01 {h:02d}:{m:02d}:00", "negative" if m < n else "positive") for h, n in enumerate(shares) for m in range(4)]
+    rows += [("flat", f"2024-01-01 {h:02d}:00:00", "negative" if h == 9 else "positive") for h in range(10)]
+    frame = spark.createDataFrame(rows, "platform string, processed_at string, label string")
+    results = frame.select("platform", F.col("processed_at").cast("timestamp").alias("processed_at"), F.struct("label").alias("sentiment"))
+    got = trends.sentiment_zscore_alerts(results).collect()
+    mean, deviation = 75 / 7, (sum((s * 25 - 75 / 7) ** 2 for s in shares[:7]) / 6) ** 0.5
+    assert [(r.platform, r.hour.hour, r.hours, r.zscore) for r in got] == [("x", 7, 7, round((100 - mean) / deviation, 6))]
+
+
+def test_drift_needs_a_lasting_fall(spark):
+    def days(accuracies):
+        return spark.createDataFrame([(f"2024-01-{d:02d}", 1, 1 if k < a else 0) for d, a in enumerate(accuracies, 1) for k in range(10)], "at string, y int, yhat int")
+
+    one_bad = evaluation.accuracy_drift(days([9, 6, 9, 9]), "at").orderBy("day").collect()
+    assert [r.drift for r in one_bad] == [False] * 4 and [r.shortfall for r in one_bad] == [0.0, 0.18, 0.06, 0.0]
+    lasting = evaluation.accuracy_drift(days([9, 7, 6, 7, 9]), "at").orderBy("day").collect()
+    assert [r.drift for r in lasting] == [False, False, True, True, False]
+    assert evaluation.accuracy_drift(days([]), "at").count() == 0
+
+
 def test_the_scorer_moves_no_text(spark):
     rows = posts(spark, [("1", "x", "good", 1, "2024-01-01 10:00:00")]).withColumn("created_at", F.col("collected_at"))
     plan = scoring.score_posts(rows, scoring.lexicon_scorer(scoring.starter_lexicon(spark)))._jdf.queryExecution().executedPlan().toString()

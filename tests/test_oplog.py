@@ -31,7 +31,7 @@ def test_rolling_mean_over_small_blocks_is_the_plain_one(spark):
 
 def test_running_index_keeps_null_keys_and_times(spark):
     df = records(spark)[0].withColumn("operation", F.when(F.col("operation") == "hot", F.col("operation")))
-    numbered = oplog.running_index(df, ["operation"], ["timestamp", "event_id"], F.date_trunc("minute", "timestamp"), "n")
+    numbered = oplog.running_index(df, ["operation"], ["timestamp", "event_id"], "n")
     assert numbered.count() == df.count()
     assert numbered.groupBy("operation").agg((F.max("n") == F.count("*")).alias("ok")).filter("ok").count() == 2
 
