@@ -7,7 +7,6 @@ from pyspark.sql import Column, functions as F
 # The patterns of the three cleaning recipes.
 PLAIN_LINK = r"http\S+|www\S+|https\S+"
 TAG_OR_NOT_LETTER = r"[^abcdefghijklmnopqrstuvwxyz \t\n\x0B\f\r@#]+|[@#]\w*"
-TAG_OR_NOT_LETTER_UNICODE = r"(?U)[^a-z\s@#]+|[@#]\w*"
 SOCIAL_LINK_OR_MENTION = r"http\S+|www\S+|@\w+"
 TWEET_LINK = r"http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
 TWEET_WWW = r"www\.(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
@@ -16,6 +15,11 @@ TWEET_TAG = r"#([A-Za-z0-9_]+)"
 HASHTAG = r"#(\w+)"
 MENTION = r"@(\w+)"
 
+# What counts as white space and as a word's character in Unicode text.
+SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+WORD_CHARACTERS = r"\p{L}\p{N}_"
+TAG_OR_NOT_LETTER_UNICODE = f"[^abcdefghijklmnopqrstuvwxyz@#{SPACES}]+|[@#][{WORD_CHARACTERS}]*"
+
 # Word pairs the word tokenizer writes as one word.
 JOINED_PAIRS = r"\b(?:(can)(not)|(gim|lem)(me)|(gon|wan)(na)|(got)(ta))\b"
 
@@ -36,8 +40,13 @@ STOPWORDS = tuple(
 )
 
 
+def in_unicode(pattern: str) -> str:
+    """The pattern with its classes of white space and word characters spelt out for Unicode text."""
+    return pattern.replace(r"\s", f"[{SPACES}]").replace(r"\S", f"[^{SPACES}]").replace(r"\w", f"[{WORD_CHARACTERS}]")
+
+
 def _regex(pattern: str, unicode: bool) -> str:
-    return f"(?U){pattern}" if unicode else pattern
+    return in_unicode(pattern) if unicode else pattern
 
 
 def _strip(text: Column, unicode: bool) -> Column:
@@ -58,12 +67,12 @@ def _bare(text: Column, unicode: bool) -> Column:
     return F.regexp_replace(unlinked, TAG_OR_NOT_LETTER_UNICODE if unicode else TAG_OR_NOT_LETTER, "")
 
 
-def clean_text(text: Column, unicode: bool = False) -> Column:
+def clean_text(text: Column, unicode: bool = True) -> Column:
     """Lower-case letters and single spaces only; links, mentions and tags removed."""
     return F.trim(F.regexp_replace(_bare(text, unicode), _regex(r"\s+", unicode), " "))
 
 
-def clean_text_social(text: Column, unicode: bool = False) -> Column:
+def clean_text_social(text: Column, unicode: bool = True) -> Column:
     """Lower-case; links and mentions become ``[URL]``; tags lose their sign."""
     out = F.lower(F.coalesce(text, F.lit("")))
     out = F.regexp_replace(out, _regex(SOCIAL_LINK_OR_MENTION, unicode), "[URL]")
@@ -71,7 +80,7 @@ def clean_text_social(text: Column, unicode: bool = False) -> Column:
     return _strip(out, unicode)
 
 
-def preprocess_tweet(text: Column, unicode: bool = False) -> Column:
+def preprocess_tweet(text: Column, unicode: bool = True) -> Column:
     """Lower-case; links become ``[URL]``, mentions ``[USER]``; tags lose their sign."""
     out = F.lower(F.coalesce(text, F.lit("")))
     out = F.regexp_replace(out, TWEET_LINK, "[URL]")
@@ -81,12 +90,12 @@ def preprocess_tweet(text: Column, unicode: bool = False) -> Column:
     return F.trim(F.regexp_replace(out, _regex(r"\s+", unicode), " "))
 
 
-def words(text: Column, unicode: bool = False) -> Column:
+def words(text: Column, unicode: bool = True) -> Column:
     """The words of the cleaned text, stop words included."""
     return F.array_remove(F.split(_bare(text, unicode), _regex(r"\s+", unicode)), "")
 
 
-def tokens(text: Column, unicode: bool = False, stopwords: tuple[str, ...] = STOPWORDS, min_length: int = 1) -> Column:
+def tokens(text: Column, unicode: bool = True, stopwords: tuple[str, ...] = STOPWORDS, min_length: int = 1) -> Column:
     """Words of the cleaned text with joined pairs split, short words and stop words dropped."""
     parted = F.regexp_replace(_bare(text, unicode), JOINED_PAIRS, "$1$3$5$7 $2$4$6$8")
     return F.filter(
@@ -95,7 +104,7 @@ def tokens(text: Column, unicode: bool = False, stopwords: tuple[str, ...] = STO
     )
 
 
-def preprocess(text: Column, unicode: bool = False) -> Column:
+def preprocess(text: Column, unicode: bool = True) -> Column:
     """Clean, tokenise and join with single spaces; the text the classifier sees."""
     return F.array_join(tokens(text, unicode), " ")
 

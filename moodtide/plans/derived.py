@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.hashing import stable_hash
 from ..functions.labels import code_label
-from ..functions.text import STOPWORDS, words
+from ..functions.text import JOINED_PAIRS, PLAIN_LINK, SPACES, STOPWORDS, in_unicode, words
 from ..operators.sizing import each, widened
 from ..session import fresh_path
 from ..schemas import PROBABILITIES
@@ -292,11 +292,12 @@ def sql_hash(value: str) -> str:
 
 
 def sql_clean(text: str) -> str:
+    """The cleaning recipe, pass by pass, over the patterns of ``functions.text``."""
     out = f"lower(coalesce({text}, ''))"
-    out = rf"regexp_replace({out}, 'http\S+|www\S+|https\S+', '', 'g')"
-    out = rf"regexp_replace({out}, '@\w+|#\w+', '', 'g')"
-    out = rf"regexp_replace({out}, '[^a-zA-Z\s]', '', 'g')"
-    return rf"trim(regexp_replace({out}, '\s+', ' ', 'g'))"
+    for pattern in (PLAIN_LINK, r"@\w+|#\w+"):
+        out = f"regexp_replace({out}, '{in_unicode(pattern)}', '', 'g')"
+    out = f"regexp_replace({out}, '[^a-zA-Z{SPACES}]', '', 'g')"
+    return f"trim(regexp_replace({out}, '[{SPACES}]+', ' ', 'g'))"
 
 
 def sql_words(text: str) -> str:
@@ -305,8 +306,7 @@ def sql_words(text: str) -> str:
 
 def sql_tokens(text: str) -> str:
     stop = ", ".join("'" + word.replace("'", "''") + "'" for word in STOPWORDS)
-    pairs = r"\b(?:(can)(not)|(gim|lem)(me)|(gon|wan)(na)|(got)(ta))\b"
-    spaced = rf"regexp_replace({sql_clean(text)}, '{pairs}', '\1\3\5\7 \2\4\6\8', 'g')"
+    spaced = rf"regexp_replace({sql_clean(text)}, '{JOINED_PAIRS}', '\1\3\5\7 \2\4\6\8', 'g')"
     return f"[w for w in string_split({spaced}, ' ') if w <> '' AND w NOT IN ({stop})]"
 
 

@@ -11,7 +11,6 @@ from . import derived as d
 from .derived import sql_clean, sql_tokens
 from .registry import query
 
-_URL_REST = r"(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
 _SCORED = "said JOIN lexicon USING (token)"
 
 
@@ -22,8 +21,8 @@ def clean_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "clean_text_social",
-    r"""SELECT id, regexp_replace(regexp_replace(regexp_replace(lower(text), 'http\S+|www\S+|@\w+', '[URL]', 'g'),
-               '#(\w+)', '\1', 'g'), '^\s+|\s+$', '', 'g') AS clean FROM posts""",
+    rf"""SELECT id, regexp_replace(regexp_replace(regexp_replace(lower(text), '{tx.in_unicode(tx.SOCIAL_LINK_OR_MENTION)}', '[URL]', 'g'),
+               '{tx.in_unicode(tx.HASHTAG)}', '\1', 'g'), '{tx.in_unicode(r"^\s+|\s+$")}', '', 'g') AS clean FROM posts""",
     ("posts",),
 )
 def clean_text_social(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,8 +32,8 @@ def clean_text_social(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "preprocess_tweet",
     rf"""SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text),
-               'http[s]?://{_URL_REST}', '[URL]', 'g'), 'www\.{_URL_REST}', '[URL]', 'g'),
-               '@[A-Za-z0-9_]+', '[USER]', 'g'), '#([A-Za-z0-9_]+)', '\1', 'g'), '\s+', ' ', 'g')) AS clean FROM posts""",
+               '{tx.TWEET_LINK}', '[URL]', 'g'), '{tx.TWEET_WWW}', '[URL]', 'g'),
+               '{tx.TWEET_MENTION}', '[USER]', 'g'), '{tx.TWEET_TAG}', '\1', 'g'), '{tx.in_unicode(r"\s+")}', ' ', 'g')) AS clean FROM posts""",
     ("posts",),
 )
 def preprocess_tweet(spark: SparkSession, sf: str) -> DataFrame:
