@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as tx
 from ..functions.labels import label_code
+from ..session import fresh_path
 from ..settings import MAX_SEQUENCE_LENGTH, VOCABULARY_SIZE
 from .sizing import each, lookup_join
 
@@ -65,10 +66,14 @@ def frequent_terms(said: DataFrame, size: int = VOCABULARY_SIZE) -> DataFrame:
 def vocabulary_counts(posts: DataFrame, key: str = "id", text: str = "text", size: int = VOCABULARY_SIZE) -> DataFrame:
     """Occurrences in each text of the corpus' most frequent terms.
 
-    Terms are first counted without their texts, which folds well inside each task. Only
-    terms of the vocabulary, at most ``size`` of them, are then counted by text and shuffled.
+    Texts are tokenised once, into a written table that both counts read. Terms are first counted without their
+    texts, which folds well inside each task. Only terms of the vocabulary, at most ``size`` of them, are then counted
+    by text and shuffled.
     """
-    said = ngrams(posts, key, text)
+    cut = posts.select(key, model_words(F.col(text)).alias("said"))
+    path = fresh_path(posts.sparkSession, "tokens")
+    cut.write.parquet(path)
+    said = each(posts.sparkSession.read.schema(cut.schema).parquet(path), terms(F.col("said")), key, name="term")
     kept = frequent_terms(said, size).select("term")
     return term_counts(said.join(F.broadcast(kept), "term"), key)
 

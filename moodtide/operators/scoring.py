@@ -212,14 +212,24 @@ def map_batches(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame],
     return df.mapInArrow(run, schema)
 
 
-def capture_errors(df: DataFrame, function: Callable[[dict], str], key: str) -> DataFrame:
+def capture_errors(df: DataFrame, function: Callable[[dict], str], key: str,
+                   whole: Callable[[list[dict]], list[str]] | None = None) -> DataFrame:
     """A Python function over rows whose failures become records instead of ending the job.
 
     Gives ``ok``, ``payload`` and ``error`` beside the key, one row for every input row. Values reach the function
-    exactly, nulls as None.
+    exactly, nulls as None. ``whole``, if given, does the same for a list of rows at once; it is asked first, and rows
+    are tried one by one only in a batch where it fails.
     """
     kind = df.schema[key].dataType.simpleString()
 
+    def tried(rows: list[dict]) -> list[tuple[bool, str | None, str | None]]:
+        if whole is not None:
+            try:
+                return [(True, payload, None) for payload in whole(rows)]
+            except Exception:  # some row of the batch fails; which one shows below
+                pass
+        return [attempt(row) for row in rows]
+
     def attempt(row: dict) -> tuple[bool, str | None, str | None]:
         try:
             return True, function(row), None
@@ -228,7 +238,7 @@ def capture_errors(df: DataFrame, function: Callable[[dict], str], key: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            outcome = [attempt(row) for row in batch.to_pylist()]
+            outcome = tried(batch.to_pylist())
             columns = [pa.array([row[i] for row in outcome], t) for i, t in enumerate((pa.bool_(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(key), *columns], [key, "ok", "payload", "error"])
 

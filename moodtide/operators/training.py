@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, IDF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,8 +14,9 @@ from ..functions.labels import code_label, probability_struct
 from ..schemas import SENTIMENT
 from ..settings import LABEL_CODES, VOCABULARY_SIZE
 from .evaluation import classification_metrics
-from .features import model_words, terms
+from .features import frequent_terms, model_words, terms
 from .scoring import Scorer
+from .sizing import each
 
 
 def train_test_split(df: DataFrame, key: str, percent: int = 20) -> DataFrame:
@@ -32,13 +33,14 @@ def train_model(labelled: DataFrame, size: int = VOCABULARY_SIZE, strength: floa
     """A model fitted on rows with ``text`` and class code ``y``.
 
     The vocabulary and weights come from the training rows, or from ``features_from`` where
-    the caller wants them from all rows. ``strength`` is the inverse of the L2 penalty. The
+    the caller wants them from all rows; of terms said equally often the first by code points are taken. ``strength`` is the inverse of the L2 penalty. The
     driver holds the vocabulary and one coefficient per class and term, never rows.
     """
     rows = with_terms(labelled).select("terms", "y").persist()
     try:
         corpus = rows if features_from is None else with_terms(features_from).select("terms")
-        counter = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=size, minDF=1.0).fit(corpus)
+        said = frequent_terms(each(corpus, F.col("terms"), name="term"), size).collect()  # at most ``size`` terms
+        counter = CountVectorizerModel.from_vocabulary([row.term for row in said] or [""], inputCol="terms", outputCol="tf")
         weight = IDF(inputCol="tf", outputCol="_idf").fit(counter.transform(corpus))
         scaling = Vectors.dense(weight.idf.toArray() + 1.0)
         vectoriser = Pipeline(

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import timing
 from ..session import fresh_path
+from ..settings import PLATFORMS
+from ..sinks import upkeep
+from ..sinks.tables import Store, insert_results
 from ..sources import polling
-from ..streaming import enriched, errors as er, flows
+from ..streaming import enriched, errors as er, flows, observed
 from . import derived as d
 from .derived import sql_iso
 from .registry import query
@@ -115,6 +118,47 @@ def stream_enriched(spark: SparkSession, sf: str) -> DataFrame:
     return enriched.completed(joined.filter("post_id IS NOT NULL"), results, posts).drop("processed_at")
 
 
+@query(
+    "stream_cycle_counts",
+    """SELECT platform, count(*) AS collected, count(*) FILTER (length(text) > 40) AS kept,
+              count(*) FILTER (length(text) > 40 AND lang = 'en') AS scored FROM posts GROUP BY 1""",
+    ("posts",),
+)
+def stream_cycle_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """What a stream saw pass in all its batches, by platform, told by its listener."""
+    posts = d.posts(spark, sf).select("id", "platform", "lang", "text", "collected_at")
+    half = F.col("collected_at") < F.lit(MIDDLE).cast("timestamp_ntz")
+    kept = F.length("text") > 40
+    listener = observed.CycleListener()
+    spark.streams.addListener(listener)
+    try:
+        stages = [{"posts": posts.filter(half)}, {"posts": posts.filter(~half)}]
+        see = lambda posts: observed.observed(posts, kept, kept & (F.col("lang") == "en"), PLATFORMS)
+        _two_runs(spark, stages, see, fresh_path(spark, "observed"))
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(listener)
+    return listener.drain(spark).groupBy("platform").agg(*[F.sum(c).alias(c) for c in observed.COUNTS])
+
+
+@query(
+    "compacted_day",
+    """SELECT post_id, platform, label FROM scored_posts
+       WHERE label = 'negative' AND hour(created_at) * 60 + minute(created_at) BETWEEN 540 AND 719""",
+    ("posts", "scored_posts"),
+)
+def compacted_day(spark: SparkSession, sf: str) -> DataFrame:
+    """Three batches of a day's results, folded, and read for one label and a span of the day."""
+    store = Store(fresh_path(spark, "store"), "batches")
+    results = d.scored_posts(spark, sf)
+    for batch in range(3):
+        insert_results(results.filter(F.pmod(F.crc32("post_id"), F.lit(3)) == batch), store, batch, d.AS_OF)
+    day = d.AS_OF[:10]
+    upkeep.fold_day(spark, store, "sentiment_results", day, rows_per_file=50_000)
+    found = upkeep.read_folded(spark, store, "sentiment_results", day, minutes=(540, 719), label="negative")
+    return found.select("post_id", "platform", "sentiment.label")
+
+
 _CAPS = {"twitter": 2, "reddit": 1, "youtube": 3}
 _FILES = 6
 

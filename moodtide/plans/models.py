@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import evaluation as ev, ranking, training
+from ..operators import evaluation as ev, ranking, scoring, training
+from ..schemas import SENTIMENT
 from ..session import fresh_path
 from . import derived as d
 from .derived import sql_hash
@@ -167,6 +168,50 @@ def train_history(spark: SparkSession, sf: str) -> DataFrame:
     return ev.train_history(d.training_log(spark, sf))
 
 
+@query(
+    "train_lr_vocabulary",
+    f"""SELECT term FROM terms WHERE doc_id IN (SELECT doc_id FROM labelled_texts WHERE {sql_hash('doc_id')} % 100 >= 20)
+        GROUP BY term ORDER BY count(*) DESC, term LIMIT 5000""",
+    ("gold", "labelled_texts", "terms"),
+)
+def train_lr_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    """The terms that the trained model weighs."""
+    return spark.createDataFrame([(term,) for term in _model(spark, sf).stages[0].vocabulary], "term string")
+
+
+def _known_first(spark: SparkSession, sf: str):
+    """A scorer that knows the label of the texts a model has been run on, and of no other."""
+    known = d.gold(spark, sf).select(F.col("doc_id").cast("string").alias("_id"), "yhat")
+    nothing = F.lit(None).cast("double")
+
+    def scorer(posts: DataFrame) -> DataFrame:
+        found = posts.join(known, F.col("id") == F.col("_id"), "left")
+        label, sure = d.code_label(F.col("yhat")), F.when(F.col("yhat").isNotNull(), 1.0)
+        fields = {"label": label, "polarity": nothing, "subjectivity": nothing, "confidence": sure}
+        parts = [value.alias(name) for name, value in fields.items()]
+        none = F.lit(None).cast(SENTIMENT["probabilities"].dataType).alias("probabilities")
+        return found.withColumn("sentiment", F.struct(*parts, none)).select(*posts.columns, "sentiment")
+
+    return scorer
+
+
+@query(
+    "score_with_fallback",
+    """SELECT id AS post_id, platform, coalesce(g.label, CASE WHEN p > 0.1 THEN 'positive' WHEN p < -0.1 THEN 'negative' ELSE 'neutral' END) AS label,
+              g.label IS NULL AS by_lexicon
+       FROM posts LEFT JOIN (SELECT doc_id, CASE yhat WHEN 0 THEN 'negative' WHEN 1 THEN 'neutral' ELSE 'positive' END AS label FROM gold) g USING (doc_id)
+       LEFT JOIN (SELECT doc_id, sum(polarity_points) / count(*) / 100 AS p FROM said JOIN lexicon USING (token) GROUP BY doc_id) USING (doc_id)""",
+    ("posts", "gold", "said", "lexicon"),
+)
+def score_with_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """The model's label where there is one, else the lexicon's."""
+    posts = d.long_posts(spark, sf).select("id", "platform", "text", "created_at")
+    scorer = scoring.with_fallback(_known_first(spark, sf), scoring.lexicon_scorer(d.corpus_lexicon(spark, sf)))
+    return scoring.score_posts(posts, scorer, d.AS_OF).select(
+        "post_id", "platform", "sentiment.label", F.col("sentiment.polarity").isNotNull().alias("by_lexicon")
+    )
+
+
 @query("train_lr")
 def train_lr(spark: SparkSession, sf: str) -> DataFrame:
     """One row per vocabulary term with its weight for every class."""
