@@ -41,7 +41,7 @@ def completed(joined: DataFrame, results: DataFrame, posts: DataFrame) -> DataFr
     ``results`` and ``posts`` are the stored tables, posts with their text. Results that the stream dropped as too late are among the stored
     ones and come out as well; only what was not joined in time is joined again.
     """
-    in_time = joined.filter("matched").drop("matched")
+    in_time = joined.filter("matched").select(*results.columns, *_FROM_POST)
     keys = ["platform", "post_id", "processed_at"]
     times = F.col("processed_at").cast("timestamp")
     done = in_time.select(*keys).distinct()
