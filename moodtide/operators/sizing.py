@@ -14,6 +14,8 @@ from .. import settings
 
 #: Parts that rows with a null key are spread over.
 NULL_PARTS = 4096
+#: Rows of a hot key in the sample that looks for such keys.
+SAMPLED = 10_000
 
 
 def small_table(spark: SparkSession, rows: Sequence[tuple], columns: Sequence[str]) -> DataFrame:
@@ -57,12 +59,16 @@ def salted_lookup(
     as many parts as it has times that number, and only its lookup row is repeated for them. There can be no
     more than ``rows / hot_rows`` such keys (a million in 10^12 rows), which bounds the broadcast. Rows with a
     null key match nothing and are spread by their other columns.
-    ``sizes`` gives keys and their ``count`` where the caller has them already.
+    ``sizes`` gives keys and their ``count`` where the caller has them already; otherwise keys are counted in a
+    sample in which such a key has about ``SAMPLED`` rows. The sample only chooses how keys are spread, never which
+    rows come out.
     """
-    counted = df.groupBy(*keys).count() if sizes is None else sizes
     above = settings.HOT_KEY_ROWS if hot_rows is None else hot_rows
-    parts = F.ceil(F.col("count") / above).cast("int").alias("_parts")
-    hot = F.broadcast(counted.filter(F.col("count") > above).select(*keys, parts))
+    share = min(1.0, SAMPLED / max(above, 1)) if sizes is None else 1.0
+    seen = df if share == 1.0 else df.sample(share, seed=7)
+    counted = seen.groupBy(*keys).count() if sizes is None else sizes
+    parts = F.ceil(F.col("count") / share / above).cast("int").alias("_parts")
+    hot = F.broadcast(counted.filter(F.col("count") > above * share).select(*keys, parts))
     others = [c for c in df.columns if c not in keys] if spread_on is None else spread_on
     lost = reduce(or_, [F.col(k).isNull() for k in keys])
     of = F.when(lost, F.lit(NULL_PARTS)).otherwise(F.coalesce("_parts", F.lit(1)))

@@ -7,14 +7,15 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import timing
+from ..schemas import TWEET_JSON
 from ..session import fresh_path
 from ..settings import PLATFORMS
 from ..sinks import upkeep
 from ..sinks.tables import Store, insert_results
-from ..sources import polling
+from ..sources import landed, polling
 from ..streaming import enriched, errors as er, flows, observed
 from . import derived as d
-from .derived import sql_iso
+from .derived import sql_iso, sql_phrase
 from .registry import query
 
 MIDDLE = "2024-01-15 12:00:00"
@@ -159,6 +160,46 @@ def compacted_day(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("post_id", "platform", "sentiment.label")
 
 
+@query(
+    "stream_landed_tweets",
+    f"""SELECT id, text, CAST(doc_id % 97 AS VARCHAR) AS author_id, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE likes END AS likes, retweets
+        FROM posts WHERE lang = 'en' AND ({' OR '.join(f"contains({sql_phrase('text')}, ' {word} ')" for word in d.KEYWORDS)})""",
+    ("posts",),
+)
+def stream_landed_tweets(spark: SparkSession, sf: str) -> DataFrame:
+    """Tweets landed as JSON lines, read and normalised as a stream."""
+    landing, out = fresh_path(spark, "landed"), fresh_path(spark, "tweets")
+    rows = d.long_posts(spark, sf).select(
+        F.col("doc_id").alias("id"),
+        "text",
+        F.concat(timing.to_iso(F.col("created_at")), F.lit("Z")).alias("created_at"),
+        (F.col("doc_id") % 97).alias("author_id"),
+        "lang",
+        F.struct(F.when(F.col("doc_id") % 4 != 0, F.col("likes")).alias("like_count"), F.col("retweets").alias("retweet_count")).alias("public_metrics"),
+    )
+    rows.select(F.to_json(F.struct("*")).alias("value")).write.text(landing)
+    tweets = landed.normalize_tweets(landed.stream_landed(spark, landing, TWEET_JSON), F.lit(d.AS_OF), d.KEYWORDS)
+    flows.run_once(tweets, flows.append_batches(out), fresh_path(spark, "checkpoint"))
+    return spark.read.parquet(out).select("id", "text", "author_id", "likes", "retweets")
+
+
+@query("stream_stopped", "SELECT id, platform FROM posts", ("posts",))
+def stream_stopped(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream on its interval that is stopped once it has read what is there, and started again when more has come."""
+    landing, out, checkpoint = fresh_path(spark, "landing"), fresh_path(spark, "stopped"), fresh_path(spark, "checkpoint")
+    posts = d.posts(spark, sf).select("id", "platform", "collected_at")
+    half = F.col("collected_at") < F.lit(MIDDLE).cast("timestamp_ntz")
+    for number, rows in enumerate((posts.filter(half), posts.filter(~half))):
+        rows.write.parquet(f"{landing}/{number}")
+        stream = flows.parquet_stream(spark, f"{landing}/*", posts.schema)
+        running = flows.start(stream, flows.append_batches(out), checkpoint, interval_seconds=1)
+        try:
+            running.processAllAvailable()
+        finally:
+            running.stop()
+    return spark.read.parquet(out).select("id", "platform")
+
+
 _CAPS = {"twitter": 2, "reddit": 1, "youtube": 3}
 _FILES = 6
 

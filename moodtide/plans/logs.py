@@ -52,6 +52,20 @@ def error_summary(spark: SparkSession, sf: str) -> DataFrame:
     return recent.withColumn("last_occurrence", timing.to_iso(F.col("last_occurrence")))
 
 
+@query(
+    "error_summary_since",
+    f"""SELECT error_key, count(*) AS count, {sql_iso('max(timestamp)')} AS last_occurrence,
+               arg_max(message, timestamp) AS error_message
+        FROM errors WHERE timestamp >= TIMESTAMP '2024-01-30 12:00:00'
+        GROUP BY error_key HAVING max(timestamp) > TIMESTAMP '2024-01-30 23:30:00' - INTERVAL 1 HOUR""",
+    ("errors",),
+)
+def error_summary_since(spark: SparkSession, sf: str) -> DataFrame:
+    """Recent errors with their counts since the counters were last reset."""
+    recent = oplog.error_summary(d.errors(spark, sf), "2024-01-30 23:30:00", since="2024-01-30 12:00:00")
+    return recent.withColumn("last_occurrence", timing.to_iso(F.col("last_occurrence")))
+
+
 @query(
     "retry_decision",
     """SELECT event_id, error_key, error_count,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.cleaning import clean_posts, dedup_posts, text_fallback
@@ -20,7 +21,8 @@ class Cycle:
     """What a micro-batch needs to know; call it from ``foreachBatch``.
 
     Every table is written before it is read for the next step, so no step recomputes an
-    earlier one, nothing is held in executor memory between them, and a replayed batch
+    earlier one, nothing is held in executor memory between them (the incoming rows stand on
+    disk until they are written), and a replayed batch
     replaces what its own writer wrote (see ``Store``). ``as_of`` fixes the processing time for repeatable runs.
     """
 
@@ -30,10 +32,14 @@ class Cycle:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        good, bad = split_quarantine(batch, self._bad(batch))
         own = f"writer={self.store.writer_in(spark)}/batch={batch_id}"
-        bad.write.mode("overwrite").parquet(f"{self.store.path('quarantine')}/{own}")
-        insert_raw_posts(good, self.store, batch_id)
+        batch.persist(StorageLevel.DISK_ONLY)  # read from its source once for both writes
+        try:
+            good, bad = split_quarantine(batch, self._bad(batch))
+            bad.write.mode("overwrite").parquet(f"{self.store.path('quarantine')}/{own}")
+            insert_raw_posts(good, self.store, batch_id)
+        finally:
+            batch.unpersist()
 
         raw = self.store.read_batch(spark, "raw_posts", batch_id)
         kept = dedup_posts(clean_posts(text_fallback(raw)))
