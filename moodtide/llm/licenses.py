@@ -106,8 +106,8 @@ def matches(files: DataFrame, threshold: float = THRESHOLD, templates: Mapping[s
     """path, license, score: the best template for each path with a line or paragraph at or above the threshold.
 
     Whole texts are searched. Only lines and paragraphs with an anchor term are taken apart into terms; that
-    loses none. Ties go to the first identifier; reserved rights count only where nothing else matches. Null and empty texts match nothing; rows repeated under one
-    path count as one file with all their lines.
+    loses none. Ties go to the first identifier; reserved rights count only where nothing else
+    matches. Null and empty texts match nothing; rows repeated under one path count as one file with all their lines.
     """
     spark, weights = files.sparkSession, Weights(templates)
     anchors = "|".join(map(re.escape, weights.anchors(threshold)))
@@ -159,9 +159,11 @@ def scanned(files: DataFrame, threshold: float = THRESHOLD, templates: Mapping[s
     A file without a licence of its own takes that of the nearest ancestor directory whose licence file matched
     (the best scoring one, then the first by path); ``license`` is null if there is none. The join is by
     directory: files are first folded to their directories, and each directory looks up its ancestors.
-    Files with a null path inherit nothing. Columns of the added names are replaced.
+    A file with a null path keeps the licence of its own text and inherits nothing. Columns of the added names are replaced.
     """
-    found = written(matches(files, threshold, templates), "license-matches")
+    unplaced = F.concat(F.lit("\0"), F.md5(plain_text()))  # no path: the text stands for itself
+    keyed = files.withColumn("__file", F.coalesce("path", unplaced))
+    found = written(matches(keyed.select(F.col("__file").alias("path"), "text"), threshold, templates), "license-matches")
     name = F.regexp_extract("path", r"[^/]*$", 0)
     holders = (
         found.filter(name.rlike(LICENSE_FILE))
@@ -177,18 +179,30 @@ def scanned(files: DataFrame, threshold: float = THRESHOLD, templates: Mapping[s
         .agg(F.min(F.struct("steps", "above", "inherited_license")).alias("n"))
         .select("folder", F.col("n.above").alias("inherited_from"), F.col("n.inherited_license").alias("inherited_license"))
     )
-    own = found.select("path", F.col("license").alias("own_license"), F.col("score").alias("own_score"))
+    own = found.select(F.col("path").alias("__file"), F.col("license").alias("own_license"), F.col("score").alias("own_score"))
     added = ("own_license", "own_score", "inherited_from", "inherited_license", "license")
-    kept = files.select(*(c for c in files.columns if c not in added)).withColumn("__folder", directory(F.col("path")))
+    kept = keyed.select("__file", *(c for c in files.columns if c not in added)).withColumn("__folder", directory(F.col("path")))
     nearest = nearest.withColumnRenamed("folder", "__folder")
-    joined = kept.join(own, "path", "left").join(nearest, "__folder", "left").drop("__folder")
+    joined = kept.join(own, "__file", "left").join(nearest, "__folder", "left").drop("__folder", "__file")
     return joined.withColumn("license", F.coalesce("own_license", "inherited_license"))
 
 
+#: Documents in a lowest folder of the tree, and lowest folders in a middle one.
+IN_FOLDER = 100
+IN_MIDDLE = 20
+
+
 def as_files(documents: DataFrame) -> DataFrame:
-    """The documents as files of a tree by source and id, every tenth named LICENSE: doc_id, path, text."""
-    number = F.col("doc_id").cast("string")
-    name = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("LICENSE."), number)).otherwise(F.concat(number, F.lit(".txt")))
-    folder = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 2000).cast("string"),
-                         F.floor(F.col("doc_id") / 100).cast("string"))
-    return documents.select("doc_id", F.concat_ws("/", folder, name).alias("path"), "text")
+    """The documents as files of a tree by source and id: doc_id, path, text.
+
+    Every tenth is a licence file. These stand at all depths, one in four each at the top of the source, in a middle
+    folder and in two of the lowest; all other files are in the lowest folders. A null id has a null path.
+    """
+    id_, number = F.col("doc_id"), F.col("doc_id").cast("string")
+    holds = id_ % 10 == 0
+    depth = F.when(holds, F.pmod(F.floor(id_ / 10), F.lit(4))).otherwise(3)
+    name = F.when(holds, F.concat(F.lit("LICENSE."), number)).otherwise(F.concat(number, F.lit(".txt")))
+    middle = F.when(depth > 0, F.floor(id_ / (IN_FOLDER * IN_MIDDLE)).cast("string"))
+    lowest = F.when(depth > 1, F.floor(id_ / IN_FOLDER).cast("string"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), middle, lowest, name)
+    return documents.select("doc_id", F.when(id_.isNotNull(), path).alias("path"), "text")

@@ -27,7 +27,8 @@ def test_own_and_inherited(spark):
     assert got["a/b/LICENSE.txt"][:2] == (None, "Apache-2.0")
     assert got["a/c/d/e/y.py"] == (None, "GPL-3.0", "a/c", "GPL-3.0", "kept")
     assert got["a/c/own.py"][:2] == ("MIT", "GPL-3.0") and got["a/c/own.py"][3] == "MIT"
-    assert got["z/none.py"][3] is None and got["top.py"][3] is None and got[None][3] is None
+    assert got["z/none.py"][3] is None and got["top.py"][3] is None
+    assert got[None] == ("MIT", None, None, "MIT", "kept")
     assert len(got) == len(FILES)
 
 
@@ -43,6 +44,24 @@ def test_reserved_rights_are_a_match_and_inherit_nothing(spark):
     assert got["d/both.py"].license == "BSD-3-Clause"
 
 
+def test_rows_without_a_path_do_not_share_a_licence(spark):
+    rows = [(None, "Released under the MIT License."), (None, "Words only."), (None, "Released under the MIT License."), (None, None)]
+    got = licenses.scanned(spark.createDataFrame(rows, "path string, text string")).collect()
+    assert sorted((r.text or "", r.license) for r in got) == [("", None), (rows[0][1], "MIT"), (rows[0][1], "MIT"), (rows[1][1], None)]
+
+
+def test_files_of_the_tree_inherit_from_every_level(spark):
+    """All levels by plain climbing; ids are set so that each level is the nearest for some file."""
+    texts = {0: "Licensed under CC BY 4.0.", 2010: "Released under the MIT License.", 2140: "Licensed under the BSD 3-Clause License."}
+    rows = [(i, texts.get(i, "words"), "en", "s") for i in (0, 7, 2010, 2013, 2140, 2141, 4001)] + [(None, "words", "en", "s")]
+    got = {r.doc_id: r for r in licenses.scanned(licenses.as_files(frame(spark, rows))).collect()}
+    assert [got[i].path for i in (0, 2010, 2140, 2141)] == ["s/LICENSE.0", "s/1/LICENSE.2010", "s/1/21/LICENSE.2140", "s/1/21/2141.txt"]
+    assert [(got[i].license, got[i].inherited_from) for i in (7, 2013, 2141, 4001)] == [
+        ("CC-BY-4.0", "s"), ("MIT", "s/1"), ("BSD-3-Clause", "s/1/21"), ("CC-BY-4.0", "s")
+    ]
+    assert got[None].path is None and got[None].license is None
+
+
 def test_anchors_lose_no_match(spark, sf):
     """Every line at the threshold, scored without anchors, is found."""
     weights = licenses.Weights()
