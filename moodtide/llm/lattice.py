@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import id_remainder, plain_text, slices, written
 from .pieces import MARK, default_model
 
-#: Words the scan knows by heart, and the longest of them in bytes: bounds of what is sent to every executor.
+#: Words the scan knows by heart, and bytes up to which a word is its own key (a longer one travels as a digest):
+#: together they bound what is sent to every executor, whatever the words are.
 FREQUENT = 65_536
 FREQUENT_BYTES = 64
 #: Rounds of expected counts, and the weight that the vocabulary's own scores keep in them (as a share of the pieces).
@@ -137,12 +139,13 @@ class Lattice:
         if start < order.size:
             yield order[start:]
 
-    def log_weights(self, words: list[bytes], weights: np.ndarray) -> np.ndarray:
-        """Natural log of the summed weight of all segmentations of each word."""
-        out = np.zeros(len(words))
+    def log_weights(self, words: list[bytes], *weights: np.ndarray) -> np.ndarray:
+        """Natural log of the summed weight of all segmentations of each word, a row for each set of weights."""
+        out = np.zeros((len(weights), len(words)))
         for part in self._in_parts(words):
             lengths, found, _ = self.edges([words[i] for i in part])
-            out[part] = self._sums(lengths, found, weights, False)[np.arange(part.size), lengths]
+            for k, each in enumerate(weights):
+                out[k, part] = self._sums(lengths, found, each, False)[np.arange(part.size), lengths]
         return out
 
     def expected(self, words: list[bytes], counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -165,6 +168,17 @@ def lattice(path: str) -> Lattice:
     return Lattice(path)
 
 
+def _key(word: bytes) -> bytes:
+    """What a word is known by; no word holds a space, so digests meet no word."""
+    return word if len(word) <= FREQUENT_BYTES else b"  " + hashlib.sha256(word).digest()
+
+
+def key_of(word: Column) -> Column:
+    """``_key`` of a binary column."""
+    digest = F.concat(F.lit(b"  "), F.unhex(F.sha2(word, 256)))
+    return F.when(F.length(word) <= FREQUENT_BYTES, word).otherwise(digest)
+
+
 def _words(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
@@ -196,6 +210,12 @@ def counted(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     return texts.mapInPandas(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def vocabulary_weights(path: str) -> np.ndarray:
+    """Natural log weights of the pieces by the vocabulary's own scores; they sum to one."""
+    start = lattice(path).initial
+    return start - start.max() - np.log(np.exp(start - start.max()).sum())
+
+
 def trained(words: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
     """Natural log weights of the pieces, learnt from the different words of the training documents.
 
@@ -204,10 +224,8 @@ def trained(words: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
     the driver has the size of the vocabulary. They sum to one, which makes the marginals of all words (a piece
     with a space, then pieces without) sum to one.
     """
-    start = lattice(path).initial
-    base = np.exp(start - start.max())
-    base /= base.sum()
-    weights = np.log(base)
+    weights = vocabulary_weights(path)
+    base = np.exp(weights)
     for _ in range(rounds):
         def run(batches: Iterator[pd.DataFrame], weights: np.ndarray = weights) -> Iterator[pd.DataFrame]:
             own = lattice(path)
@@ -220,7 +238,7 @@ def trained(words: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
             yield pd.DataFrame({"piece": at, "n": total[at]})
 
         sums = words.filter("c > 0").mapInPandas(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
-        found = np.zeros(start.size)
+        found = np.zeros(base.size)
         found[sums["piece"].to_numpy(int)] = sums["n"].to_numpy()
         found += (PRIOR * found.sum() + 1) * base
         weights = np.log(found / found.sum())
@@ -228,14 +246,15 @@ def trained(words: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
 
 
 def scored(docs: DataFrame, path: str | None = None, modulus: int = 7, held: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row (null text: empty).
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and lattice_score of every row (null text: empty).
 
     Documents whose crc32(id as text) mod ``modulus`` is ``held`` teach nothing (a null id teaches). ``score`` is the
     log10 probability of the text's words and its end: no piece reaches across a space, so it is the sum of the
     words' marginals over all segmentations. The units of a word's lattice are the vocabulary's pieces and, if the
     training documents hold the word, the word itself: its count less a discount, over all tokens. What the
     discounts set free (estimated from words seen once and twice) is the weight of the piece lattice. Any byte
-    can be spelt, so every text has a probability; the probabilities of all texts sum to one.
+    can be spelt, so every text has a probability; the probabilities of all texts sum to one. ``lattice_score`` is the
+    log10 marginal of the words by the vocabulary's own scores alone: nothing of it is learnt, and an empty text has 0.
     Words are counted and put through the lattice once each, wherever they stand. The frequent ones (a bounded
     list) are then known to the scan of the documents; only the others travel, once per document and word, to
     their scores, so that no word is a hot key. Repeated rows give repeated rows.
@@ -261,15 +280,17 @@ def scored(docs: DataFrame, path: str | None = None, modulus: int = 7, held: int
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = lattice(path)
         for batch in batches:
-            pieces = own.log_weights([b" " + w for w in batch["word"]], shared.value) + spelt
+            learnt, given = own.log_weights([b" " + w for w in batch["word"]], shared.value, vocabulary_weights(path))
+            pieces = learnt + spelt
             with np.errstate(divide="ignore"):
                 word = np.log(np.maximum(batch["c"].to_numpy(np.float64) - off, 0))
             marginal = (np.logaddexp(word, pieces) - whole) / np.log(10)
-            yield pd.DataFrame({"word": batch["word"], "c": batch["c"], "own": marginal})
+            yield pd.DataFrame({"word": batch["word"], "c": batch["c"], "own": marginal, "given": given / np.log(10)})
 
-    rated = written(counts.mapInPandas(rate, "word binary, c long, own double"), "lm-words")
-    top = rated.filter((F.length("word") <= FREQUENT_BYTES) & (F.col("c") > 1)).orderBy(F.desc("c"), "word").limit(FREQUENT).toPandas()
-    known = {bytes(w): (c, float(np.log10(c + 1)), s) for w, c, s in zip(top["word"], top["c"], top["own"])}
+    rated = written(counts.mapInPandas(rate, "word binary, c long, own double, given double"), "lm-words")
+    rated = rated.withColumn("word", key_of(F.col("word")))
+    top = rated.filter(F.col("c") > 1).orderBy(F.desc("c"), "word").limit(FREQUENT).toPandas()
+    known = {bytes(w): (float(np.log10(c + 1)), s, g) for w, c, s, g in zip(top["word"], top["c"], top["own"], top["given"])}
     known = spark.sparkContext.broadcast(known)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -278,27 +299,29 @@ def scored(docs: DataFrame, path: str | None = None, modulus: int = 7, held: int
             rows, heads = [], []
             for key, id_, text in zip(batch["_key"].tolist(), batch["doc_id"], batch["_text"]):
                 found = Counter(_words(text))
-                tokens, seen, base, own = 0, 0, 0.0, 0.0
+                tokens, seen, base, own, given = 0, 0, 0.0, 0.0, 0.0
                 for word, times in found.items():
                     tokens += times
-                    rate_ = often.get(word)
+                    known_by = _key(word)
+                    rate_ = often.get(known_by)
                     if rate_ is None:
-                        rows.append((key, word, times))
+                        rows.append((key, known_by, times))
                     else:
                         seen += times
-                        base += times * rate_[1]
-                        own += times * rate_[2]
-                heads.append((key, id_, tokens, seen, base, own))
-            heads = pd.DataFrame(heads, columns=["_key", "doc_id", "n", "seen", "base", "own"])
-            heads["word"] = [b" %d" % key for key in heads["_key"]]  # no word holds a space: it meets nothing in the join
+                        base += times * rate_[0]
+                        own += times * rate_[1]
+                        given += times * rate_[2]
+                heads.append((key, id_, tokens, seen, base, own, given))
+            heads = pd.DataFrame(heads, columns=["_key", "doc_id", "n", "seen", "base", "own", "given"])
+            heads["word"] = [b" %d" % key for key in heads["_key"]]  # one space and digits: neither a word nor a digest, it meets nothing in the join
             rare = pd.DataFrame(rows, columns=["_key", "word", "times"])
-            yield pd.concat([heads, rare])[["_key", "doc_id", "word", "times", "n", "seen", "base", "own"]]
+            yield pd.concat([heads, rare])[["_key", "doc_id", "word", "times", "n", "seen", "base", "own", "given"]]
 
     kind = dict(docs.dtypes)["doc_id"]
     numbered = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.monotonically_increasing_id().alias("_key"), plain_text().alias("_text"))
-    schema = "_key long, doc_id string, word binary, times double, n double, seen double, base double, own double"
+    schema = "_key long, doc_id string, word binary, times double, n double, seen double, base double, own double, given double"
     parts = numbered.mapInPandas(read, schema)
-    rare = rated.select("word", "c", F.col("own").alias("marginal"))
+    rare = rated.select("word", "c", F.col("own").alias("marginal"), F.col("given").alias("spelling"))
     of_word = parts.join(rare, "word", "left")
     times = F.coalesce("times", F.lit(0.0))
     sums = of_word.groupBy("_key").agg(
@@ -307,6 +330,7 @@ def scored(docs: DataFrame, path: str | None = None, modulus: int = 7, held: int
         (F.sum("seen") + F.sum(F.when(F.col("c") > 0, times).otherwise(F.lit(0.0)))).alias("seen"),
         (F.sum("base") + F.sum(times * F.coalesce(F.log10(F.col("c") + 1), F.lit(0.0)))).alias("base"),
         (F.sum("own") + F.sum(times * F.coalesce("marginal", F.lit(0.0)))).alias("own"),
+        (F.sum("given") + F.sum(times * F.coalesce("spelling", F.lit(0.0)))).alias("given"),
     )
     tokens = F.col("n") + 1
     return sums.select(
@@ -317,4 +341,5 @@ def scored(docs: DataFrame, path: str | None = None, modulus: int = 7, held: int
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + float(np.log10(ends + 1)) - tokens * under).alias("base_score"),
         (F.col("own") + end).alias("score"),
+        F.col("given").alias("lattice_score"),
     )

@@ -1,5 +1,6 @@
 """The lattice against enumeration of all segmentations, and the query's counts against plain Python."""
 
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -43,7 +44,7 @@ def test_marginals_and_expected_counts_are_those_of_all_segmentations():
     ids = vocabulary()
     weights = np.log(np.exp(OWN.initial) / np.exp(OWN.initial).sum())
     words = [b" the", b" ouble", b" x", " été".encode(), b" ", b" aaaaaa", b" thlyou"]
-    got = OWN.log_weights(words, weights)
+    (got,) = OWN.log_weights(words, weights)
     total = np.zeros(OWN.size)
     for word, value in zip(words, got):
         each = [(math.fsum(weights[s]), s) for s in ways(word, ids)]
@@ -55,6 +56,40 @@ def test_marginals_and_expected_counts_are_those_of_all_segmentations():
     assert OWN.expected(words, np.full(len(words), 2.0), weights) == pytest.approx(total)
 
 
+def test_scores_of_whole_documents_are_sums_over_all_segmentations(spark):
+    """By enumeration: pieces alone with the vocabulary's scores; pieces and known words with what was learnt."""
+    ids = vocabulary()
+    texts = ["the cat", "The ox", "a b a", "", "cats ox the", "zq", "é the"]
+    docs = frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    learners = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = Counter(w for t in learners for w in t.lower().encode().split())
+    given, learnt = lattice.vocabulary_weights(PATH), lattice.trained(lattice.counted(docs), PATH)
+    once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+    off = once / (once + 2 * twice)
+    spelt, whole = off * len(counts) + 1, sum(counts.values()) + len(learners) + 2
+    for r in lattice.scored(docs).collect():
+        words = texts[r.doc_id].lower().encode().split()
+        spelling = b"".join(b" " + w for w in words)
+        assert 10**r.lattice_score == pytest.approx(math.fsum(math.exp(math.fsum(given[s])) for s in ways(spelling, ids)))
+        units = [
+            [counts[w] - off if w in counts else 0.0, *(spelt * math.exp(math.fsum(learnt[s])) for s in ways(b" " + w, ids))] for w in words
+        ]
+        each = [math.prod(way) for way in itertools.product(*units)]
+        assert 10**r.score == pytest.approx(math.fsum(each) / whole ** len(words) * (len(learners) + 1) / whole)
+
+
+def test_long_words_are_known_by_their_digests(spark):
+    """A long line that stands in every document is frequent like any word, and scores as it does when it travels."""
+    line, other = "=" * 5_000, "-" * 64
+    docs = frame(spark, [(i, f"{line} {other} word{i} {other}x", "en", "s") for i in range(30)])
+    whole = sorted(tuple(r) for r in lattice.scored(docs).collect())
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(lattice, "FREQUENT", 1)
+        assert sorted(tuple(r) for r in lattice.scored(docs).collect()) == [pytest.approx(r) for r in whole]
+    words = spark.createDataFrame([(w,) for w in (b"a", b"a" * 64, b"a" * 65, b"")], "w binary")
+    assert all(bytes(r.k) == lattice._key(bytes(r.w)) for r in words.select("w", lattice.key_of(words["w"]).alias("k")).collect())
+
+
 def test_a_long_word_has_a_finite_weight():
     assert np.isfinite(OWN.log_weights([b" " + b"ab" * 4000, b" q"], OWN.initial)).all()
 
