@@ -21,9 +21,10 @@ MINIMA = 8
 EXACT = 40
 #: Bands in which close relatives agree at once, in the order tried; most rows of an id list sent to every executor.
 CLOSE = (8, 4, 2)
-#: Texts of a band up to which they are paired, and texts in a block beyond.
+#: Texts of a band up to which they are paired, texts in a block beyond, and blocks in a row of a grid cell.
 FEW = 8
 BLOCK = 48
+GRID = 4
 SENT_ROWS = 500_000
 #: Bytes of hashes that a worker remembers between comparisons.
 PREPARED = 32 << 20
@@ -325,39 +326,57 @@ def _block_links(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFra
     """Links (a, b) between the classes of crowded bands, found block against block.
 
     The texts of a band are dealt into blocks of about ``BLOCK``, a large class into blocks of its own; blocks of
-    one class are not held against each other. A task gets two blocks, compares all texts of different classes
+    one class are not held against each other. The pairs of blocks of a band form a grid, cut into cells of about
+    ``GRID`` by ``GRID`` blocks: each cell is a group of its own, so a band is spread over as many tasks as it has cells,
+    and a block is copied once per row of cells, not once per block. A cell compares its texts of different classes
     and gives one link for each two classes that have one: no row is made for a pair that is none.
     """
+    cells = _cells(rows, texts)
+
+    def run(cell: pd.DataFrame) -> pd.DataFrame:
+        try:
+            blocks = list(cell.itertuples(index=False))
+            across = [(x, y) for x in blocks for y in blocks if _meet(x, y)]
+            found = [
+                link
+                for x, y in across
+                for link in links_between((x.nodes, x.labels, x.texts), (y.nodes, y.labels, y.texts), threshold)
+            ]
+            return pd.DataFrame(found, columns=["a", "b"])
+        finally:
+            _prepared.forget()
+
+    return cells.groupBy("key", "row", "column").applyInPandas(run, "a binary, b binary").distinct()
+
+
+def _meet(x, y) -> bool:
+    """Whether two blocks of a cell are held against each other there: the first of its row, the second of its column."""
+    if (x.group, y.group) != (x.row, x.column) or (x.home is not None and x.home == y.home):
+        return False
+    return x.row != x.column or x.block <= y.block
+
+
+def _cells(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """The blocks of crowded bands (nodes, labels, texts), each once per cell of the grid that it has a part in."""
     own = F.when(F.col("n") >= BLOCK, F.col("label"))
     parts = F.ceil(F.when(own.isNotNull(), F.col("n")).otherwise(F.col("size")) / BLOCK)
     part = F.pmod(F.xxhash64(F.when(own.isNotNull(), F.col("node")).otherwise(F.col("label"))), parts)
+    side = F.ceil(F.col("size") / (BLOCK * GRID)).cast("int")
     blocks = (
-        rows.select("key", "node", "label", own.alias("home"), part.alias("part"))
+        rows.select("key", "node", "label", own.alias("home"), part.alias("part"), side.alias("side"))
         .join(texts, "node")
         .groupBy("key", "home", "part")
-        .agg(F.collect_list("node").alias("nodes"), F.collect_list("label").alias("labels"), F.collect_list("text").alias("texts"))
+        .agg(
+            F.first("side").alias("side"),
+            F.collect_list("node").alias("nodes"), F.collect_list("label").alias("labels"), F.collect_list("text").alias("texts"),
+        )
         .withColumn("block", F.xxhash64("home", "part"))
+        .withColumn("group", F.pmod("block", "side").cast("int"))
     )
-    blocks = written(blocks, "near-blocks")
-    named = lambda side: blocks.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("block", "home", "nodes", "labels", "texts")))
-    apart = (F.col("home_a").isNull() | F.col("home_b").isNull() | (F.col("home_a") != F.col("home_b")))
-    both = named("a").join(named("b"), "key").filter((F.col("block_a") <= F.col("block_b")) & apart)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        try:
-            for batch in batches:
-                found = [
-                    link
-                    for row in batch.itertuples(index=False)
-                    for link in links_between((row.nodes_a, row.labels_a, row.texts_a), (row.nodes_b, row.labels_b, row.texts_b), threshold)
-                ]
-                if found:
-                    yield pd.DataFrame(found, columns=["a", "b"])
-        finally:
-            _prepared.forget()
-
-    columns = [f"{c}_{side}" for side in "ab" for c in ("nodes", "labels", "texts")]
-    return both.select(*columns).mapInPandas(run, "a binary, b binary").distinct()
+    blocks = written(blocks.drop("part"), "near-blocks")
+    spread = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("side") - 1)))
+    placed = spread.withColumns({"row": F.least("group", "other"), "column": F.greatest("group", "other")})
+    return placed.drop("other", "side")
 
 
 def links_between(one: tuple, two: tuple, threshold: float) -> Iterator[tuple[bytes, bytes]]:

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from moodtide.llm import ordermin
 from moodtide.llm.common import table
@@ -131,3 +132,36 @@ def test_short_near_copies_are_classed_exactly(spark):
     rows += [(len(rows) + k, f"{common} " + " ".join(f"x{rng.randrange(10**6)}" for _ in range(k % 9))) for k in range(60)]
     got = {r.doc_id: r.class_id for r in ordermin.classed(frame(spark, [(i, t, "en", "s") for i, t in rows])).collect()}
     assert got == plain_classes(rows)
+
+
+def crowded(spark):
+    """A band of many texts of different classes and one large class: the rows of the band, and its texts."""
+    base = "one two three four five six seven eight nine ten eleven twelve".split()
+    texts = [" ".join(f"{w}{i}" if k % 2 else w for k, w in enumerate(base)) for i in range(60)]
+    texts += [texts[i] + " more" for i in (3, 17, 44)] + [texts[20] + f" x{k}" for k in range(14)]
+    labels = [b"%03d" % (100 if i > 62 else i) for i in range(len(texts))]  # the last ones are one class already
+    sizes = {label: labels.count(label) for label in labels}
+    rows = [(7, b"%03d" % i, labels[i], sizes[labels[i]], len(texts)) for i in range(len(texts))]
+    schema = "key long, node binary, label binary, n long, size long"
+    return spark.createDataFrame(rows, schema), spark.createDataFrame([(r[1], t) for r, t in zip(rows, texts)], "node binary, text string"), texts, labels
+
+
+@pytest.mark.parametrize("block, grid", [(4, 2), (4, 1), (3, 7), (100, 4)])
+def test_cells_of_a_crowded_band_find_all_links(spark, monkeypatch, block, grid):
+    """Every pair of classes with linked texts is met, in cells that hold a bounded part of the band each."""
+    monkeypatch.setattr(ordermin, "BLOCK", block)
+    monkeypatch.setattr(ordermin, "GRID", grid)
+    rows, held, texts, labels = crowded(spark)
+    want = {
+        frozenset((labels[i], labels[j]))
+        for i, x in enumerate(texts)
+        for j, y in enumerate(texts[:i])
+        if labels[i] != labels[j] and plain_linked(x, y)
+    }
+    found = [(bytes(r.a), bytes(r.b)) for r in ordermin._block_links(rows, held, 0.8).collect()]
+    assert {frozenset((labels[int(a)], labels[int(b)])) for a, b in found} == want and len(want) > 3
+    cells = ordermin._cells(rows, held).groupBy("key", "row", "column").agg(F.sum(F.size("nodes")).alias("n")).collect()
+    side = -(-len(texts) // (block * grid))
+    assert len(cells) <= side * (side + 1) // 2
+    if side > 3:
+        assert max(r.n for r in cells) < len(texts) * 0.75
