@@ -17,8 +17,8 @@ SEPARATOR = 2
 BLOCK_TOKENS = 1 << 20
 #: Largest token file that is read, since a task holds a whole one; characters per written block, and blocks per written file.
 FILE_BYTES = 1 << 30
-WRITE_CHARS = 1 << 22
-FILE_BLOCKS = 2
+WRITE_CHARS = 1 << 19
+FILE_BLOCKS = 32
 #: Names of the writer's files: the task's number, the job's UUID, the counter of the task's files.
 PART_NAME = r"/part-(\d+)-[^/]*[.-]c(\d+)(?:\.[^/]*)?$"
 
