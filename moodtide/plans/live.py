@@ -23,7 +23,7 @@ MIDDLE = "2024-01-15 12:00:00"
 AFTERWARDS = "2024-03-01 00:00:00"
 
 
-def _two_runs(spark: SparkSession, stages: list[dict[str, DataFrame]], make, out: str) -> DataFrame:
+def _two_runs(spark: SparkSession, stages: list[dict[str, DataFrame]], make, out: str, keyed_state: bool = False) -> DataFrame:
     """Land each stage's frames, run the stream until all is read, stop it, and start it again for the next stage."""
     landing, checkpoint = fresh_path(spark, "landing"), fresh_path(spark, "checkpoint")
     for number, frames in enumerate(stages):
@@ -31,7 +31,7 @@ def _two_runs(spark: SparkSession, stages: list[dict[str, DataFrame]], make, out
         for name, frame in frames.items():
             frame.write.parquet(f"{landing}/{name}/{number}")
             streams[name] = flows.parquet_stream(spark, f"{landing}/{name}/*", frame.schema)
-        flows.run_once(make(**streams), flows.append_batches(out), checkpoint)
+        flows.run_once(make(**streams), flows.append_batches(out), checkpoint, keyed_state=keyed_state)
     return spark.read.parquet(out)
 
 
@@ -57,7 +57,7 @@ def _errors(spark: SparkSession, sf: str) -> list[dict[str, DataFrame]]:
 )
 def stream_retry_decision(spark: SparkSession, sf: str) -> DataFrame:
     out = fresh_path(spark, "decisions")
-    decided = _two_runs(spark, _errors(spark, sf), lambda errors: er.retry_stream(errors), out)
+    decided = _two_runs(spark, _errors(spark, sf), lambda errors: er.retry_stream(errors), out, keyed_state=True)
     return decided.filter("event_id >= 0").select("event_id", "error_key", "error_count", "should_retry")
 
 
@@ -76,7 +76,7 @@ _QUIET = timedelta(minutes=90)
 def stream_error_summary(spark: SparkSession, sf: str) -> DataFrame:
     """The last error of each key and its count since the key was last quiet for an hour and a half."""
     out = fresh_path(spark, "counted")
-    counted = _two_runs(spark, _errors(spark, sf), lambda errors: er.running_errors(errors, expiry=_QUIET), out)
+    counted = _two_runs(spark, _errors(spark, sf), lambda errors: er.running_errors(errors, expiry=_QUIET), out, keyed_state=True)
     recent = er.last_errors(counted.filter("event_id >= 0"))
     return recent.withColumn("last_occurrence", timing.to_iso(F.col("last_occurrence")))
 

@@ -8,7 +8,8 @@ Errors of a key are decided in the order of their times, not of their arrival: e
 passed it, and those of one time follow the tie-break. A decision therefore comes ``lateness`` after its error at the
 soonest and equals that of the batch query over the whole table. What comes later than that is dropped by the watermark.
 A micro-batch reads and writes the waiting rows of a key once, whatever their number; bound a batch with the source's
-``maxFilesPerTrigger``, since the errors of one key in one batch are decided by one task.
+``maxFilesPerTrigger``, since the errors of one key in one batch are decided by one task. Start these streams with
+``keyed_state=True`` (``flows.start``) in a session whose state store is Spark's default one.
 """
 
 from __future__ import annotations

@@ -68,3 +68,22 @@ def test_a_quiet_key_is_forgotten(spark, tmp_path):
 def test_an_expiry_within_one_batch_resets_too(spark, tmp_path):
     got = run(spark, tmp_path, [[at(0), at(200), at(210), CLOCK]], timedelta(minutes=90))
     assert {r.event_id: r.error_count for r in got.collect()} == {0: 1, 200: 1, 210: 2}
+
+
+@pytest.mark.parametrize("store", ["HDFSBackedStateStoreProvider", None])
+def test_runs_in_a_session_with_another_state_store(spark, tmp_path, store):
+    before = spark.conf.get(flows.STATE_STORE)
+    spark.conf.unset(flows.STATE_STORE)
+    try:
+        if store:
+            spark.conf.set(flows.STATE_STORE, flows.KEYED_STORE.replace("RocksDBStateStoreProvider", store))
+        found = spark.conf.get(flows.STATE_STORE)
+        source, out = str(tmp_path / "in"), str(tmp_path / "out")
+        put(spark, source, "b0", [at(0), at(20), at(30, "other"), CLOCK])
+        stream = er.retry_stream(flows.parquet_stream(spark, f"{source}/*", spark.createDataFrame([], SCHEMA).schema))
+        flows.run_once(stream, flows.append_batches(out), str(tmp_path / "cp"), keyed_state=True)
+        assert spark.conf.get(flows.STATE_STORE) == found
+    finally:
+        spark.conf.set(flows.STATE_STORE, before)
+    counts = spark.read.parquet(out).filter("error_key <> 'clock'").collect()
+    assert {r.event_id: r.error_count for r in counts} == {0: 1, 20: 2, 30: 1}
