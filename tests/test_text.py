@@ -134,3 +134,25 @@ def test_keyword_table_has_no_longest_phrase(spark):
     got = sorted((r.n, r.keyword) for r in kw.match_keyword_table(posts, tracked, key="n").collect())
     assert got == [(0, "Two-Three"), (0, "two three four five six seven"), (1, "Two-Three")]
     assert kw.match_keyword_table(posts, tracked.filter("keyword = '!!'"), key="n").count() == 0
+
+
+def test_patterns_tried_at_every_character_are_bit_tests(spark):
+    frame = texts(spark, ["x"])
+    for column in (tx.clean_text, tx.words, tx.tokens):
+        plan = frame.select(column(F.col("text")))._jdf.queryExecution().analyzed().toString()
+        searched = plan.replace(f"[{tx.WIDE_SPACES}]", "")  # only where the bytes can hold one
+        assert not [c for c in searched if ord(c) > 0xFF]
+
+
+def test_patterns_match_what_their_plain_forms_match(spark):
+    rng = random.Random(11)
+    pieces = ["http", "https", "htt", "www", "ww", "://a", "@", "#", "é1_", "日本", " ", " ", "　", " ", " ", "’", "\x85", "a", "Zz", "!?", "😀", "4"]
+    values = ["".join(rng.choice(pieces) for _ in range(rng.randrange(0, 16))) for _ in range(3000)]
+    spaces, letters = tx.SPACES, "abcdefghijklmnopqrstuvwxyz"
+
+    def plain(text):
+        out = re.sub(f"(?:http|www|https)[^{spaces}]+", "", text.lower())
+        out = re.sub(rf"[@#]\w*|[^{letters}@#{spaces}]+", "", out)
+        return [word for word in re.split(f"[{spaces}]+", out) if word]
+
+    assert run(spark, values, tx.words) == [plain(v) for v in values]
