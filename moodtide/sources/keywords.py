@@ -38,21 +38,41 @@ def _runs(words: str, length: int) -> Column:
     return F.zip_with(joined, shifted[2], lambda ab, c: F.concat_ws(" ", ab, c)) if length > 2 else joined
 
 
-def _indexed(long: DataFrame) -> DataFrame:
-    """run, keyword, phrase: each phrase under the rarest of its runs, the one that fewest phrases share (ties: the longest)."""
-    runs = each(long.withColumn("_words", F.split("phrase", " ")), F.array_distinct(_runs("_words", RUN)), "keyword", "phrase", name="run")
+def _indexed(phrases: DataFrame) -> DataFrame:
+    """run, _phrase, _back, _length: each phrase under the rarest of its runs, the one that fewest phrases share (ties: the longest).
+
+    Runs are counted beside the MD5 of their phrase; the phrase itself is not moved with them. ``_back`` is the run's
+    place in the phrase.
+    """
+    cut = phrases.select("_phrase", F.split("phrase", " ").alias("_words"))
+    runs = each(cut, F.array_distinct(_runs("_words", RUN)), "_phrase", name="run")
     shared = runs.groupBy("run").agg(F.count("*").alias("times"))
     best = F.min(F.struct("times", (-F.length("run")).alias("back"), "run")).alias("best")
-    return runs.join(shared, "run").groupBy("keyword", "phrase").agg(best).select("best.run", "keyword", "phrase")
+    chosen = runs.join(shared, "run").groupBy("_phrase").agg(best).select("_phrase", "best.run")
+    back = F.array_position(_runs("_words", RUN), F.col("run")).cast("int").alias("_back")
+    return cut.join(chosen, "_phrase").select("run", "_phrase", back, F.size("_words").alias("_length"))
+
+
+def _said(may: Column) -> Column:
+    """Whether ``_spoken`` says the phrase around some place of its run: the same words by their MD5."""
+    lead, length = F.split_part(may["run"], F.lit(" "), F.lit(1)), may["_length"]
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_spoken") - length + 1, F.lit(1)))
+
+    def here(start: Column) -> Column:
+        phrase = F.array_join(F.slice("_spoken", start, length), " ")
+        return (F.get("_spoken", start + may["_back"] - 2) == lead) & (F.unhex(F.md5(phrase)) == may["_phrase"])
+
+    return (F.size("_spoken") >= length) & F.exists(starts, here)
 
 
 def match_keyword_table(posts: DataFrame, keywords: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """``(key, keyword)`` for every tracked phrase in a post.
 
     Phrases are matched by equality on their words, so the number of keywords does not multiply the posts. Up to
-    ``RUN`` words a phrase is met whole. A longer one is indexed by its rarest run: only texts that hold that run are
-    compared with it, by one search of the phrase. The plan is the same for phrases of any length; repeats within a
-    post are removed before rows are moved. Texts are told apart by their MD5, so keys may be null or repeat.
+    ``RUN`` words a phrase is met whole. A longer one is indexed by its rarest run: where a text holds that run, the
+    words around it are compared with the phrase by their MD5. Phrases are not moved with their runs, nor with the texts
+    they are looked for in. The plan is the same for phrases of any length. Texts are told
+    apart by their MD5, so keys may be null or repeat.
     """
     tracked = keywords.select("keyword", F.trim(phrase_text(F.col("keyword"))).alias("phrase")).distinct().filter("phrase <> ''")
     words = F.least(F.size(F.split("phrase", " ")), F.lit(RUN + 1))
@@ -67,17 +87,25 @@ def match_keyword_table(posts: DataFrame, keywords: DataFrame, key: str = "id",
         out = lookup_join(phrases, tracked.filter(words <= RUN), ["phrase"]).select(key, "keyword")
     if RUN + 1 not in lengths:
         return out
-    index = _indexed(tracked.filter(words > RUN))
-    node = F.unhex(F.md5(text))
-    held = each(spoken, F.array_distinct(_runs("_spoken", RUN)), node.alias("_node"), name="run")
-    path = fresh_path(posts.sparkSession, "phrase-candidates")
-    found = lookup_join(held, index, ["run"]).groupBy("_node").agg(F.collect_set(F.struct("keyword", "phrase")).alias("_may"))
-    found.write.parquet(path)
-    candidates = posts.sparkSession.read.schema(found.schema).parquet(path)
-    texts = lookup_join(posts.select(key, text, node.alias("_node")), candidates, ["_node"])
-    heard = texts.select(key, "_may", phrase_text(F.col(text)).alias("_heard"))
-    true = F.filter("_may", lambda m: F.contains(F.col("_heard"), F.concat(F.lit(" "), m["phrase"], F.lit(" "))))
-    return out.unionByName(each(heard, F.array_distinct(F.transform(true, lambda m: m["keyword"])), key, name="keyword"))
+    long = tracked.filter(words > RUN).withColumn("_phrase", F.unhex(F.md5("phrase")))
+    phrases = _written(long.select("_phrase", "phrase").distinct(), "phrases")
+    index = _written(_indexed(phrases), "phrase-index")
+    node = F.unhex(F.md5(text)).alias("_node")
+    held = each(spoken, F.array_distinct(_runs("_spoken", RUN)), node, name="run")
+    may = F.collect_set(F.struct("run", "_phrase", "_back", "_length")).alias("_may")
+    candidates = _written(lookup_join(held, index, ["run"]).groupBy("_node").agg(may), "phrase-candidates")
+    texts = lookup_join(posts.select(key, text, node), candidates, ["_node"])
+    heard = texts.select(key, "_may", F.split(F.trim(phrase_text(F.col(text))), " ").alias("_spoken"))
+    found = F.array_distinct(F.transform(F.filter("_may", _said), lambda m: m["_phrase"]))
+    said = _written(each(heard, found, key, name="_phrase"), "phrases-said")
+    return out.unionByName(lookup_join(said, long.select("_phrase", "keyword"), ["_phrase"]).select(key, "keyword"))
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a table, read again, so that what uses it more than once does not make it again."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def keywords_as_of(

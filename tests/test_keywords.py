@@ -48,6 +48,16 @@ def test_lookups_that_are_not_small_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, kw.match_keyword_table(posts, table).collect()), key=str) == plain(POSTS, TRACKED)
 
 
+def test_phrases_are_not_moved_with_their_runs(spark, monkeypatch):
+    """What is written on the way is a few short columns beside each phrase once."""
+    seen = []
+    written = kw._written
+    monkeypatch.setattr(kw, "_written", lambda df, name: seen.append((name, df.columns)) or written(df, name))
+    posts, table = frames(spark, tracked=[t for t in TRACKED if t and len(t.split()) > 3])
+    assert kw.match_keyword_table(posts, table).count()
+    assert dict(seen) == {"phrases": ["_phrase", "phrase"], "phrase-index": ["run", "_phrase", "_back", "_length"], "phrase-candidates": ["_node", "_may"], "phrases-said": ["id", "_phrase"]}
+
+
 def plan_size(spark, words):
     posts, table = frames(spark, tracked=[" ".join(f"p{i}" for i in range(words))])
     return kw.match_keyword_table(posts, table)._jdf.queryExecution().analyzed().toString().count("\n")
