@@ -129,3 +129,17 @@ def test_best_step_is_the_earliest_of_the_best(spark):
         "step bigint, loss double, eval_loss double, eval_accuracy double",
     )
     assert tuple(ev.train_history(log).first()) == (2, 3, 0.4, 4, 0.8)
+
+
+def test_a_callable_gets_long_texts_in_parts(spark):
+    def by_part(texts):
+        import pandas as pd
+
+        held = float(texts.str.len().sum())
+        return pd.DataFrame({"label": texts.str[:4], "confidence": held}, index=texts.index)
+
+    rows = [(n, None if n == 7 else f"{n:04d}" + "x" * 100_000) for n in range(60)]
+    posts = spark.createDataFrame(rows, "id int, text string").coalesce(1)
+    scored = scoring.callable_scorer(by_part, ["id"])(posts).select("id", "sentiment.*").collect()
+    assert {r.id: r.label for r in scored} == {n: None if n == 7 else f"{n:04d}" for n in range(60)}
+    assert max(r.confidence for r in scored) < 2 * scoring.TEXT_BYTES
