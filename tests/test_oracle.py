@@ -40,3 +40,8 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
 def test_groups_are_cut_before_the_shuffle(spark, sf):
     plan = QUERIES["top_posts_per_label"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Final") < plan.index("Exchange hashpartitioning") < plan.index("Partial")
+
+
+def test_words_are_counted_before_their_lemmas_are_looked_up(spark, sf):
+    read = [path.rsplit("/", 2)[1:] for path in QUERIES["lemmatize"](spark, sf).inputFiles()]
+    assert read and not [path for path in read if "documents.parquet" in path]
