@@ -161,3 +161,24 @@ def test_a_full_status_report(spark):
     got = {(r.section, r.name): r.value for r in oplog.status_report(metrics.withColumn("timestamp", F.col("timestamp").cast("timestamp")), timings.withColumn("timestamp", F.col("timestamp").cast("timestamp")), errors, "2024-01-01 11:00:00").collect()}
     assert got["health", "status"] == "critical" and got["health", "issues"].startswith("High CPU") and got["health", "warnings"].startswith("Elevated memory")
     assert got["timing", "a"] == "1.500" and got["timing", "total"] == "2"
+
+
+def test_only_rare_words_travel_to_a_large_lexicon(spark, monkeypatch):
+    """The sums by frequency are those of sent entries, and a word that is said often costs no row of its own."""
+    texts = [f"good bad not good day day rare{chr(97 + i)} odd{chr(97 + i)} " + "good night " * i for i in range(20)] + [None, "", "day"]
+    rows = posts(spark, [(str(i), "x", text, 1, "2024-01-01 10:00:00") for i, text in enumerate(texts)])
+    entries = [("good", 65, 60), ("good", 5, None), ("bad", -65, None), ("night", None, 5), (None, 9, 9)]
+    entries += [(f"rare{chr(97 + i)}", i, 1) for i in range(20)]
+    lexicon = spark.createDataFrame(entries, "token string, polarity_points int, subjectivity_points int")
+    folded = []
+    monkeypatch.setattr(scoring, "SENT_WORDS", 5, raising=False)
+    monkeypatch.setattr(scoring.settings, "HOT_KEY_ROWS", 1)
+    monkeypatch.setattr(scoring, "kept_table", lambda df, name: folded.append(df) or df)
+    sums = {}
+    for small in (True, False):
+        monkeypatch.setattr(scoring, "is_small", lambda _, small=small: small)
+        got = scoring.lexicon_polarity(rows, lexicon, ["id"], scoring.NEGATORS)
+        sums[small] = sorted(map(tuple, got.collect()))
+    assert sums[True] == sums[False] and len(sums[True]) == 20
+    travelled = folded[0].filter("_rare IS NOT NULL").count()
+    assert travelled == 40  # "rare?" and "odd?" of each text; the five frequent words stay
