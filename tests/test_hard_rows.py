@@ -170,15 +170,15 @@ def test_only_rare_words_travel_to_a_large_lexicon(spark, monkeypatch):
     entries = [("good", 65, 60), ("good", 5, None), ("bad", -65, None), ("night", None, 5), (None, 9, 9)]
     entries += [(f"rare{chr(97 + i)}", i, 1) for i in range(20)]
     lexicon = spark.createDataFrame(entries, "token string, polarity_points int, subjectivity_points int")
-    folded = []
-    monkeypatch.setattr(scoring, "SENT_WORDS", 5, raising=False)
+    tails, sums, spread = [], {}, scoring.spread
+    monkeypatch.setattr(scoring, "SENT_WORDS", 5)
     monkeypatch.setattr(scoring.settings, "HOT_KEY_ROWS", 1)
-    monkeypatch.setattr(scoring, "kept_table", lambda df, name: folded.append(df) or df)
-    sums = {}
+    monkeypatch.setattr(scoring, "spread", lambda keys, parts: tails.append(keys) or spread(keys, parts))
     for small in (True, False):
         monkeypatch.setattr(scoring, "is_small", lambda _, small=small: small)
         got = scoring.lexicon_polarity(rows, lexicon, ["id"], scoring.NEGATORS)
         sums[small] = sorted(map(tuple, got.collect()))
     assert sums[True] == sums[False] and len(sums[True]) == 20
-    travelled = folded[0].filter("_rare IS NOT NULL").count()
-    assert travelled == 40  # "rare?" and "odd?" of each text; the five frequent words stay
+    assert tails == [["id"]]
+    sent = sorted(row.token for row in scoring._frequent_words(rows).collect())
+    assert sent == ["bad", "day", "good", "night", "not"]
