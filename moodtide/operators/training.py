@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, IDF, Normalizer
 from pyspark.ml.functions import vector_to_array
@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.hashing import in_test_split
 from ..functions.labels import code_label, probability_struct
 from ..schemas import SENTIMENT
+from ..session import kept_table
 from ..settings import LABEL_CODES, VOCABULARY_SIZE
 from .evaluation import classification_metrics
-from .features import frequent_terms, model_words, terms
+from .features import frequent_terms_of, model_words, terms
 from .scoring import Scorer
-from .sizing import each
 
 
 def train_test_split(df: DataFrame, key: str, percent: int = 20) -> DataFrame:
@@ -34,35 +34,35 @@ def train_model(labelled: DataFrame, size: int = VOCABULARY_SIZE, strength: floa
 
     The vocabulary and weights come from the training rows, or from ``features_from`` where
     the caller wants them from all rows; of terms said equally often the first by code points are taken. ``strength`` is the inverse of the L2 penalty. The
-    driver holds the vocabulary and one coefficient per class and term, never rows.
+    driver holds the vocabulary and one coefficient per class and term, never rows. Texts are cut to words once, into a
+    written table; only their term vectors are kept while the model is fitted.
     """
-    rows = with_terms(labelled).select("terms", "y").persist()
+    rows = kept_table(labelled.select(model_words(F.col("text")).alias("said"), "y"), "tokens")
+    corpus = rows if features_from is None else kept_table(features_from.select(model_words(F.col("text")).alias("said")), "tokens")
+    said = frequent_terms_of(corpus, size).collect()  # at most ``size`` terms
+    counter = CountVectorizerModel.from_vocabulary([row.term for row in said] or [""], inputCol="terms", outputCol="tf")
+    counted = counter.transform(rows.select(terms(F.col("said")).alias("terms"), "y")).select("tf", "y").persist()
     try:
-        corpus = rows if features_from is None else with_terms(features_from).select("terms")
-        said = frequent_terms(each(corpus, F.col("terms"), name="term"), size).collect()  # at most ``size`` terms
-        counter = CountVectorizerModel.from_vocabulary([row.term for row in said] or [""], inputCol="terms", outputCol="tf")
-        weight = IDF(inputCol="tf", outputCol="_idf").fit(counter.transform(corpus))
+        whole = counted if features_from is None else counter.transform(corpus.select(terms(F.col("said")).alias("terms")))
+        weight = IDF(inputCol="tf", outputCol="_idf").fit(whole)
         scaling = Vectors.dense(weight.idf.toArray() + 1.0)
-        vectoriser = Pipeline(
-            stages=[
-                counter,
-                ElementwiseProduct(scalingVec=scaling, inputCol="tf", outputCol="weighted"),
-                Normalizer(p=2.0, inputCol="weighted", outputCol="features"),
-            ]
-        ).fit(rows)
-        prepared = vectoriser.transform(rows)
+        stages = [
+            ElementwiseProduct(scalingVec=scaling, inputCol="tf", outputCol="weighted"),
+            Normalizer(p=2.0, inputCol="weighted", outputCol="features"),
+        ]
+        prepared = PipelineModel(stages=stages).transform(counted)
         classifier = LogisticRegression(
             featuresCol="features",
             labelCol="y",
             family="multinomial",
-            regParam=1.0 / (strength * rows.count()),
+            regParam=1.0 / (strength * counted.count()),
             elasticNetParam=0.0,
             standardization=False,
             maxIter=max_iterations,
         ).fit(prepared)
-        return PipelineModel(stages=[*vectoriser.stages, classifier])
+        return PipelineModel(stages=[counter, *stages, classifier])
     finally:
-        rows.unpersist()
+        counted.unpersist()
 
 
 def predict(model: PipelineModel, posts: DataFrame) -> DataFrame:

@@ -143,3 +143,25 @@ def test_a_callable_gets_long_texts_in_parts(spark):
     scored = scoring.callable_scorer(by_part, ["id"])(posts).select("id", "sentiment.*").collect()
     assert {r.id: r.label for r in scored} == {n: None if n == 7 else f"{n:04d}" for n in range(60)}
     assert max(r.confidence for r in scored) < 2 * scoring.TEXT_BYTES
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 8, 40])
+def test_frequent_terms_are_those_of_a_full_count(spark, size, monkeypatch):
+    """With ties at the last place, with fewer words than places, with and without leaving pairs out."""
+    texts = ["aa bb aa bb cc", "aa bb dd aa bb", "cc dd zz", "yy", "", "aa bb"]
+    cut = spark.createDataFrame([(text.split(),) for text in texts], "said array<string>")
+    counted = features.each(cut, features.terms(F.col("said")), name="term")
+    want = [tuple(row) for row in features.frequent_terms(counted, size).collect()]
+    for tied in (0, 1, 100):
+        monkeypatch.setattr(features, "TIED_WORDS", tied)
+        assert [tuple(row) for row in features.frequent_terms_of(cut, size).collect()] == want
+
+
+def test_pairs_with_a_rare_word_are_never_put_together(spark, monkeypatch):
+    rows = [(str(i), f"common words {chr(97 + i) * 3} common words") for i in range(20)]
+    posts = spark.createDataFrame(rows, "id string, text string")
+    seen, kept_table = {}, features.kept_table
+    monkeypatch.setattr(features, "kept_table", lambda df, name: seen.setdefault(name, df) and kept_table(df, name))
+    got = {(r.id, r.term, r.tf) for r in features.vocabulary_counts(posts, size=3).collect()}
+    assert got == {(i, term, 2) for i, _ in rows for term in ("common", "common words", "words")}
+    assert set(seen) == {"tokens", "words", "terms"}
