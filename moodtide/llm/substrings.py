@@ -160,7 +160,11 @@ class Texts:
         """Keys in the order they are sent in: by bucket, then by document; with both of these."""
         bucket = bucket_of(head, 64, buckets)
         owner = np.searchsorted(self.ends, first, "right") - 1
-        order = np.lexsort((owner, bucket))
+        n = len(head)
+        if buckets * len(self.ends) * n < 1 << 63:  # one sort of whole numbers, the key's own place as the last digit
+            order = np.sort((bucket.astype(np.int64) * len(self.ends) + owner) * n + np.arange(n)) % max(n, 1)
+        else:
+            order = np.lexsort((owner, bucket))
         return order, bucket[order], owner[order]
 
 
@@ -169,6 +173,14 @@ def bucket_of(ranks: np.ndarray, bits: int, buckets: int) -> np.ndarray:
     return ((ranks >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values in ascending order; sorting is several times faster than the hash table of ``np.unique``."""
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return values[new]
+
+
 def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(value, from, to) of each run of equal values."""
     cuts = np.flatnonzero(np.diff(values)) + 1
@@ -351,7 +363,7 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def send_samples(key: tuple, own: pa.Table, told: pa.Table) -> pa.Table:
         texts = Texts(own, _notes(told)[0], length)
-        ranks = np.unique(texts.samples()[1])
+        ranks = distinct(texts.samples()[1])
         sent = [
             (bucket, key[0].as_py(), _packed(ranks[a:b]), None, None, None)
             for bucket, a, b in _runs(bucket_of(ranks, RANK_BITS, buckets))
@@ -365,7 +377,9 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         order, bucket, owner = texts.sent_order(head, place, buckets)
         sent = []
         for number, a, b in _runs(bucket):
-            who, owners = np.unique(owner[a:b], return_inverse=True)
+            new = np.ones(b - a, bool)
+            new[1:] = owner[a + 1 : b] != owner[a : b - 1]  # owners ascend within a bucket
+            who, owners = owner[a:b][new], np.cumsum(new) - 1
             data = head[order[a:b]].astype("<u8").tobytes() + tail[order[a:b]].astype("<u2").tobytes()
             sent.append(
                 (number, key[0].as_py(), data, texts.ids[who].tolist(), texts.ties[who].tolist(), owners.astype("<u4").tobytes())

@@ -86,3 +86,19 @@ def test_spans_and_kept_bytes(spark):
     out = {r.doc_id: r for r in substrings.removed(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert [tuple(s) for s in out[2].spans] == [(4, 104)]
     assert (bytes(out[2].kept), out[1].spans) == (b"two:!", [])
+
+
+def test_keys_are_sent_by_bucket_then_document_then_place():
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    texts = substrings.Texts.__new__(substrings.Texts)
+    texts.ends = np.cumsum([0, 5, 1, 30, 64])
+    head, first = np.sort(draw.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2)), draw.integers(0, 100, 500)
+    for buckets in (1, 7, 2000):
+        order, bucket, owner = texts.sent_order(head, first, buckets)
+        every, of = substrings.bucket_of(head, 64, buckets), np.searchsorted(texts.ends, first, "right") - 1
+        want = np.lexsort((of, every))
+        assert (order == want).all() and (bucket == every[want]).all() and (owner == of[want]).all()
+    assert substrings.distinct(np.array([5, 1, 5, 2], np.uint64)).tolist() == [1, 2, 5]
+    assert substrings.distinct(np.empty(0, np.uint64)).size == 0 and texts.sent_order(head[:0], first[:0], 3)[0].size == 0
