@@ -21,6 +21,8 @@ MARK = "▁"
 _SEGMENT = re.compile(rf"\n|{MARK}*[^{MARK}\n]*")
 #: Characters handled at once, so that neither long texts nor large batches grow the arrays.
 SLICE = 1 << 20
+#: Bytes of text whose ids are sent on at once beside the other columns.
+PART = 1 << 18
 #: Segments remembered between batches in a worker process.
 REMEMBERED = 500_000
 _NONE = np.int32(2**31 - 1)
@@ -64,6 +66,7 @@ class PieceCoder:
         self._symbols(normal)
         self._pairs(normal, {i: model.get_score(i) for i in normal.values()})
         self._surfaces(pieces, normal)
+        self.remembered = REMEMBERED
         self.forget()
 
     def _symbols(self, normal: dict[str, int]) -> None:
@@ -266,7 +269,7 @@ class PieceCoder:
 
     def learn(self, segments: set[str]) -> None:
         """Encode the segments not seen before and keep their ids in the pool; a full pool starts anew."""
-        if len(self.index) > REMEMBERED:
+        if len(self.index) > self.remembered:
             self.forget()
         index = self.index
         fresh = [s for s in segments if s not in index]
@@ -393,18 +396,20 @@ def exact_ids(texts: DataFrame, run, schema: str) -> DataFrame:
 def tokenised(docs: DataFrame, model: str | None = None) -> DataFrame:
     """The documents with ``ids``, the token ids of the text as an array; other columns are kept.
 
-    A column ``ids`` of the input is replaced. Texts are encoded in slices of about ``SLICE`` bytes, each sent on as
-    flat ids with their ends; what a task has remembered goes when it ends.
+    A column ``ids`` of the input is replaced. Texts are encoded in slices of about ``PART`` bytes, each sent on as
+    flat ids with their ends; a task remembers a quarter of the usual segments, since it shares its executor with the
+    writer of the ids, and what it has remembered goes when it ends.
     """
     path = model or default_model()
     kept = [c for c in docs.columns if c != "ids"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
+        own.remembered = REMEMBERED // 4
         try:
             for batch in batches:
                 sizes = pc.binary_length(batch["__text"]).to_pylist()
-                for low, high in slices(sizes, sizes, SLICE):
+                for low, high in slices(sizes, sizes, PART):
                     part = batch.slice(low, high - low)
                     ids = own.encode(part["__text"].to_pylist())
                     ends = np.cumsum([0, *(found.size for found in ids)])
@@ -412,7 +417,9 @@ def tokenised(docs: DataFrame, model: str | None = None) -> DataFrame:
                     listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                     yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), listed], [*kept, "ids"])
         finally:
+            own.remembered = REMEMBERED
             own.forget()
+            pa.default_memory_pool().release_unused()
 
     layout = T.StructType([*(docs.schema[c] for c in kept), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return docs.select(*kept, plain_text().alias("__text")).mapInArrow(encode, layout)

@@ -56,3 +56,13 @@ def test_round_trip_on_columns_and_empty_table(spark):
     back = pieces.detokenised(pieces.tokenised(docs)).orderBy("doc_id").collect()
     assert [r.decoded for r in back] == ["plain words", "two  spaces", ""]
     assert pieces.digests(frame(spark, [])).count() == 0
+
+
+def test_a_task_that_sends_ids_on_remembers_less(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 40)
+    own = pieces.PieceCoder(MODEL)
+    own.remembered = pieces.REMEMBERED // 4
+    texts = [f"word{i} other{i} third{i}" for i in range(30)]
+    for text in texts:
+        assert [list(i) for i in own.encode([text])] == LIBRARY.encode([text])
+        assert len(own.index) <= 10 + 3
