@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from hashlib import sha256
 
@@ -23,8 +24,8 @@ _SEGMENT = re.compile(rf"\n|{MARK}*[^{MARK}\n]*")
 SLICE = 1 << 20
 #: Bytes of text whose ids are sent on at once beside the other columns.
 PART = 1 << 18
-#: Segments remembered between batches in a worker process.
-REMEMBERED = 500_000
+#: Segments remembered between the batches of a task.
+REMEMBERED = 125_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -352,6 +353,17 @@ def coder(path: str) -> PieceCoder:
     return PieceCoder(path)
 
 
+@contextmanager
+def task_coder(path: str) -> Iterator[PieceCoder]:
+    """The worker's coder for one task: what it has remembered goes when the task ends, since workers outlive tasks."""
+    own = coder(path)
+    try:
+        yield own
+    finally:
+        own.forget()
+        pa.default_memory_pool().release_unused()
+
+
 def default_model() -> str:
     import public_tokenizers
 
@@ -367,20 +379,20 @@ def digests(docs: DataFrame, model: str | None = None) -> DataFrame:
     path = model or default_model()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = coder(path)
-        for batch in batches:
-            rows = []
-            for parts in own.encoded(batch["_text"].tolist()):
-                ids, back, n, first = sha256(), sha256(), 0, True
-                for found in parts:
-                    listed, raw = own.listed(found), own.decode_bytes(found)[0].tobytes()
-                    ids.update(listed[1:] if first else listed)
-                    back.update(raw[1:] if first and raw[:1] == b" " else raw)
-                    n, first = n + found.size, False
-                rows.append((n, ids.hexdigest(), back.hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"])
-            yield out
+        with task_coder(path) as own:
+            for batch in batches:
+                rows = []
+                for parts in own.encoded(batch["_text"].tolist()):
+                    ids, back, n, first = sha256(), sha256(), 0, True
+                    for found in parts:
+                        listed, raw = own.listed(found), own.decode_bytes(found)[0].tobytes()
+                        ids.update(listed[1:] if first else listed)
+                        back.update(raw[1:] if first and raw[:1] == b" " else raw)
+                        n, first = n + found.size, False
+                    rows.append((n, ids.hexdigest(), back.hexdigest()))
+                out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+                out.insert(0, "doc_id", batch["doc_id"])
+                yield out
 
     texts = docs.select("doc_id", plain_text().alias("_text"))
     return exact_ids(texts, run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -397,16 +409,13 @@ def tokenised(docs: DataFrame, model: str | None = None) -> DataFrame:
     """The documents with ``ids``, the token ids of the text as an array; other columns are kept.
 
     A column ``ids`` of the input is replaced. Texts are encoded in slices of about ``PART`` bytes, each sent on as
-    flat ids with their ends; a task remembers a quarter of the usual segments, since it shares its executor with the
-    writer of the ids, and what it has remembered goes when it ends.
+    flat ids with their ends.
     """
     path = model or default_model()
     kept = [c for c in docs.columns if c != "ids"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(path)
-        own.remembered = REMEMBERED // 4
-        try:
+        with task_coder(path) as own:
             for batch in batches:
                 sizes = pc.binary_length(batch["__text"]).to_pylist()
                 for low, high in slices(sizes, sizes, PART):
@@ -416,10 +425,6 @@ def tokenised(docs: DataFrame, model: str | None = None) -> DataFrame:
                     flat = np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32)
                     listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                     yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), listed], [*kept, "ids"])
-        finally:
-            own.remembered = REMEMBERED
-            own.forget()
-            pa.default_memory_pool().release_unused()
 
     layout = T.StructType([*(docs.schema[c] for c in kept), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return docs.select(*kept, plain_text().alias("__text")).mapInArrow(encode, layout)

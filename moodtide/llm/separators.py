@@ -6,19 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..session import fresh_path
 from .common import plain_text, slices
-from .pieces import coder, default_model
+from .pieces import default_model, task_coder
 
 #: The separator: the model's end-of-text id, which no text is encoded to. Ids are two bytes, least first.
 SEPARATOR = 2
 BLOCK_TOKENS = 1 << 20
 #: Largest token file that is read, since a task holds a whole one; characters per written block, and blocks per written file.
 FILE_BYTES = 1 << 30
-WRITE_CHARS = 1 << 19
-FILE_BLOCKS = 32
+WRITE_CHARS = 1 << 18
+FILE_BLOCKS = 64
 #: Names of the writer's files: the task's number, the job's UUID, the counter of the task's files.
 PART_NAME = r"/part-(\d+)-[^/]*[.-]c(\d+)(?:\.[^/]*)?$"
 
@@ -33,17 +35,21 @@ def write_tokens(docs: DataFrame, path: str, model: str | None = None, separator
     model = model or default_model()
     mark = np.array([separator], "<u2").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, number = coder(model), 0
-        for batch in batches:
-            texts = batch["_text"].tolist()
-            for low, high in slices(texts, [len(t) for t in texts], WRITE_CHARS):
-                flat = [ids.astype("<u2").tobytes() for ids in own.encode(texts[low:high])]
-                ids = ",".join("null" if i is None else i for i in batch["doc_id"].iloc[low:high])
-                yield pd.DataFrame({"kind": ["tokens", "ids"], "number": [number, number], "payload": [mark.join(flat), ids.encode()]})
-                number += 1
-
-    blocks = docs.select(F.col("doc_id").cast("string").alias("doc_id"), plain_text().alias("_text")).mapInPandas(run, "kind string, number long, payload binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with task_coder(model) as own:
+            number = 0
+            for batch in batches:
+                sizes = pc.utf8_length(batch["_text"]).to_pylist()
+                for low, high in slices(sizes, sizes, WRITE_CHARS):
+                    part = batch.slice(low, high - low)  # only a block's texts are Python objects at once
+                    flat = [ids.astype("<u2").tobytes() for ids in own.encode(part["_text"].to_pylist())]
+                    ids = ",".join("null" if i is None else i for i in part["doc_id"].to_pylist())
+                    payload = pa.array([mark.join(flat), ids.encode()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(["tokens", "ids"]), pa.array([number, number], pa.int64()), payload], ["kind", "number", "payload"])
+                    number += 1
+
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), plain_text().alias("_text"))
+    blocks = texts.mapInArrow(run, "kind string, number long, payload binary")
     # a row of blocks is written as its bytes, and the writer's line end is the separator after its last document
     rows = blocks.sortWithinPartitions("kind", "number").select("kind", F.col("payload").cast("string").alias("value"))
     rows.write.partitionBy("kind").option("lineSep", mark.decode()).option("maxRecordsPerFile", FILE_BLOCKS).text(path)

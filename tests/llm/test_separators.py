@@ -61,3 +61,19 @@ def test_a_file_above_the_bound_is_refused(spark, monkeypatch):
     files = spark.createDataFrame([(0, 4, bytearray(b"abcd"))], "file long, bytes long, content binary")
     with pytest.raises(Exception, match="too large"):
         separators.segments(files).collect()
+
+
+def test_workers_remember_nothing_after_a_task(spark, tmp_path):
+    """Workers outlive tasks: what one keeps stays in its executor's memory beside all that runs later."""
+    rows = [(i, " ".join(f"word{i * 100 + k}" for k in range(100)), "en", "s") for i in range(40)]
+    docs = frame(spark, rows).repartition(4)
+    separators.write_tokens(docs, str(tmp_path / "t"))
+    assert pieces.digests(docs).agg({"n_tokens": "sum"}).first()[0] > 0
+
+    def held(batches):
+        for batch in batches:
+            known = pieces.coder.cache_info().currsize
+            yield batch.assign(id=len(pieces.coder(pieces.default_model()).index) if known else -1)
+
+    kept = [r.id for r in spark.range(0, 64, 1, 8).mapInPandas(held, "id long").collect()]
+    assert max(kept) == 0
