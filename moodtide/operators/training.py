@@ -25,7 +25,13 @@ def train_test_split(df: DataFrame, key: str, percent: int = 20) -> DataFrame:
 
 
 def with_terms(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.withColumn("terms", terms(model_words(F.col(text))))
+    """The terms of each text beside it.
+
+    Words are a column of their own: ``terms`` names them five times, mostly inside a lambda, where they would be cut
+    again each time.
+    """
+    cut = df.withColumn("_said", model_words(F.col(text)))
+    return cut.withColumn("terms", terms(F.col("_said"))).drop("_said")
 
 
 def train_model(labelled: DataFrame, size: int = VOCABULARY_SIZE, strength: float = 1.0,

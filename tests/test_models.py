@@ -165,3 +165,8 @@ def test_pairs_with_a_rare_word_are_never_put_together(spark, monkeypatch):
     got = {(r.id, r.term, r.tf) for r in features.vocabulary_counts(posts, size=3).collect()}
     assert got == {(i, term, 2) for i, _ in rows for term in ("common", "common words", "words")}
     assert set(seen) == {"tokens", "words", "terms"}
+
+
+def test_a_text_is_cut_to_words_once_before_it_is_classified(model, labelled):
+    plan = training.predict(model, labelled)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
