@@ -71,9 +71,9 @@ def train_model(labelled: DataFrame, size: int = VOCABULARY_SIZE, strength: floa
         counted.unpersist()
 
 
-def predict(model: PipelineModel, posts: DataFrame) -> DataFrame:
-    """The sentiment struct with class probabilities beside every post."""
-    scored = model.transform(with_terms(posts)).withColumn("_p", vector_to_array("probability"))
+def classified(model: PipelineModel, cut: DataFrame) -> DataFrame:
+    """The sentiment struct with class probabilities beside rows with their terms."""
+    scored = model.transform(cut).withColumn("_p", vector_to_array("probability"))
     sentiment = F.struct(
         code_label(F.col("prediction").cast("int")).alias("label"),
         F.lit(None).cast("double").alias("polarity"),
@@ -81,7 +81,23 @@ def predict(model: PipelineModel, posts: DataFrame) -> DataFrame:
         F.array_max("_p").alias("confidence"),
         probability_struct(F.col("_p")).cast(SENTIMENT["probabilities"].dataType).alias("probabilities"),
     )
-    return scored.withColumn("sentiment", sentiment).select(*posts.columns, "sentiment")
+    return scored.withColumn("sentiment", sentiment).select(*cut.columns, "sentiment")
+
+
+def predict(model: PipelineModel, posts: DataFrame) -> DataFrame:
+    """The sentiment struct with class probabilities beside every post."""
+    return classified(model, with_terms(posts)).select(*posts.columns, "sentiment")
+
+
+def changed_predictions(first: PipelineModel, second: PipelineModel, posts: DataFrame) -> DataFrame:
+    """How many posts there are, and how many the two models say anything different of.
+
+    Both classify the terms of the same row, so texts are cut once and nothing is joined.
+    """
+    before = classified(first, with_terms(posts)).withColumnRenamed("sentiment", "_before")
+    both = classified(second, before)
+    differ = ~F.col("_before").eqNullSafe(F.col("sentiment"))
+    return both.agg(F.count("*").alias("rows"), F.count_if(differ).cast("int").alias("differing"))
 
 
 def model_scorer(model: PipelineModel) -> Scorer:

@@ -252,12 +252,7 @@ def holdout_metrics(spark: SparkSession, sf: str) -> DataFrame:
 def model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     model, path = _model(spark, sf), fresh_path(spark, "model")
     training.save_model(model, path)
-    test = _labelled(spark, sf, "test")
-    before = training.predict(model, test).select("doc_id", F.col("sentiment").alias("a"))
-    after = training.predict(training.load_model(path), test).select("doc_id", F.col("sentiment").alias("b"))
-    return before.join(after, "doc_id").agg(
-        F.count("*").alias("rows"), F.count_if(F.col("a") != F.col("b")).cast("int").alias("differing")
-    )
+    return training.changed_predictions(model, training.load_model(path), _labelled(spark, sf, "test"))
 
 
 @query("model_card")

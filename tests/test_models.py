@@ -170,3 +170,12 @@ def test_pairs_with_a_rare_word_are_never_put_together(spark, monkeypatch):
 def test_a_text_is_cut_to_words_once_before_it_is_classified(model, labelled):
     plan = training.predict(model, labelled)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1
+
+
+def test_two_models_are_compared_row_by_row(model, labelled):
+    twice = labelled.union(labelled)
+    turned = training.train_model(labelled.withColumn("y", 2 - F.col("y")))
+    assert tuple(training.changed_predictions(model, model, twice).first()) == (240, 0)
+    assert training.changed_predictions(model, turned, twice).first().differing > 150
+    plan = training.changed_predictions(model, model, labelled)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("split(") == 1
