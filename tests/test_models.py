@@ -179,3 +179,22 @@ def test_two_models_are_compared_row_by_row(model, labelled):
     assert training.changed_predictions(model, turned, twice).first().differing > 150
     plan = training.changed_predictions(model, model, labelled)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("split(") == 1
+
+
+def test_terms_of_a_text_are_weighed_without_a_shuffle_of_texts(spark):
+    posts = spark.createDataFrame([(str(i), f"common words {chr(97 + i) * 3} common words") for i in range(20)], "id string, text string")
+    assert "Exchange hashpartitioning(id" not in features.tfidf(posts, size=3)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_that_share_an_id_are_weighed_as_one(spark):
+    """An id that repeats, one that is null and repeats, a text without terms, and an empty corpus."""
+    rows = [("1", "apple banana"), ("1", "apple"), (None, "banana"), (None, "banana cherry"), ("2", "a"), ("3", None)]
+    posts = spark.createDataFrame(rows, "id string, text string")
+    counts = {(r.id, r.term, r.tf) for r in features.vocabulary_counts(posts).collect()}
+    assert counts == {("1", "apple", 2), ("1", "banana", 1), ("1", "apple banana", 1),
+                      (None, "banana", 2), (None, "cherry", 1), (None, "banana cherry", 1)}
+    got = features.tfidf(posts).collect()
+    assert {(r.id, r.term, r.tf) for r in got} == counts and {r.df for r in got if r.term == "banana"} == {2}
+    for own in ("1", None):
+        assert abs(sum(r.tfidf ** 2 for r in got if r.id == own) - 1) < 1e-5
+    assert features.tfidf(posts.filter("false")).count() == 0
